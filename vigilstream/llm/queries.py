@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, language_id, neighbours, token_counts
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, secret_scan, token_counts
+from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipped(query: Query) -> Query:
+    return lambda spark, sf_dir: query(ship(spark), sf_dir)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -20,6 +25,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(_documents(spark, sf_dir)))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(_documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,13 +45,21 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0", 20)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op2_token_counts": op2_token_counts,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_secret_scan": op5_secret_scan,
         "op6_bpe_codec": op6_bpe_codec,
         "op7_language_id": op7_language_id,
         "op8_nearest": op8_nearest,
+        "op10_decontamination": op10_decontamination,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 _OP8 = """
@@ -54,5 +75,21 @@ FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+_OP4 = """
+WITH t AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM t),
+b AS (
+  SELECT trim(line, chr(32) || chr(9) || chr(13)) AS k FROM l
+  WHERE trim(line, chr(32) || chr(9) || chr(13)) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10
+), g AS (
+  SELECT doc_id, count(*) AS n_lines, count(k) AS n_removed,
+         coalesce(string_agg(CASE WHEN k IS NULL THEN line END, chr(10) ORDER BY pos), '') AS kept
+  FROM l LEFT JOIN b ON trim(line, chr(32) || chr(9) || chr(13)) = k GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_nearest": _OP8}
+    return {"op4_line_dedup": _OP4, "op8_nearest": _OP8}
