@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, secret_scan, token_counts
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, secret_scan, substring_dedup, token_counts
 from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_documents(spark, sf_dir), 13).drop("longest")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_token_counts": op2_token_counts,
         "op4_line_dedup": op4_line_dedup,
         "op5_secret_scan": op5_secret_scan,
@@ -75,6 +80,24 @@ FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), k AS (
+  SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), f AS (SELECT k, min(doc_id) AS m FROM k GROUP BY k),
+g AS (
+  SELECT DISTINCT doc_id, i + j AS pos
+  FROM (SELECT k.doc_id, k.i FROM k JOIN f ON k.k = f.k WHERE m < doc_id) CROSS JOIN range(0, 13) t(j)
+), w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+s AS (
+  SELECT w.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN word END, ' ' ORDER BY w.pos), '') AS kept
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
 _OP4 = """
 WITH t AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM t),
@@ -92,4 +115,4 @@ FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4, "op8_nearest": _OP8}
+    return {"op1_substring_dedup": _OP1, "op4_line_dedup": _OP4, "op8_nearest": _OP8}
