@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, secret_scan, substring_dedup, token_counts
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, ngram_join, secret_scan, substring_dedup, token_counts
 from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_documents(spark, sf_dir), 3, 90).drop("class_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(_documents(spark, sf_dir)))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_ngram_join": op3_ngram_join,
         "op4_line_dedup": op4_line_dedup,
         "op5_secret_scan": op5_secret_scan,
         "op6_bpe_codec": op6_bpe_codec,
@@ -82,7 +87,7 @@ FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 _OP1 = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), k AS (
   SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
