@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, neighbours, ngram_join, secret_scan, substring_dedup, token_counts
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, secret_scan, substring_dedup, token_counts
 from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0", 20)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(_documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op6_bpe_codec": op6_bpe_codec,
         "op7_language_id": op7_language_id,
         "op8_nearest": op8_nearest,
+        "op9_lm_score": op9_lm_score,
         "op10_decontamination": op10_decontamination,
     }
     return {name: _shipped(query) for name, query in found.items()}
