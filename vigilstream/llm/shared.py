@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilstream.shipping import ship  # noqa: F401  the operators' callers ask here
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,17 +31,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python workers, once a context; returns the session."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
-        context.addPyFile(archive)
-        _SHIPPED.add(context.applicationId)
-    return spark
-
-
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows
