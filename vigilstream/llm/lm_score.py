@@ -43,15 +43,14 @@ _STEPS = (255 - _EXACT) / np.log(1e9 / _EXACT)
 
 
 class EliasFano:
-    """Ascending whole numbers: low bits packed, high bits in unary."""
+    """Ascending whole numbers: low bits in the least whole type that holds them, high bits in unary."""
 
     def __init__(self, values: np.ndarray):
         n = self.n = len(values)
         top = int(values[-1]) if n else 0
         self.low_bits = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
-        low = values & U64((1 << self.low_bits) - 1)
-        bits = (low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)).astype(np.uint8) & 1
-        self.low = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(16, np.uint8)])
+        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if self.low_bits <= 8 * np.dtype(t).itemsize)
+        self.low = (values & U64((1 << self.low_bits) - 1)).astype(width)
         high = (values >> U64(self.low_bits)).astype(np.int64)
         unary = np.zeros(-(-(n + (top >> self.low_bits) + 2) // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
@@ -83,17 +82,7 @@ class EliasFano:
         return word * 64 + at
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.uint64)
-        bit = i * self.low_bits
-        byte, out = bit >> 3, np.zeros(len(i), np.uint64)
-        for k in range(8):
-            out |= self.low[byte + k].astype(np.uint64) << U64(8 * k)
-        shift = (bit & 7).astype(np.uint64)
-        out >>= shift
-        spill = shift > 0
-        out[spill] |= self.low[byte[spill] + 8].astype(np.uint64) << (U64(64) - shift[spill])
-        return out & U64((1 << self.low_bits) - 1)
+        return self.low[i].astype(np.uint64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, 1) - i).astype(np.uint64) << U64(self.low_bits)) | self._low(i)
@@ -110,15 +99,18 @@ class EliasFano:
         stop = self._select(h, 0) - h
         if lo is not None:
             start, stop = np.maximum(start, lo[inside]), np.minimum(stop, hi[inside])
-        want = values[inside] & U64((1 << self.low_bits) - 1)
-        while len(inside):
-            more = start < stop
-            inside, start, stop, want = inside[more], start[more], stop[more], want[more]
-            low = self._low(start)
-            hit = low == want
-            found[inside[hit]] = start[hit]
-            go = low < want
-            inside, start, stop, want = inside[go], start[go] + 1, stop[go], want[go]
+        # The numbers with these high bits may be many where values crowd, so their low bits are bisected.
+        want, low, high = values[inside] & U64((1 << self.low_bits) - 1), start.copy(), stop.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            right = self._low(middle) < want[open_]
+            low[open_] = np.where(right, middle + 1, low[open_])
+            high[open_] = np.where(right, high[open_], middle)
+            open_ = open_[low[open_] < high[open_]]
+        there = np.flatnonzero(low < stop)
+        hit = there[self._low(low[there]) == want[there]]
+        found[inside[hit]] = low[hit]
         return found
 
 
@@ -150,16 +142,22 @@ class Trie:
             self.codes = look("codes")
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of the pairs' counts, 0 for those never seen."""
+        """Codes of the counts of ascending pairs, 0 for those never seen. A context is looked for once."""
         out = np.zeros(len(keys), np.uint8)
-        rank = self.contexts.successor(keys >> U64(_SUCCESSOR))
-        known = np.flatnonzero(rank >= 0)
-        if len(known):
-            r = rank[known]
-            lo, hi = (self.pointers.get(r + k).astype(np.int64) for k in (0, 1))
-            at = self.successors.successor((r.astype(np.uint64) << U64(_SUCCESSOR)) | (keys[known] & U64((1 << _SUCCESSOR) - 1)), lo, hi)
-            seen = at >= 0
-            out[known[seen]] = self.codes[at[seen]]
+        if not self.successors.n or not len(keys):
+            return out
+        context = keys >> U64(_SUCCESSOR)
+        first = np.flatnonzero(np.diff(context, prepend=context[:1] ^ U64(1)))
+        rank = self.contexts.successor(context[first])
+        seen = np.maximum(rank, 0)
+        lo, hi = (self.pointers.get(seen + k).astype(np.int64) for k in (0, 1))
+        at = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+        known = np.flatnonzero(rank[at] >= 0)
+        at = at[known]
+        value = (seen[at].astype(np.uint64) << U64(_SUCCESSOR)) | (keys[known] & U64((1 << _SUCCESSOR) - 1))
+        place = self.successors.successor(value, lo[at], hi[at])
+        hit = place >= 0
+        out[known[hit]] = self.codes[place[hit]]
         return out
 
 
@@ -274,12 +272,12 @@ def _counted(buckets: int):
             token = word != U64(begin)
         size, distinct = int(total[token].sum()), int((total[token] > 0).sum())
         key, number = _merged(np.concatenate(pairs), np.concatenate(pair_times))
-        trie = Trie(key[number > 0], number[number > 0])
+        codes = Trie(key[number > 0], number[number > 0]).counts(key)
         for r, w, p in zip(rows, words, pairs, strict=True):
             here = total[np.searchsorted(word, w)]
-            codes = trie.counts(p)
+            code = codes[np.searchsorted(key, p)]
             sizes = np.array([size, distinct], "<i8").tobytes()
-            out.append(ex.row(r["to"], r["chunk"], ex.ANSWER, pack_numbers(here), r["c"], zstandard.ZstdCompressor(level=1).compress(codes.tobytes()), sizes))
+            out.append(ex.row(r["to"], r["chunk"], ex.ANSWER, pack_numbers(here), r["c"], zstandard.ZstdCompressor(level=1).compress(code.tobytes()), sizes))
         return out
 
     return work
