@@ -101,7 +101,11 @@ BLACK = (("bad5.example.com",), ("bad11.example.com",), ("bad8.example.com",))
 
 
 def _table(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """Rows that are part of the plan, so that their size is known without a job."""
+    fields = [f.split() for f in schema.split(", ")]
+    names = ", ".join(n for n, _ in fields)
+    body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in fields)} FROM VALUES {body} AS t({names})")
 
 
 def iocs(spark: SparkSession) -> DataFrame:
