@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vigilstream.llm.textblocks import release
+
 #: ``to``: the bucket; ``chunk``: the chunk; ``kind``: what the row is; the rest depends on it.
 SCHEMA = "to long, chunk long, kind int, a binary, b binary, c binary, d binary"
 NAMES = ["to", "chunk", "kind", "a", "b", "c", "d"]
@@ -77,7 +79,9 @@ def grouped(df: DataFrame, key: str, work: Callable[[list[dict]], list[tuple]])
     """``work`` on all rows of each ``to`` or ``chunk``."""
 
     def each(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([batch(work(table.to_pylist()))])
+        out = pa.Table.from_batches([batch(work(table.to_pylist()))])
+        release()
+        return out
 
     return df.groupBy(key).applyInArrow(each, SCHEMA)
 

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilstream.llm.textblocks import release
+
 DIMENSIONS = 1024
 MAX_LANGUAGES = 1000
 #: Code points, and documents, worked on at once; columns (distinct trigrams) multiplied at once.
@@ -141,6 +143,7 @@ def prototypes(docs: DataFrame, text_column: str = "text", lang_column: str = "l
                     total[name] = total.get(name, 0) + v.astype(np.float64)
                 for k in group:
                     n[langs[k]] = n.get(langs[k], 0) + 1
+        release()
         part = TaskContext.get().partitionId()
         names = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part % 64] * len(names), pa.int32()), pa.array([part] * len(names), pa.int32()), pa.array([n[x] for x in names], pa.int64()), pa.array([total[x].tobytes() for x in names], pa.binary())], ["lang", "shard", "part", "n", "vector"])
@@ -179,6 +182,7 @@ def classify(docs: DataFrame, known: dict[str, np.ndarray], id_column: str = "do
                         best = int(np.argmax(cosine))
                         pred[k], score[k] = names[best], min(1.0, max(0.0, float(cosine[best])))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+        release()
 
     out = [docs[c] for c in keep]
     rows = docs.select(docs[text_column].cast("string").alias("__text"), *out)

@@ -8,7 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.shipping import ship  # noqa: F401  the operators' callers ask here
+from vigilstream import shipping
+
+#: Bytes of a batch that goes to a Python worker, so that long texts don't add up there.
+BATCH_BYTES = 8 << 20
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -31,6 +34,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the workers, and bounds what they get at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return shipping.ship(spark)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,16 @@ U64 = np.uint64
 CHUNK = 2 << 20
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on and are many to a machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @dataclass
 class Chunk:
     """Some rows of a record batch. ``offsets`` has one entry more than there are rows."""
@@ -44,6 +56,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             base = offsets[start]
             yield Chunk(batch.slice(start, stop - start), data[base : offsets[stop]], offsets[start : stop + 1] - base)
             start = stop
+    release()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
