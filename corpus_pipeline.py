@@ -26,9 +26,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources carry; n_chars is counted anew."""
+    """Documents without the lines that many sources carry in different texts; n_chars is counted anew."""
     ship(spark)
-    kept = line_dedup.line_dedup(docs).select(*docs.columns)
+    kept = line_dedup.line_dedup(docs, copies_once=True).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

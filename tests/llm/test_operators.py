@@ -1,6 +1,7 @@
 """Operators against brute force, the libraries themselves, or held-out accuracy, on small tables with odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -123,6 +124,32 @@ def test_line_dedup(spark, held, monkeypatch):
     same([tuple(r) for r in line_dedup.digest(line_dedup.line_dedup(df)).collect()], wanted)
 
 
+@pytest.mark.parametrize("held", [200_000, -1])
+def test_line_dedup_counts_copies_once(spark, held, monkeypatch, tmp_path):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    copy = "one text in twenty sources\nits second line"
+    texts = [(copy, f"s{k}") for k in range(20)]  # one text: its lines stay
+    texts += [(f"own a{k}\nfooter", f"s{k}") for k in range(10)]  # goes
+    texts += [(f"own b{k}\nevery text in every site", f"s{s}") for k in range(10) for s in range(10)]  # goes
+    texts += [(f"own c{k}\nten texts of one site", "s0") for k in range(12)] + [("own c0\nten texts of one site", f"s{k}") for k in range(1, 15)]  # two sites: stays
+    texts += [(f"own d{k}\nnine and the least site", s) for k in range(10) for s in ("a", f"s{k}")] + [(None, "s1"), ("", "s2"), ("own e\nfooter", None)]  # goes
+    rows = [(k, t, "en", s, len(t or "")) for k, (t, s) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    gone = {"footer", "every text in every site", "nine and the least site"}
+    wanted = [(k, t if t is None else "\n".join(x for x in t.split("\n") if x not in gone)) for k, t, *_ in rows]
+    same([(r.doc_id, r.text) for r in cp.without_boilerplate(spark, docs, str(tmp_path)).collect()], wanted)
+
+
+def test_line_matching():
+    rnd = random.Random(11)
+    for _ in range(300):
+        pairs = list({(rnd.randrange(5), f"s{rnd.randrange(5)}") for _ in range(rnd.randint(1, 12))})
+        most = max(n for n in range(6) for chosen in itertools.combinations(pairs, n) if len({a for a, _ in chosen}) == len({b for _, b in chosen}) == n)
+        assert line_dedup.matched(pairs) == most
+
+
 def test_secret_scan(spark):
     token = "Zx9" * 8
     live, copied = "ghp_" + "a1B2c3D4e5" * 3, "example0" * 4

@@ -5,6 +5,11 @@ distinct sites carry it. Lines that occur fewer times, or in one site, are ruled
 HyperLogLog sketches of the sites per line hash merge by aggregation; where the estimate is within ``band`` of the
 threshold the distinct sites are counted exactly, so a decision never rests on an estimate that could be wrong.
 
+With ``copies_once`` the copies of a whole text give one site together: a line is boilerplate if ``min_sites`` different
+texts can be named that carry it, each in a site of its own (a matching of texts and sites). So a text copied into many
+sites keeps its lines. Only texts that are equal as a whole are copies. For a matching of k, k sites of each text, k
+texts of each site and k * k of the pairs left are enough, so no line's decision takes more than k * k pairs.
+
 Only line hashes are grouped, with map-side aggregation, so a line with a third of all rows is no large task. The
 hashes of boilerplate lines go to all tasks while there are at most ``HELD`` of them; beyond that they are joined.
 
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -57,10 +62,51 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, text_column: str = "text",
     return spread.where(F.col("sites") > high).select("h").union(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 10, text_column: str = "text", site_column: str = "source") -> DataFrame:
+def matched(pairs: list[tuple[int, str]]) -> int:
+    """The most pairs (text, site) in which no text and no site comes twice."""
+    sites: dict[int, list[str]] = {}
+    for text, site in pairs:
+        sites.setdefault(text, []).append(site)
+    holder: dict[str, int] = {}
+
+    def place(text: int, seen: set[str]) -> bool:
+        for site in sites[text]:
+            if site not in seen:
+                seen.add(site)
+                if site not in holder or place(holder[site], seen):
+                    holder[site] = text
+                    return True
+        return False
+
+    return sum(place(text, set()) for text in sites)
+
+
+def spread_over_texts(docs: DataFrame, found: DataFrame, min_sites: int, text_column: str, site_column: str) -> DataFrame:
+    """Of the line hashes ``found`` those that ``min_sites`` different texts carry, each in a site of its own."""
+    k = max(min_sites, 1)
+    named = docs.select(docs[text_column].alias("text"), docs[site_column].cast("string").alias("site")).where("site is not null")
+    lines = named.select(F.xxhash64("text").alias("tk"), "site", F.explode(F.split("text", "\n")).alias("line"))
+    pairs = lines.where(F.btrim("line", F.lit(_BLANKS)) != "").select(_hash(F.col("line")).alias("h"), "tk", "site")
+    pairs = written(pairs.join(F.broadcast(found) if is_small(found, HELD) else found, "h", "left_semi").distinct(), "pairs")
+    # Spark limits the groups before it shuffles them, so a line with a third of all rows is no large task.
+    for keys, order, most in ((["h", "tk"], ["site"], k), (["h", "site"], ["tk"], k), (["h"], ["tk", "site"], k * k)):
+        pairs = pairs.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= most).drop("at")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            good = [h for h, xs in rows if len(xs) >= k * k or matched([(x["tk"], x["site"]) for x in xs]) >= k]
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["h"])
+
+    return pairs.groupBy("h").agg(F.collect_list(F.struct("tk", "site")).alias("pairs")).mapInArrow(work, "h long")
+
+
+def line_dedup(docs: DataFrame, min_sites: int = 10, text_column: str = "text", site_column: str = "source", copies_once: bool = False) -> DataFrame:
     """The documents without boilerplate lines, with n_lines and n_removed (of the same names, columns are replaced)."""
     docs = docs.drop("n_lines", "n_removed")
     found = written(boilerplate(docs, min_sites, text_column, site_column), "boilerplate")
+    if copies_once:
+        found = written(spread_over_texts(docs, found, min_sites, text_column, site_column), "spread-over-texts")
     if is_small(found, HELD):
         return _removed(docs, frozenset(r.h for r in found.collect()), text_column)
     return _removed_by_join(docs, found, text_column)
