@@ -273,6 +273,39 @@ def test_decontamination(spark):
     assert decontamination.clean(docs, items).count() == sum(not c for _, c, _ in wanted)
 
 
+def test_decontamination_of_edited_passages(spark):
+    """Insertions, deletions and moved halves put the best window between the aligned starts, or far from all of them."""
+    rnd = random.Random(5)
+    plain = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    items = {1: plain("a", 58), 2: plain("b", 120), 3: [f"c{rnd.randrange(12)}" for _ in range(70)], 4: plain("d", 200), 5: plain("e", 7), 6: ["f"] * 40}
+    edited = [["y", *items[1][1:29], "x", "x", *items[1][29:57], "y"]]
+    edited.append(["y"] * 3 + items[2][3:60] + ["x"] * 6 + items[2][60:117] + ["y"] * 3)
+    edited.append(items[4][100:] + items[4][:100])
+    edited += [items[4][:90] + items[4][96:], items[5][:6], ["f"] * 300, ["z"] * 9 + items[2][8:], items[2][:-8]]
+    for _ in range(60):
+        w = list(items[rnd.choice([1, 2, 3, 5])])
+        for _ in range(rnd.randint(1, 4)):
+            k = rnd.choice([0, len(w) // 2, len(w) - 1, rnd.randrange(len(w))])
+            w[k : k + rnd.randint(0, 3)] = ["v"] * rnd.randint(0, 4)
+        edited.append(w)
+    texts = [" ".join(["u"] * rnd.choice([0, 3, 200]) + w + ["t"] * rnd.choice([0, 3, 200])) for w in edited]
+    wanted = []
+    for d, t in enumerate(texts):
+        w, hits = t.split(), {}
+        for i, x in items.items():
+            grams = lambda y: Counter(tuple(y[j : j + 5]) for j in range(len(y) - 4))
+            a = grams(x)
+            for s in range(max(1, len(w) - len(x) + 1)):
+                b = grams(w[s : s + len(x)])
+                if (a | b) and (sim := sum((a & b).values()) / sum((a | b).values())) >= 0.8:
+                    hits[i] = max(sim, hits.get(i, 0))
+        wanted.append((d, ",".join(map(str, sorted(hits))), round(max(hits.values(), default=0.0), 9)))
+    assert [x[1] for x in wanted[:3]] == ["1", "2", "4"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    same([(r.doc_id, r.item_ids, round(r.similarity, 9)) for r in decontamination.decontaminate(docs, known).collect()], wanted)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(7, None), (999, 999)]
