@@ -106,6 +106,21 @@ def test_ngram_join(spark, texts, block, monkeypatch):
     same([tuple(r)[:3] for r in ngram_join.ngram_join(df).collect()], wanted)
 
 
+@pytest.mark.parametrize("block", [2_000_000, 200])
+def test_ngram_join_counts_every_link(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    near = [" ".join(f"n{j}" if j != 20 + k else f"other{k}" for j in range(120)) for k in range(9)]
+    df, rows = table(spark, texts + near + near[:2])
+    sets = []
+    for r in rows:
+        w = WORD.findall(lower(r[1]))
+        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else []))
+    linked = lambda a, b: a and 100 * len(a & b) >= 90 * len(a | b)
+    wanted = [(r[0], len(a), sum(bool(linked(a, b)) for k, b in enumerate(sets) if k != at)) for at, (r, a) in enumerate(zip(rows, sets, strict=True))]
+    assert max(n for *_, n in wanted) >= 10
+    same([(r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.ngram_join(df).collect()], wanted)
+
+
 @pytest.mark.parametrize("held", [200_000, -1])
 def test_line_dedup(spark, held, monkeypatch):
     monkeypatch.setattr(line_dedup, "HELD", held)

@@ -10,14 +10,15 @@ pairs). In a group the sets are stored in a trie: n-grams in one order, common b
 as one node. A set is looked up by going down the trie level by level with the overlap so far; a subtree is left where
 the overlap and what can still be had (the least of both sides' remainders) falls short of what its smallest set needs.
 A group of more than ``BLOCK`` n-grams is cut by size into blocks, and pairs of blocks whose sizes go together are
-joined as tasks of their own; so no group is bound to one task. A task returns only the links that join what it hasn't
-joined yet, and components of these links are those of all links.
+joined as tasks of their own; so no group is bound to one task. A task returns the links that join what it hasn't
+joined yet, whose components are those of all links, and for each class the number of all links that it found.
 
 N-grams are told apart by 64-bit hashes (60 bits when counted, which only sets the order).
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a text with fewer than
 n words has its whole sequence as one n-gram; component_id is the least doc_id of the component (null if all are
-null); each input row gives one row; other columns are ignored.
+null); n_links is the number of other rows, copies among them, whose set is similar enough, so that its sum is twice the
+number of links; each input row gives one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -255,8 +256,11 @@ class Trie:
         return found
 
 
-def join_sets(nodes: list[int], members: list[np.ndarray], sides: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """Links between sets, without those that join what is joined already; with sides, links from side 0 to side 1."""
+def join_sets(nodes: list[int], members: list[np.ndarray], rows: list[int], sides: list[int] | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between sets, without those that join what is joined already, and how many rows all links of each set reach.
+
+    ``rows`` says how many rows have each set; with sides, links are those from side 0 to side 1.
+    """
     size = np.array([len(m) for m in members])
     token, at = np.unique(np.concatenate(members), return_inverse=True)
     # The most frequent come first, so that near copies share long beginnings.
@@ -265,6 +269,7 @@ def join_sets(nodes: list[int], members: list[np.ndarray], sides: list[int] | No
     rank[np.lexsort((token, -often))] = np.arange(len(token))
     ranked = [np.sort(x) for x in np.split(rank[at], np.cumsum(size)[:-1])]
     marked = np.zeros(len(token), bool)
+    rows, reached = np.array(rows, np.int64), np.zeros(len(nodes), np.int64)
     up = list(range(len(nodes)))
 
     def top(x: int) -> int:
@@ -276,20 +281,22 @@ def join_sets(nodes: list[int], members: list[np.ndarray], sides: list[int] | No
     stored = [k for k in range(len(nodes)) if sides is None or sides[k] == 1]
     asked = [k for k in range(len(nodes)) if sides is None or sides[k] == 0]
     if not stored or not asked:
-        return []
+        return [], reached
     trie = Trie([ranked[k] for k in stored])
     place = {stored[k]: i for i, k in enumerate(trie.order)}
     out = []
     for q in asked:
         marked[ranked[q]] = True
-        for i in trie.links(ranked[q], marked, percent, place[q] if sides is None else -1):
-            k = stored[trie.order[i]]
+        found = [stored[trie.order[i]] for i in trie.links(ranked[q], marked, percent, place[q] if sides is None else -1)]
+        reached[q] += rows[found].sum()
+        reached[found] += rows[q]
+        for k in found:
             x, y = top(q), top(k)
             if x != y:
                 up[x] = y
                 out.append((nodes[q], nodes[k]))
         marked[ranked[q]] = False
-    return out
+    return out, reached
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -312,14 +319,18 @@ def _links(group: DataFrame, percent: int) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         members = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
         sides = None if table.column("i")[0] == table.column("j")[0] else table.column("side").to_pylist()
-        found = join_sets(table.column("node").to_pylist(), members, sides, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        nodes = table.column("node").to_pylist()
+        found, reached = join_sets(nodes, members, table.column("members").to_pylist(), sides, percent)
+        told = np.flatnonzero(reached)
+        a, b = [x for x, _ in found] + [nodes[k] for k in told], [y for _, y in found] + [None] * len(told)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "reached": pa.array([0] * len(found) + reached[told].tolist(), pa.int64())})
 
-    return group.groupBy("component", "i", "j").applyInArrow(work, "a long, b long")
+    return group.groupBy("component", "i", "j").applyInArrow(work, "a long, b long, reached long")
 
 
 def jaccard_links(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, as many as tell the components. ``docs``: doc_id, tk, text."""
+    """Links (a, b) between classes, as many as tell the components, and, where b is null, how many rows of other classes
+    all links of a class reach in a task. ``docs``: doc_id, tk, text."""
     reps = base.where("n_shingles > 0").groupBy("node", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.count("*").alias("members"))
     reps = written(reps.select("node", "n", "rep.doc_id", "rep.tk", "members"), "classes")
     # Rows that aren't the chosen one of their class are left out; null ids are compared as equal.
@@ -336,7 +347,7 @@ def jaccard_links(docs: DataFrame, base: DataFrame, width: int, percent: int) ->
     begins = F.coalesce(F.lag("n").over(by) * 100 < F.col("n") * percent, F.lit(True))
     stars = first.withColumn("head", F.when(begins, F.col("node"))).withColumn("head", F.last("head", True).over(by))
     groups = components(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b"))
-    groups = groups.join(reps, "node").select("component", "node", "n", "doc_id", "tk")
+    groups = groups.join(reps, "node").select("component", "node", "n", "doc_id", "tk", "members")
     so_far = Window.partitionBy("component").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     groups = written(groups.withColumn("block", F.floor((F.sum("n").over(so_far) - F.col("n")) / BLOCK)), "groups")
     blocks = groups.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -344,23 +355,24 @@ def jaccard_links(docs: DataFrame, base: DataFrame, width: int, percent: int) ->
     pairs = low.join(high, "component").where((F.col("i") <= F.col("j")) & (F.col("most") * 100 >= F.col("least") * percent)).select("component", "i", "j")
     left = groups.join(pairs.withColumn("block", F.col("i")), ["component", "block"]).withColumn("side", F.lit(0))
     right = groups.join(pairs.where("i < j").withColumn("block", F.col("j")), ["component", "block"]).withColumn("side", F.lit(1))
-    tasks = left.union(right).select("component", "i", "j", "node", "side")
+    tasks = left.union(right).select("component", "i", "j", "node", "side", "members")
     chosen = _held(groups.select("node", "doc_id", "tk")).alias("y")
     texts = docs.join(chosen, same).select("y.node", "x.text").dropDuplicates(["node"])
     return _links(tasks.join(_packed(texts, width), "node"), percent)
 
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and class_id (the same for equal sets)."""
+    """One row per document: doc_id, n_shingles, component_id, n_links and class_id (the same for equal sets)."""
     text = docs[text_column].cast("string")
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     base = written(profiles(docs, width), "sets")
-    found = components(written(jaccard_links(docs, base, width, percent), "jaccard"))
+    links = written(jaccard_links(docs, base, width, percent), "jaccard")
+    found = components(links).join(links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("reached").alias("reached")), "node", "left")
     least = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     # Classes of one document without links are their own component, and need no join.
-    least = least.join(found, "node", "left").where("members > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = least.join(found, "node", "left").where("members > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("component"), (F.col("members") - 1 + F.coalesce("reached", F.lit(0))).alias("n_links"))
     of = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    least = written(least.join(of, "component").select("node", "component_id"), "least")
+    least = written(least.join(of, "component").select("node", "component_id", "n_links"), "least")
     out = base.join(_held(least), "node", "left")
     linked = F.col("n_shingles") > 0
-    return out.select("doc_id", "n_shingles", F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("node").alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("node").alias("class_id"))
