@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilstream.llm.shared import written
+from vigilstream.llm.shared import forget, written
 
 STEPS = 60
 
@@ -42,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.where("a <> b").distinct(), "links")
     state = _state(links)
     for _ in range(STEPS):
-        links = written(_small_star(_large_star(links)), "stars")
+        before, links = links, written(_small_star(_large_star(links)), "stars")
+        forget(before)
         new = _state(links)
         if new == state:
             break

@@ -13,13 +13,15 @@ from vigilstream import shipping
 #: Bytes of a batch that goes to a Python worker, so that long texts don't add up there.
 BATCH_BYTES = 8 << 20
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (local mode)."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode, and elsewhere an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vigilstream-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,8 +32,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vigilstream-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table of ``written``; everything made of it must be written itself, as nothing can be computed from it again."""
+    _delete(table.written_at)
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -45,14 +60,12 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _forget() -> None:
-    for spark, path in _WRITTEN:
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
         except Exception:  # the session has gone; the folder's owner cleans it
             pass
 
 
-atexit.register(_forget)
+atexit.register(_delete_all)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
@@ -68,21 +69,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes of a word that are hashed in steps of eight side by side with all others; longer words are hashed one by one.
+_STEPWISE = 64
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        grown = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        grown[0] = 1
-        have = np.multiply.accumulate(grown)
-        if n <= 2 * CHUNK:  # tables for very long single texts are not kept
-            _POWERS[base] = have
-    return have[:n]
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time go through ``_mix``, from the length and the seed on.
+
+    Every step is a bijection of the state that is no polynomial, so neither patterns within words nor one seed's
+    collisions carry over to another seed.
+    """
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    h = _mix(size.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(seed) * U64(0xC2B2AE3D27D4EB4F) + U64(1))
+    for at in range(0, min(_STEPWISE, int(size.max(initial=0))), 8):
+        here = np.flatnonzero(size > at) if at else slice(None)
+        x, left = eight[start[here] + at], size[here] - at
+        part = left < 8
+        x[part] &= (U64(1) << (left[part] * 8).astype(np.uint64)) - U64(1)
+        h[here] = _mix(h[here] ^ x)
+    for k in np.flatnonzero(size > _STEPWISE).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]], seed)
+    return h
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -120,11 +129,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:n]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _powers(_INVERSE, n)[start] if len(start) else np.empty(0, np.uint64)
-    return Words(start, end, _mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, offsets))
+    return Words(start, end, word_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def windows(word_hash: np.ndarray, width: int) -> np.ndarray:
@@ -135,6 +140,7 @@ def windows(word_hash: np.ndarray, width: int) -> np.ndarray:
     h = word_hash[:n].copy()
     for j in range(1, width):
         h *= U64(0xD6E8FEB86659FD93)
+        h ^= h >> U64(32)
         h += word_hash[j : j + n]
     return _mix(h)
 
