@@ -5,13 +5,17 @@ Documents with the same set are one class. A class can link with another only if
 so the first ones are those that nobody else has, and a class with enough of them is alone. Frequencies come from one
 exchange of packed hashes (``exchange``), where an n-gram that a chunk of texts has many times goes once.
 
-Classes that share a first n-gram form candidate groups (components of stars around the least of similar size, not
-pairs). In a group the sets are stored in a trie: n-grams in one order, common beginnings once, runs without branching
-as one node. A set is looked up by going down the trie level by level with the overlap so far; a subtree is left where
-the overlap and what can still be had (the least of both sides' remainders) falls short of what its smallest set needs.
-A group of more than ``BLOCK`` n-grams is cut by size into blocks, and pairs of blocks whose sizes go together are
-joined as tasks of their own; so no group is bound to one task. A task returns the links that join what it hasn't
-joined yet, whose components are those of all links, and for each class the number of all links that it found.
+Classes that share a first n-gram, and are of similar size, form candidate groups (components of stars, not pairs). In
+a group the sets are stored in a trie: n-grams in one order, common beginnings once, runs without branching as one node.
+A set is looked up by going down the trie level by level with the overlap so far; a subtree is left where the overlap and
+what can still be had (the least of both sides' remainders) falls short of what its smallest set needs.
+
+A group of more than ``BLOCK`` n-grams is cut into blocks. Each class goes by its home, the least of its first n-grams,
+so that sets that are alike mostly share a block; a home that is itself too large is cut again. Two blocks are joined,
+as a task of their own, only if they have a first n-gram in common in classes of similar size. So no group is bound to
+one task, and a group that merely chains together many small ones costs no more than they do. A task returns the links
+that join what it hasn't joined yet, whose components are those of all links, and for each class the number of all links
+that it found.
 
 N-grams are told apart by 64-bit hashes (60 bits when counted, which only sets the order).
 
@@ -23,18 +27,19 @@ number of links; each input row gives one row; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilstream.llm import exchange as ex
 from vigilstream.llm import textblocks as tb
 from vigilstream.llm.components import components
-from vigilstream.llm.shared import is_small, written
+from vigilstream.llm.shared import forget, is_small, written
 
 CHUNK = 2 << 20
 #: N-grams in a block of a candidate group.
@@ -138,7 +143,7 @@ def _first(percent: int, buckets: int):
     """In a chunk: the first n-grams of each class that are anyone else's too."""
 
     def work(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = ex.views(table)
         answers = [r for r in rows if r["kind"] == ex.ANSWER]
         meta = next((r for r in rows if r["kind"] == ex.META), None)
         none = pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "token": pa.array([], pa.int64())})
@@ -328,6 +333,41 @@ def _links(group: DataFrame, percent: int) -> DataFrame:
     return group.groupBy("component", "i", "j").applyInArrow(work, "a long, b long, reached long")
 
 
+def _tasks(first: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate groups, cut into blocks: component, block, node, n, doc_id, tk, members; and the blocks to join: component, i, j."""
+    # Sets that can be linked are of one band of sizes or of two neighbouring ones.
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-6
+    banded = first.withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    heads = banded.groupBy("token", "band").agg(F.min("node").alias("head"), F.count("*").alias("k"))
+    heads = written(heads, "heads")
+    stars = banded.join(_held(heads.where("k > 1").drop("k")), ["token", "band"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    above = heads.select("token", (F.col("band") - 1).alias("band"), F.col("head").alias("above"))
+    bridges = heads.join(_held(above), ["token", "band"]).where("head <> above").select(F.col("head").alias("a"), F.col("above").alias("b"))
+    groups = components(stars.union(bridges)).select("node", "component")
+    homes = first.groupBy("node").agg(F.min("token").alias("home"))
+    groups = groups.join(reps, "node").join(homes, "node").select("component", "node", "home", "n", "doc_id", "tk", "members")
+    groups = written(groups, "groups")
+    # What is larger than a block is as many groups, or homes, as there are blocks in all at most.
+    large = groups.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks")).where("blocks > 1")
+    hot = groups.groupBy("component", "home").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("parts")).where("parts > 1")
+    large, hot = written(large, "large"), written(hot, "hot")
+    cut = groups.join(_held(large), "component", "left").join(_held(hot), ["component", "home"], "left")
+    block = F.pmod(F.xxhash64("home"), F.coalesce("blocks", F.lit(1))) * (1 << 24) + F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    cut = written(cut.select("component", block.alias("block"), "node", "n", "doc_id", "tk", "members"), "blocks")
+    of = cut.join(_held(large.select("component")), "component", "left_semi").select("component", "block", "node")
+    has = banded.join(of, "node").groupBy("component", "token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    has = written(has, "tokens")
+    low = has.select("component", "token", F.col("block").alias("i"), F.col("least").alias("a"), F.col("most").alias("b"))
+    high = has.select("component", "token", F.col("block").alias("j"), "least", "most")
+    alike = (F.col("most") * 100 >= F.col("a") * percent) & (F.col("b") * 100 >= F.col("least") * percent)
+    pairs = low.join(high, ["component", "token"]).where((F.col("i") < F.col("j")) & alike).select("component", "i", "j")
+    own = cut.select("component", F.col("block").alias("i"), F.col("block").alias("j"))
+    pairs = written(pairs.union(own).distinct(), "pairs")
+    for table in (groups, heads, large, hot, has):
+        forget(table)
+    return cut, pairs
+
+
 def jaccard_links(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, as many as tell the components, and, where b is null, how many rows of other classes
     all links of a class reach in a task. ``docs``: doc_id, tk, text."""
@@ -338,21 +378,12 @@ def jaccard_links(docs: DataFrame, base: DataFrame, width: int, percent: int) ->
     doubles = written(doubles.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")))).select("doc_id", "tk").distinct(), "copies")
     docs, doubles = docs.alias("x"), _held(doubles).alias("y")
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & F.col("x.tk").eqNullSafe(F.col("y.tk"))
-    buckets = ex.buckets(base)
+    buckets = ex.buckets(base, base.agg(F.sum("n_shingles")).first()[0] or 0)
     asked = _asked(docs.join(doubles, same, "left_anti"), width, buckets)
-    first = ex.grouped(asked, "to", _counted).groupBy("chunk").applyInArrow(_first(percent, buckets), "node long, n long, token long")
-    first = written(first.distinct(), "first")
-    # In the order of size, a class whose next smaller one is too small for it begins a new star.
-    by = Window.partitionBy("token").orderBy("n", "node")
-    begins = F.coalesce(F.lag("n").over(by) * 100 < F.col("n") * percent, F.lit(True))
-    stars = first.withColumn("head", F.when(begins, F.col("node"))).withColumn("head", F.last("head", True).over(by))
-    groups = components(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b"))
-    groups = groups.join(reps, "node").select("component", "node", "n", "doc_id", "tk", "members")
-    so_far = Window.partitionBy("component").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = written(groups.withColumn("block", F.floor((F.sum("n").over(so_far) - F.col("n")) / BLOCK)), "groups")
-    blocks = groups.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    low, high = blocks.select("component", F.col("block").alias("i"), "most"), blocks.select("component", F.col("block").alias("j"), "least")
-    pairs = low.join(high, "component").where((F.col("i") <= F.col("j")) & (F.col("most") * 100 >= F.col("least") * percent)).select("component", "i", "j")
+    first = ex.dealt(ex.grouped(asked, "to", _counted, buckets), "chunk", buckets)
+    first = written(first.groupBy("chunk").applyInArrow(_first(percent, buckets), "node long, n long, token long").distinct(), "first")
+    groups, pairs = _tasks(first, reps, percent)
+    forget(first)
     left = groups.join(pairs.withColumn("block", F.col("i")), ["component", "block"]).withColumn("side", F.lit(0))
     right = groups.join(pairs.where("i < j").withColumn("block", F.col("j")), ["component", "block"]).withColumn("side", F.lit(1))
     tasks = left.union(right).select("component", "i", "j", "node", "side", "members")

@@ -124,5 +124,24 @@ FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+_OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) END AS s FROM d
+), k AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s), often AS (SELECT k FROM k GROUP BY 1 HAVING count(*) > 1),
+t AS (SELECT doc_id, n, k FROM k WHERE k IN (FROM often)),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.k = b.k AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id AND r.root < e.b),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1), l AS (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.root, s.doc_id)) AS component_id, coalesce(l.n, 0) AS n_links
+FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN l ON l.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op4_line_dedup": _OP4, "op8_nearest": _OP8}
+    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op8_nearest": _OP8}
