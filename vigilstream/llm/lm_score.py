@@ -1,18 +1,26 @@
 """Language-model scores from an n-gram trie of Elias-Fano levels, counted over the whole corpus.
 
-Training counts and lookups take the same way (``exchange``): a chunk of texts sends each bucket its distinct words and
-word pairs with their training counts; a bucket adds up all chunks' counts, builds the trie of its share of the pairs,
-looks up what each chunk has sent, and answers it. So nothing is broadcast or collected, every n-gram of the corpus
-counts, and a frequent word or pair reaches its bucket once for each chunk.
-
-A bucket's trie has two levels: contexts (first words) as an ascending Elias-Fano sequence, with monotone pointers to
-their successors, and the successors (second words) within each context, an Elias-Fano sequence again, with quantised
-log counts of a byte. The levels are laid in one unlinked file and memory-mapped; a pair is found by looking for its
-context and then for the successor at or after its value within the context's pointers. Words are hashes: 26 bits of the
-first and 30 of the second, which with the pair's own bucket tell apart over 60 bits.
-
-A token's probability is smoothed with the exact unigram estimate u (the base score's): with the context's count c1 and
-the pair's count c12, (c12 + mu u) / (c1 + mu). c12 is exact up to 64 and quantised in steps of 9 per cent beyond.
+The model is a trigram one. Training counts and lookups take the same way (``exchange``): a chunk of texts sends its
+distinct words, and its distinct trigrams under their contexts (the two words before), with their training counts, to
+buckets; a bucket adds up all chunks' counts, builds the trie of its contexts, looks up what each chunk has sent, and
+answers it. So nothing is broadcast or collected, every n-gram of the corpus counts, and what is frequent reaches its
+bucket once for each chunk.
+
+A context stands in one bucket with all its successors. Where both its words are among the frequent ones (``hot``), it
+has classes of third words for successors instead, and each class is a context of its own, in a bucket of its own, so no
+context is larger than a bucket by much; the probability is that of the class times that within it.
+
+A bucket's trie has two levels: contexts as an ascending Elias-Fano sequence, with monotone pointers to their successors,
+and the successors within each context, an Elias-Fano sequence again, with quantised smoothed probabilities of a byte; a
+context has its quantised count, of which the weight of the shorter n-gram follows. The levels are laid in one unlinked
+file and memory-mapped; a trigram is found by looking for its context and then for the successor at or after its value
+within the context's pointers. Words are 64-bit hashes, contexts 56 bits beside their bucket, successors 40 within their
+context.
+
+With a context's count c12, a trigram's c3, a pair's c2 (which is the count of the context that it makes), the count c1
+of a pair's first word, and the exact unigram estimate u of the base score, the probability is
+(c3 + MU3 p2) / (c12 + MU3) with p2 = (c2 + MU2 u) / (c1 + MU2). Counts up to 64 are exact, larger ones and probabilities
+are quantised in steps of a few per cent.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is not learned from, and its held_out is
 null; each input row gives one row; other columns are ignored; an empty table gives no rows.
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +42,29 @@ from pyspark.sql import functions as F
 from vigilstream.llm import exchange as ex
 from vigilstream.llm import textblocks as tb
 
-CHUNK = 4 << 20
+CHUNK = 6 << 20
+#: Weights of the pair's estimate in a trigram's, and of the word's in a pair's, in tokens.
+MU3, MU2 = 1.0, 20.0
+#: Words are frequent from this share of all tokens on at the least, so there are a million at most.
+LEAST = 1e-6
 U64 = np.uint64
-_END, _BEGIN = U64(0x1D8E4E27C47D124F), U64(0xEB44ACCAB455D165)
-_SUCCESSOR = 30
+_BEGIN, _END, _AFTER = U64(0xEB44ACCAB455D165), U64(0x1D8E4E27C47D124F), U64(0x5B0B1C5A7F3D9A21)
+_SUCCESSOR = 40
 #: Counts up to here have a code of their own; beyond, codes are steps of the logarithm.
 _EXACT = 64
-_STEPS = (255 - _EXACT) / np.log(1e9 / _EXACT)
+_STEPS = (255 - _EXACT) / np.log(1e13 / _EXACT)
+#: Bits of a probability (its negative logarithm) up to which there are codes, closer to each other for probable ones.
+_BITS = 44.0
 
 
 class EliasFano:
-    """Ascending whole numbers: low bits in the least whole type that holds them, high bits in unary."""
+    """Ascending whole numbers: low bits packed side by side, high bits in unary."""
 
     def __init__(self, values: np.ndarray):
         n = self.n = len(values)
         top = int(values[-1]) if n else 0
         self.low_bits = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
-        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if self.low_bits <= 8 * np.dtype(t).itemsize)
-        self.low = (values & U64((1 << self.low_bits) - 1)).astype(width)
+        self.low = _packed_bits(values, self.low_bits)
         high = (values >> U64(self.low_bits)).astype(np.int64)
         unary = np.zeros(-(-(n + (top >> self.low_bits) + 2) // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
@@ -82,7 +96,13 @@ class EliasFano:
         return word * 64 + at
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        return self.low[i].astype(np.uint64)
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        bit = i.astype(np.uint64) * U64(self.low_bits)
+        word, shift = (bit >> U64(6)).astype(np.int64), bit & U64(63)
+        # The second word is shifted in two steps, as none may be by 64.
+        both = (self.low[word] >> shift) | (self.low[word + 1] << U64(1) << (U64(63) - shift))
+        return both & U64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, 1) - i).astype(np.uint64) << U64(self.low_bits)) | self._low(i)
@@ -114,24 +134,41 @@ class EliasFano:
         return found
 
 
+def _packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bits of each value, without gaps, in words of 64 bits and one word more."""
+    parts = []
+    for k in range(0, len(values) if bits else 0, 1 << 16):  # 2**16 values fill whole words
+        part = (values[k : k + (1 << 16), None] >> np.arange(bits, dtype=np.uint64)) & U64(1)
+        parts.append(np.packbits(part.astype(np.uint8).ravel(), bitorder="little"))
+    raw = np.concatenate([*parts, np.zeros(8, np.uint8)])
+    return np.concatenate([raw, np.zeros(-len(raw) % 8 + 8, np.uint8)]).view("<u8")
+
+
 class Trie:
-    """Contexts, pointers, successors and quantised counts, memory-mapped. ``keys`` ascend, without repetitions."""
+    """Contexts, pointers, successors, and quantised counts and probabilities, memory-mapped.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        context = keys >> U64(_SUCCESSOR)
+    ``context`` and ``successor`` of each n-gram ascend together, without repetitions. Contexts whose lowest bit is set are
+    classes: probabilities within them are not smoothed.
+    """
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray, counts: np.ndarray):
         first = np.flatnonzero(np.diff(context, prepend=context[:1] ^ U64(1)))
-        rank = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys))).astype(np.uint64)
+        size = np.diff(first, append=len(context))
+        rank = np.repeat(np.arange(len(first)), size)
+        total = np.add.reduceat(counts, first) if len(first) else np.empty(0, np.int64)
+        mu = np.where(context[first] & U64(1), 0.0, MU3)
         self.contexts = EliasFano(context[first])
-        self.pointers = EliasFano(np.append(first, len(keys)).astype(np.uint64))
-        self.successors = EliasFano((rank << U64(_SUCCESSOR)) | (keys & U64((1 << _SUCCESSOR) - 1)))
-        self.codes = quantise(counts)
+        self.pointers = EliasFano(np.append(first, len(context)).astype(np.uint64))
+        self.successors = EliasFano((rank.astype(np.uint64) << U64(_SUCCESSOR)) | successor)
+        self.totals = quantise(total)
+        self.codes = quantise_probability(counts / (total + mu)[rank])
         self._map()
 
     def _map(self) -> None:
         levels = {"contexts": self.contexts, "pointers": self.pointers, "successors": self.successors}
         with tempfile.TemporaryFile() as f:
             at = {}
-            for name, a in [*((f"{k}.{x}", y) for k, level in levels.items() for x, y in level.arrays().items()), ("codes", self.codes)]:
+            for name, a in [*((f"{k}.{x}", y) for k, level in levels.items() for x, y in level.arrays().items()), ("totals", self.totals), ("codes", self.codes)]:
                 f.seek(-f.tell() % 8, 1)
                 at[name] = (f.tell(), a.dtype, len(a))
                 f.write(a.tobytes())
@@ -139,30 +176,27 @@ class Trie:
             look = lambda name: np.memmap(f, at[name][1], "r", at[name][0], (at[name][2],)) if at[name][2] else np.empty(0, at[name][1])
             for k, level in levels.items():
                 level.mapped({x: look(f"{k}.{x}") for x in ("low", "high")})
-            self.codes = look("codes")
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of the counts of ascending pairs, 0 for those never seen. A context is looked for once."""
-        out = np.zeros(len(keys), np.uint8)
-        if not self.successors.n or not len(keys):
-            return out
-        context = keys >> U64(_SUCCESSOR)
-        first = np.flatnonzero(np.diff(context, prepend=context[:1] ^ U64(1)))
-        rank = self.contexts.successor(context[first])
+            self.totals, self.codes = look("totals"), look("codes")
+
+    def look(self, context: np.ndarray, of: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the counts of contexts (ascending), and of the probabilities of ``successor`` within context ``of`` each; 0 if never seen."""
+        totals, codes = np.zeros(len(context), np.uint8), np.zeros(len(successor), np.uint8)
+        if not self.successors.n or not len(context):
+            return totals, codes
+        rank = self.contexts.successor(context)
         seen = np.maximum(rank, 0)
+        totals[rank >= 0] = self.totals[rank[rank >= 0]]
         lo, hi = (self.pointers.get(seen + k).astype(np.int64) for k in (0, 1))
-        at = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
-        known = np.flatnonzero(rank[at] >= 0)
-        at = at[known]
-        value = (seen[at].astype(np.uint64) << U64(_SUCCESSOR)) | (keys[known] & U64((1 << _SUCCESSOR) - 1))
-        place = self.successors.successor(value, lo[at], hi[at])
+        known = np.flatnonzero(rank[of] >= 0)
+        at = of[known]
+        place = self.successors.successor((seen[at].astype(np.uint64) << U64(_SUCCESSOR)) | successor[known], lo[at], hi[at])
         hit = place >= 0
-        out[known[hit]] = self.codes[place[hit]]
-        return out
+        codes[known[hit]] = self.codes[place[hit]]
+        return totals, codes
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """Bytes for counts of 1 or more."""
+    """Bytes for counts; 0 stays 0."""
     steps = np.rint(np.log(np.maximum(counts, _EXACT) / _EXACT) * _STEPS)
     return np.where(counts <= _EXACT, counts, np.minimum(_EXACT + steps, 255)).astype(np.uint8)
 
@@ -172,6 +206,16 @@ def counted(codes: np.ndarray) -> np.ndarray:
     return np.where(code <= _EXACT, code, _EXACT * np.exp((code - _EXACT) / _STEPS))
 
 
+def quantise_probability(p: np.ndarray) -> np.ndarray:
+    """Bytes from 1 on for probabilities above 0."""
+    return (1 + np.rint(254 * np.sqrt(np.minimum(-np.log2(np.minimum(p, 1.0)), _BITS) / _BITS))).astype(np.uint8)
+
+
+def probability(codes: np.ndarray) -> np.ndarray:
+    """0 for code 0."""
+    return np.where(codes > 0, np.exp2(-_BITS * ((codes.astype(np.float64) - 1) / 254) ** 2), 0.0)
+
+
 def pack_numbers(x: np.ndarray) -> bytes:
     """Whole numbers, the small ones common: byte planes, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
@@ -182,155 +226,262 @@ def unpack_numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _bytes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+
+
 def _tokens(c: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's words and its end, with what begins it before: hashes, and the rows' bounds."""
+    """Hashes of each row's words, after two beginnings and before its end and what is after that; and the rows' bounds."""
     w = tb.words(tb.lower_ascii(c.data), c.offsets)
-    size = w.per_row + 2
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    h = np.empty(int(bounds[-1]), np.uint64)
-    h[bounds[:-1]] = _BEGIN
-    h[bounds[1:] - 1] = _END
-    h[np.arange(len(w.hash)) + 2 * w.row() + 1] = w.hash
+    bounds = np.concatenate([[0], np.cumsum(w.per_row + 4)])
+    h = np.full(int(bounds[-1]), _BEGIN)
+    h[bounds[1:] - 2], h[bounds[1:] - 1] = _END, _AFTER
+    h[np.arange(len(w.hash)) + 4 * w.row() + 2] = w.hash
     return h, bounds
 
 
-def _pairs(ids: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of neighbouring tokens as one number, and for each token but a row's first its pair."""
-    second = np.ones(len(ids), bool)
-    second[starts] = False
-    at = np.flatnonzero(second)
-    return np.unique(ids[at - 1] * n + ids[at], return_inverse=True)
+@dataclass
+class _Plan:
+    """What a chunk asks for, made anew of the same words when the answers come.
 
+    ``scored``: places of tokens with two before them; ``tri``: the distinct trigram of each; per trigram its entries
+    (``first``, and ``second`` or -1), and per context made by words (``pair`` of a trigram's own context) its place.
+    Entries are in the order of ``to``, context and successor, contexts likewise.
+    """
 
-def _asked(docs: DataFrame, buckets: int) -> DataFrame:
+    scored: np.ndarray
+    tri: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    pair: np.ndarray
+    pairs: np.ndarray
+    context_of_pair: np.ndarray
+    to: np.ndarray
+    context: np.ndarray
+    of: np.ndarray
+    successor: np.ndarray
+
+    def pair_place(self, codes: np.ndarray) -> np.ndarray:
+        """Place among the contexts of pairs of words (as first * words + second), each of which is one."""
+        return self.context_of_pair[np.searchsorted(self.pairs, codes)]
+
+
+def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray, classes: int, buckets: int) -> _Plan:
+    n = len(word)
+    later = np.ones(len(ids), bool)
+    later[bounds[:-1]] = later[bounds[:-1] + 1] = False
+    scored = np.flatnonzero(later)
+    pairs, pair = np.unique(ids[scored - 2] * n + ids[scored - 1], return_inverse=True)
+    codes, tri = np.unique(pair * n + ids[scored], return_inverse=True)
+    pair, third = codes // n, word[codes % n]
+    one, two = word[pairs // n], word[pairs % n]
+    key = tb._mix(tb._mix(one) * U64(0xD6E8FEB86659FD93) + two) & ~U64(1)
+    frequent = np.isin(one, hot) & np.isin(two, hot)
+    split = np.flatnonzero(frequent[pair])
+    value = third >> U64(64 - _SUCCESSOR)
+    # A trigram of a frequent context is asked for twice: its class in the context, and the word in the class.
+    kind = third[split] >> U64(64 - (classes.bit_length() - 1))
+    within = tb._mix(key[pair[split]] + kind + U64(1)) | U64(1)
+    ordinary = np.flatnonzero(~frequent[pair])
+    keys = np.concatenate([key[pair[ordinary]], key[pair[split]], within])
+    values = np.concatenate([value[ordinary], kind, value[split]])
+    to = keys % U64(buckets)
+    order = np.lexsort((values, keys, to))
+    k, v = keys[order], values[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+    begins = np.ones(len(k), bool)
+    begins[1:] = k[1:] != k[:-1]
+    entry = np.empty(len(k), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    first, second = np.full(len(codes), -1), np.full(len(codes), -1)
+    first[ordinary] = entry[: len(ordinary)]
+    first[split], second[split] = np.split(entry[len(ordinary) :], 2)
+    place = np.cumsum(begins) - 1
+    context_of_entry = place[new]
+    context_of_pair = np.empty(len(pairs), np.int64)
+    context_of_pair[pair] = context_of_entry[first]
+    return _Plan(scored, tri, first, second, pair, pairs, context_of_pair, to[order][begins].astype(np.int64), k[begins], context_of_entry, v[new])
+
+
+def _asked(docs: DataFrame, hot: np.ndarray, classes: int, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for c in tb.chunks(batches, size=CHUNK):
             chunk += 1
             h, bounds = _tokens(c)
             word, ids = np.unique(h, return_inverse=True)
-            to = (word % U64(buckets)).astype(np.int64)
-            order = np.lexsort((word, to))
+            order = np.lexsort((word, word % U64(buckets)))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            word, to, ids = word[order], to[order], place[ids]
-            learn = c.rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            train = np.repeat(learn, np.diff(bounds))
-            times = np.bincount(ids[train], minlength=len(word))
-            pair, at = _pairs(ids, len(word), bounds[:-1])
-            later = np.ones(len(ids), bool)
-            later[bounds[:-1]] = False
-            pair_times = np.bincount(at[train[later]], minlength=len(pair))
-            first, second = word[pair // len(word)], word[pair % len(word)]
-            key = (first >> U64(38) << U64(_SUCCESSOR)) | (second >> U64(34))
-            pair_order, pair_bounds = ex.by_bucket(tb._mix(first * U64(0xD6E8FEB86659FD93) + second), buckets)
-            word_bounds = np.searchsorted(to, np.arange(buckets + 1))
+            word, ids = word[order], place[ids]
+            train = np.repeat(c.rows.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+            once = train.copy()
+            once[bounds[:-1]] = once[bounds[1:] - 1] = False  # a beginning counts once, what is after the end never
+            times = np.bincount(ids[once], minlength=len(word))
+            plan = _plan(ids, word, bounds, hot, classes, buckets)
+            tri_times = np.bincount(plan.tri[train[plan.scored]], minlength=len(plan.first))
+            count = np.bincount(plan.first, tri_times, len(plan.successor)).astype(np.int64)
+            there = plan.second >= 0
+            count[plan.second[there]] += tri_times[there]
+            word_at = np.searchsorted((word % U64(buckets)).astype(np.int64), np.arange(buckets + 1))
+            context_at = np.searchsorted(plan.to, np.arange(buckets + 1))
+            entry_at = np.searchsorted(plan.of, context_at)
+            size = np.bincount(plan.of, minlength=len(plan.context))
+            raw = plan.successor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             rows = []
             for b in range(buckets):
-                k = slice(word_bounds[b], word_bounds[b + 1])
-                p = pair_order[pair_bounds[b] : pair_bounds[b + 1]]
-                words_part = ex.pack_keys(word[k], buckets)
-                pairs_part = key[p].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-                rows.append(ex.row(b, chunk, ex.ASK, words_part, pairs_part, ex.pack_places(p), pack_numbers(np.concatenate([times[k], pair_times[p]]))))
+                w, x, e = (slice(at[b], at[b + 1]) for at in (word_at, context_at, entry_at))
+                if w.start == w.stop and x.start == x.stop:
+                    continue
+                flag = plan.context[x] & U64(1)
+                contexts = ex.pack_keys((plan.context[x] // U64(buckets) & ~U64(1) | flag) * U64(buckets), buckets)
+                numbers = pack_numbers(np.concatenate([[w.stop - w.start], times[w], size[x], count[e]]))
+                rows.append(ex.row(b, chunk, ex.ASK, word[w].astype("<u8").tobytes(), contexts, np.ascontiguousarray(raw[e]).tobytes(), numbers))
             number = c.rows.column(0)
             flags = number.is_null().to_numpy(zero_copy_only=False) * 1 + c.rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64) * 2
             known = number.fill_null(0).to_numpy(zero_copy_only=False)
             table = np.concatenate([known.astype("<i8"), flags.astype("<i8"), np.diff(bounds).astype("<i8")])
-            rows.append(ex.row(chunk % buckets, chunk, ex.META, table.tobytes(), pack_numbers(ids), len(word).to_bytes(8, "little")))
+            rows.append(ex.row(chunk % buckets, chunk, ex.META, table.tobytes(), pack_numbers(ids), word.astype("<u8").tobytes()))
             yield ex.batch(rows)
 
     return docs.mapInArrow(work, ex.SCHEMA)
 
 
-def _merged(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    head = np.flatnonzero(np.diff(k, prepend=k[:1] ^ U64(1)))
-    return k[head], np.add.reduceat(times[order], head) if len(head) else np.empty(0, np.int64)
-
-
-def _counted(buckets: int):
-    begin = int((int(_BEGIN) // buckets) & ((1 << 56) - 1))
-    begin_bucket = int(_BEGIN) % buckets
-
-    def work(rows: list[dict]) -> list[tuple]:
-        out = [ex.row(r["to"], r["chunk"], r["kind"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] != ex.ASK]
-        rows = [r for r in rows if r["kind"] == ex.ASK]
-        if not rows:
-            return out
-        words, pairs, word_times, pair_times = [], [], [], []
-        for r in rows:
-            words.append(ex.unpack_keys(r["a"]))
-            pairs.append(ex.unpack_keys(r["b"]))
-            n = unpack_numbers(r["d"])
-            word_times.append(n[: len(words[-1])])
-            pair_times.append(n[len(words[-1]) :])
-        word, total = _merged(np.concatenate(words), np.concatenate(word_times))
-        token = np.ones(len(word), bool)
-        if rows[0]["to"] == begin_bucket:
-            token = word != U64(begin)
-        size, distinct = int(total[token].sum()), int((total[token] > 0).sum())
-        key, number = _merged(np.concatenate(pairs), np.concatenate(pair_times))
-        codes = Trie(key[number > 0], number[number > 0]).counts(key)
-        for r, w, p in zip(rows, words, pairs, strict=True):
-            here = total[np.searchsorted(word, w)]
-            code = codes[np.searchsorted(key, p)]
-            sizes = np.array([size, distinct], "<i8").tobytes()
-            out.append(ex.row(r["to"], r["chunk"], ex.ANSWER, pack_numbers(here), r["c"], zstandard.ZstdCompressor(level=1).compress(code.tobytes()), sizes))
+def _counted(rows: list[dict]) -> list[tuple]:
+    """In a bucket: the words' counts, the trie of its contexts, and what it says of each chunk's n-grams."""
+    out = [ex.row(r["to"], r["chunk"], r["kind"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] != ex.ASK]
+    rows = [r for r in rows if r["kind"] == ex.ASK]
+    if not rows:
         return out
-
-    return work
-
-
-def _scored(table: pa.Table, mu: float) -> pa.Table:
-    rows = table.sort_by("to").to_pylist()
+    words, word_times, contexts, successors, sizes, times = [], [], [], [], [], []
+    for r in rows:
+        words.append(np.frombuffer(r["a"], "<u8"))
+        contexts.append(ex.unpack_keys(r["b"]))
+        successors.append(ex.unpack_keys(r["c"], 5))
+        n = unpack_numbers(r["d"])
+        x, y = 1 + int(n[0]), 1 + int(n[0]) + len(contexts[-1])
+        word_times.append(n[1:x]), sizes.append(n[x:y]), times.append(n[y:])
+    word, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(word_times), len(word)).astype(np.int64)
+    token = (word != _BEGIN) & (word != _AFTER)
+    size, distinct = int(total[token].sum()), int((total[token] > 0).sum())
+    context, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
+    of = np.repeat(of_context, np.concatenate(sizes))
+    successor, number = np.concatenate(successors), np.concatenate(times)
+    order = np.lexsort((successor, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (successor[order][1:] != successor[order][:-1])
+    head = order[new]
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    number = np.bincount(entry, number, len(head)).astype(np.int64)
+    seen = number > 0
+    totals, codes = Trie(context[of[head]][seen], successor[head][seen], number[seen]).look(context, of[head], successor[head])
+    whole = np.array([size, distinct], "<i8").tobytes()
+    w_at, x_at, e_at = (np.cumsum([0, *map(len, x)]) for x in (words, contexts, successors))
+    for k, r in enumerate(rows):
+        found = _squeezed(np.concatenate([totals[of_context[x_at[k] : x_at[k + 1]]], codes[entry[e_at[k] : e_at[k + 1]]]]))
+        lengths = np.array([x_at[k + 1] - x_at[k]], "<i8").tobytes()
+        out.append(ex.row(r["to"], r["chunk"], ex.ANSWER, pack_numbers(total[inverse[w_at[k] : w_at[k + 1]]]), found, lengths, whole))
+    return out
+
+
+def _scored(table: pa.Table, hot: np.ndarray, classes: int, buckets: int) -> pa.Table:
+    rows = sorted(ex.views(table), key=lambda r: r["to"])
     meta = next(r for r in rows if r["kind"] == ex.META)
     answers = [r for r in rows if r["kind"] == ex.ANSWER]
-    n_words = int.from_bytes(meta["c"], "little")
     number, flags, size = np.frombuffer(meta["a"], "<i8").reshape(3, -1)
-    ids = unpack_numbers(meta["b"])
+    ids, word = unpack_numbers(meta["b"]), np.frombuffer(meta["c"], "<u8")
     bounds = np.concatenate([[0], np.cumsum(size)])
+    plan = _plan(ids, word, bounds, hot, classes, buckets)
     count = np.concatenate([unpack_numbers(r["a"]) for r in answers])
-    sizes = np.sum([np.frombuffer(r["d"], "<i8") for r in answers], axis=0)
-    train, distinct = int(sizes[0]), int(sizes[1])
-    pair, at = _pairs(ids, n_words, bounds[:-1])
-    codes = np.zeros(len(pair), np.uint8)
+    contexts, entries = [], []
     for r in answers:
-        code = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["c"]), np.uint8)
-        codes[ex.unpack_places(r["b"], len(code))] = code
+        found, n = _bytes(r["b"]), int(np.frombuffer(r["c"], "<i8")[0])
+        contexts.append(found[:n]), entries.append(found[n:])
+    contexts, entries = counted(np.concatenate(contexts)), probability(np.concatenate(entries))
+    return _table(number, flags, size, ids, bounds, plan, count, contexts, entries, _whole(answers))
+
+
+def _whole(answers: list[dict]) -> tuple[int, int]:
+    train, distinct = np.sum([np.frombuffer(r["d"], "<i8") for r in answers], axis=0)
+    return int(train), int(distinct)
+
+
+def _table(number, flags, size, ids, bounds, plan: _Plan, count, contexts, entries, whole: tuple[int, int]) -> pa.Table:
+    train, distinct = whole
     unigram = (count + 0.5) / (train + 0.5 * (distinct + 1))
-    first, second = pair // n_words, pair % n_words
-    seen = count[first]
-    p = (np.minimum(counted(codes), seen) + mu * unigram[second]) / (seen + mu)
-    later = np.ones(len(ids), bool)
-    later[bounds[:-1]] = False
-    token = ids[later]
-    doc = np.repeat(np.arange(len(size)), size - 1)
+    n = len(count)
+    last = np.zeros(len(ids), bool)
+    last[bounds[1:] - 1] = True
+    real = ~last[plan.scored]  # what is after the end is no token
+    at, tri = plan.scored[real], plan.tri[real]
+    second, third = ids[at - 1], ids[at]
+    c1 = count[second]
+    c2 = np.minimum(contexts[plan.pair_place(second * n + third)], c1)
+    p2 = (c2 + MU2 * unigram[third]) / (c1 + MU2)
+    p = entries[plan.first] * np.where(plan.second >= 0, entries[plan.second], 1.0)
+    left = MU3 / (contexts[plan.context_of_pair[plan.pair]] + MU3)
+    p = p[tri] + left[tri] * p2
+    doc = np.searchsorted(bounds, at, side="right") - 1
     add = lambda x: np.bincount(doc, x, len(size))
-    known = (np.bincount(doc, count[token] > 0, len(size))).astype(np.int64)
     held = pa.array((flags & 2) > 0, mask=(flags & 1) > 0)
     return pa.table(
         {
             "doc_id": pa.array(number, mask=(flags & 1) > 0),
             "held_out": held,
-            "n_tokens": pa.array(size - 1),
-            "n_known": pa.array(known),
+            "n_tokens": pa.array(size - 3),
+            "n_known": pa.array(add(count[third] > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(size), train)),
-            "base_score": pa.array(add(np.log10(unigram)[token])),
-            "score": pa.array(add(np.log10(p)[at])),
+            "base_score": pa.array(add(np.log10(unigram)[third])),
+            "score": pa.array(add(np.log10(p))),
         }
     )
 
 
-def lm_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 5, held: int = 1, mu: float = 500.0) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of words that may stand in more contexts than a bucket holds, and the number of tokens.
 
-    ``mu``: weight of the unigram estimate, in tokens.
+    A word that is frequent in all is so in some chunk; a chunk tells those of half the share that matters. What is found
+    only deals n-grams to buckets, in the same way for all chunks, so it changes no result.
     """
+    tokens = docs.select(F.sum(F.octet_length("text") / 4 + 3)).first()[0] or 1
+    share = max(LEAST, ex.KEYS / 2 / tokens)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in tb.chunks(batches, size=CHUNK):
+            h, bounds = _tokens(c)
+            word, times = np.unique(h, return_counts=True)
+            often = times >= share / 2 * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(word[often], U64(0)).view(np.int64)), pa.array(np.append(times[often], len(h)))], ["word", "n"])
+
+    told = docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    n = told.where("word = 0").agg(F.sum("n")).first()[0] or 0
+    if n * share < 2:
+        return np.empty(0, np.uint64), n
+    found = told.where((F.col("word") != 0) & (F.col("n") >= share / 2 * n)).collect()  # 2 / LEAST at most
+    return np.sort(np.array([r.word for r in found], np.int64).view(np.uint64)), n
+
+
+def lm_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 5, held: int = 1) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     number = docs[id_column].cast("long")
     left = F.crc32(number.cast("string").cast("binary")) % modulus == held
     rows = docs.select(number.alias("doc_id"), F.coalesce(~left, F.lit(False)).alias("learn"), F.coalesce(left, F.lit(False)).alias("held"), docs[text_column].cast("string").alias("text"))
-    buckets = ex.buckets(docs)
-    answered = ex.grouped(_asked(rows, buckets), "to", _counted(buckets))
-    return answered.groupBy("chunk").applyInArrow(lambda table: _scored(table, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    hot, n = frequent(rows)
+    buckets = ex.buckets(docs, 2 * n)
+    classes = 1 << min(16, max(4, (n // ex.KEYS).bit_length()))
+    answered = ex.grouped(_asked(rows, hot, classes, buckets), "to", _counted, buckets)
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def work(table: pa.Table) -> pa.Table:
+        out = _scored(table, hot, classes, buckets)
+        tb.release()
+        return out
+
+    return ex.dealt(answered, "chunk", buckets).groupBy("chunk").applyInArrow(work, kind)
