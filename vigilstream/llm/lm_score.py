@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from vigilstream.llm import exchange as ex
 from vigilstream.llm import textblocks as tb
 
-CHUNK = 6 << 20
+CHUNK = 8 << 20
 #: Weights of the pair's estimate in a trigram's, and of the word's in a pair's, in tokens.
 MU3, MU2 = 1.0, 20.0
 #: Words are frequent from this share of all tokens on at the least, so there are a million at most.

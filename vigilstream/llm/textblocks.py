@@ -38,12 +38,25 @@ class Chunk:
         return len(self.offsets) - 1
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[Chunk]:
-    """Slices of the batches of at most ``size`` bytes of text, or one text; a null text has no bytes."""
+def _whole(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together while they have less than ``size`` bytes of text."""
+    waiting, total = [], 0
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index(column))
-        if not len(text):
+        if not len(batch):
             continue
+        waiting.append(batch)
+        total += batch.column(batch.schema.get_field_index(column)).nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, total = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[Chunk]:
+    """Rows of the batches with about ``size`` bytes of text, or one text; a null text has no bytes."""
+    for batch in _whole(batches, column, size):
+        text = batch.column(batch.schema.get_field_index(column))
         if not pa.types.is_large_string(text.type):
             text = text.cast(pa.large_string())
         at, n = text.offset, len(text)
@@ -52,7 +65,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.empty(0, np.uint8)
         start = 0
         while start < n:
-            stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
+            # What is left over goes with the last chunk rather than into one of its own.
+            stop = n if offsets[n] - offsets[start] <= size + size // 2 else int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
             stop = min(max(stop, start + 1), n)
             base = offsets[start]
             yield Chunk(batch.slice(start, stop - start), data[base : offsets[stop]], offsets[start : stop + 1] - base)
