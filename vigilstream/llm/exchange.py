@@ -26,7 +26,7 @@ SCHEMA = "to long, chunk long, kind int, a binary, b binary, c binary, d binary,
 NAMES = ["to", "chunk", "kind", "a", "b", "c", "d", "e"]
 ASK, ANSWER, REPEATS, META, OUT = range(5)
 #: Keys that a bucket holds on average at most; working on them takes about 100 bytes each.
-KEYS = 2_000_000
+KEYS = 1_000_000
 U64 = np.uint64
 
 

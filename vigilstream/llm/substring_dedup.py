@@ -49,10 +49,13 @@ def joined(data: np.ndarray, words: tb.Words, keep: np.ndarray) -> tuple[np.ndar
     start, end, row = words.start[keep], words.end[keep], words.row()[keep]
     later = np.zeros(len(start), bool)
     later[1:] = row[1:] == row[:-1]
+    # The byte before a later word of a row is white space of that row, and is taken as the space.
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start - later] += 1
+    edge[end] -= 1
+    out = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
     size = end - start + later
     to = np.cumsum(size) - size
-    source = np.arange(int(size.sum())) + np.repeat(start - later - to, size)
-    out = data[source]
     out[to[later]] = 32
     bounds = np.concatenate([to, [len(out)]])[np.searchsorted(row, np.arange(len(words.first)))]
     return out, bounds
@@ -339,7 +342,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id",
     for level in levels:
         forget(level)
     cut = _cut(docs.join(_held(found.where("length(spans) > 0").select("doc_id", "tk", "spans"), "spans"), ["doc_id", "tk"]))
-    cut = written(cut.select("doc_id", "tk", "removed", "kept_sha256").dropDuplicates(["doc_id", "tk"]), "cut")
+    cut = written(cut.dropDuplicates(["doc_id", "tk"]), "cut")
     lengths = found.select("doc_id", "tk", "length")
     out = base.join(_held(cut), ["doc_id", "tk"], "left").join(_held(lengths), ["doc_id", "tk"], "left")
     copy = F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False))
@@ -360,7 +363,7 @@ def _largest(n, width: int):
 
 
 def _cut(marked: DataFrame) -> DataFrame:
-    """doc_id, tk, removed, kept_sha256 and kept of texts with spans to remove."""
+    """doc_id, tk, removed and kept_sha256 of texts with spans to remove."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in tb.chunks(batches, size=CHUNK):
@@ -372,10 +375,8 @@ def _cut(marked: DataFrame) -> DataFrame:
                 np.subtract.at(change, first + end, 1)
             gone = np.cumsum(change)[:-1] > 0
             text, at = joined(c.data, w, ~gone)
-            removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), np.minimum(w.first[:-1], len(gone))) if len(w.first) > 1 else []
-            removed = np.where(w.per_row > 0, removed, 0)
-            kept = [text[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            sha = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([c.rows.column(0), c.rows.column(1), pa.array(removed.astype(np.int64)), pa.array(sha), pa.array([x.decode() for x in kept])], ["doc_id", "tk", "removed", "kept_sha256", "kept"])
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
+            sha = [hashlib.sha256(memoryview(text)[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.rows.column(0), c.rows.column(1), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string())], ["doc_id", "tk", "removed", "kept_sha256"])
 
-    return marked.select("doc_id", "tk", "text", "spans").mapInArrow(work, "doc_id long, tk long, removed long, kept_sha256 string, kept string")
+    return marked.select("doc_id", "tk", "text", "spans").mapInArrow(work, "doc_id long, tk long, removed long, kept_sha256 string")
