@@ -4,15 +4,19 @@ Words are runs of letters and digits in lower case; shingles are five words (all
 text whose shingle an item has too is shared, and the start at which item and text agree there is aligned. Windows of an
 item's size are laid at every start from the least to the greatest aligned start of the shared places inside, if there
 are enough of these for the similarity; they get a 64-bit SimHash of their shingles (each occurrence weighs one).
-Fingerprints of windows and items of the same size meet
-in a multi-index of ``BLOCKS`` bit blocks: two fingerprints that differ in at most ``BLOCKS - 1`` bits agree in a
-block, so all pairs within ``RADIUS`` are found. They are then verified by the similarity of their shingle multisets,
-sum of least counts over sum of greatest. The laying misses no best window: beyond all aligned starts of its shared
-places, a window's outer shingle is not shared, so a step towards them loses nothing. A window of similarity 0.8 differs
-in 10 of 64 bits on average (standard deviation 3), far within the radius.
+The laying misses no best window: beyond all aligned starts of its shared places, a window's outer shingle is not shared,
+so a step towards them loses nothing.
 
-Everything is made of DataFrame functions. Item shingles are broadcast while there are at most ``HELD``; windows travel
-as places only and meet their texts again by a content key.
+Fingerprints meet in a multi-index of ``BLOCKS`` bit blocks: two fingerprints that differ in at most ``BLOCKS - 1`` bits
+agree in a block, so all pairs within ``RADIUS`` are found. A window of similarity 0.8 differs in 10 of 64 bits on average
+(standard deviation 3), far within the radius; blocks that guarantee such a radius are of two or three bits, on which alone
+a third of all windows and items would meet. So each text has an index of its own, of the items of which it has as many
+shingles as the similarity needs at the least: the blocks' keys carry the text, no key is common to many texts, and no
+window meets an item that its text shares too little with. Pairs are then verified by the similarity of their shingle
+multisets, sum of least counts over sum of greatest.
+
+Everything is made of DataFrame functions. Item shingles are broadcast while there are at most ``HELD``; copies of a
+text are worked on once, by its MD5; windows travel as places and fingerprints only.
 
 Defined results: a null or empty text or item matches nothing; items with fewer than five words match as a whole; a
 window that would reach over an end of the text is moved inside it; each input row gives one row; repeated items count
@@ -21,6 +25,8 @@ by their item_id; a null item_id is left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,36 +64,49 @@ def _blocks(fp: str) -> Column:
 
 
 def _common(a: str, b: str) -> Column:
-    """Size of the intersection of two multisets."""
+    """Size of the intersection of two multisets, as sorted arrays.
+
+    Distinct values are intersected by hash. What is left of each multiset then, an occurrence less of each value, is
+    empty unless shingles are repeated, and only what both have left is counted value by value.
+    """
+    rest = lambda xs: F.filter(xs, lambda x, i: (i > 0) & F.coalesce(x == F.get(F.col(xs), i - 1), F.lit(False)))
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    x, y = rest(a), rest(b)
+    repeated = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, v: n + F.least(times(x, v), times(y, v)))
+    both = F.size(F.array_intersect(a, b))
+    return both + F.when((F.size(x) > 0) & (F.size(y) > 0), repeated).otherwise(0)
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows with a key made of their content, the same in any later scan."""
+def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
+    """k (MD5 of the text) and text."""
     text = docs[text_column].cast("string")
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[id_column].cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
+    return docs.select(F.md5(text.cast("binary")).alias("k"), text.alias("text")).where("k is not null")
 
 
 def _held(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df, HELD) else df
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """k1, k2 (the key of documents' contents), item_id and similarity of every item that a document holds."""
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """k (the MD5 of a text), item_id and similarity of every item that a text holds."""
     items = benchmark.select(benchmark[item_id_column].alias("item_id"), _words(benchmark[item_text_column]).alias("words")).where("item_id is not null and size(words) > 0")
-    items = items.withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WIDTH)))
-    keyed = _keyed(docs, id_column, text_column)
+    # Items are told apart by their rows, as numbers may be repeated.
+    items = items.withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WIDTH))).withColumn("row", F.monotonically_increasing_id())
+    items = written(items, "items")
+    keyed = _keyed(docs, text_column)
     parts = []
     for width in sorted(r.width for r in items.select("width").distinct().collect()):  # five at most
         some = items.where(F.col("width") == width).withColumn("shingles", _shingles(F.col("words"), width))
         parts.append(_matches(keyed, some, width, similarity))
     if not parts:
-        return keyed.where("false").select("k1", "k2", F.lit(None).cast(benchmark.schema[item_id_column].dataType).alias("item_id"), F.lit(0.0).alias("similarity"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("k1", "k2", "item_id").agg(F.max("similarity").alias("similarity"))
+        return keyed.where("false").select("k", F.lit(None).cast(benchmark.schema[item_id_column].dataType).alias("item_id"), F.lit(0.0).alias("similarity"))
+    return reduce(DataFrame.unionByName, parts).groupBy("k", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def _need(n: Column, width: int, similarity: float) -> Column:
+    """Shared places that a window of n words needs at the least."""
+    m = n - (width - 1)
+    return F.greatest(F.lit(1), F.ceil(2 * m * F.lit(similarity) / (1 + F.lit(similarity)) - 1e-6).cast("int"))
 
 
 def _starts(width: int, similarity: float) -> Column:
@@ -97,7 +116,7 @@ def _starts(width: int, similarity: float) -> Column:
     """
     p, n, end = F.col("p"), F.col("n"), F.col("size") - F.col("n")
     m = n - (width - 1)
-    need = F.greatest(F.lit(1), F.ceil(2 * m * F.lit(similarity) / (1 + F.lit(similarity)) - 1e-6).cast("int"))
+    need = _need(n, width, similarity)
     inside = lambda x: F.greatest(F.lit(0), F.least(x, end))
 
     def of(i: Column) -> Column:
@@ -114,45 +133,56 @@ def _starts(width: int, similarity: float) -> Column:
 
 def _matches(keyed: DataFrame, items: DataFrame, width: int, similarity: float) -> DataFrame:
     # The first and last place of a shingle in items of a size bound its aligned starts.
-    laid = items.select("n", F.posexplode("shingles").alias("k", "h")).groupBy("n", "h").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    laid = written(laid, "items")
-    texts = keyed.select("k1", "k2", _words(F.col("text")).alias("words"))
-    places = texts.select("k1", "k2", F.size("words").alias("size"), F.posexplode(_shingles(F.col("words"), width)).alias("at", "h"))
-    shared = places.join(_held(laid), "h").select("k1", "k2", "n", "size", "at", (F.col("at") - F.col("last")).alias("low"), (F.col("at") - F.col("first")).alias("high")).distinct()
-    shared = shared.groupBy("k1", "k2", "n", "size").agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("p"))
-    shared = shared.select("k1", "k2", "n", F.explode(_starts(width, similarity)).alias("start"))
-    windows = written(shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "start")).alias("windows")), "windows")
-    texts = keyed.join(_held(windows), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    texts = texts.select("k1", "k2", "windows", _words(F.col("text")).alias("words"))
-    window = texts.select("k1", "k2", F.explode("windows").alias("w"), "words").select("k1", "k2", "w.n", F.expr("slice(words, w.start + 1, w.n)").alias("words"))
-    window = window.select("k1", "k2", "n", _shingles(F.col("words"), width).alias("shingles"))
+    laid = items.select("n", F.posexplode("shingles").alias("at", "h")).groupBy("n", "h").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    laid = written(laid, "laid")
+    texts = keyed.select("k", _words(F.col("text")).alias("words"))
+    places = texts.select("k", F.size("words").alias("size"), F.posexplode(_shingles(F.col("words"), width)).alias("at", "h"))
+    shared = places.join(_held(laid), "h").select("k", "n", "size", "at", (F.col("at") - F.col("last")).alias("low"), (F.col("at") - F.col("first")).alias("high")).distinct()
+    shared = shared.groupBy("k", "n", "size").agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("p"))
+    starts = written(shared.select("k", "n", F.explode(_starts(width, similarity)).alias("start")), "starts")
+    # Tasks are few bytes and much work from here on, so their number is told.
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = keyed.join(_held(starts.select("k").distinct()), "k", "left_semi").repartition(tasks, "k").dropDuplicates(["k"])
+    texts = written(texts.select("k", _words(F.col("text")).alias("words")), "texts")
+    # Windows of a text go together in lists of so many starts at most.
+    lists = starts.groupBy("k", F.floor(F.col("start") / 2048).alias("part")).agg(F.collect_list(F.struct("n", "start")).alias("windows"))
+    window = lists.repartition(tasks, "k").join(texts.repartition(tasks, "k"), "k").select("k", "words", F.explode("windows").alias("w"))
+    window = window.select("k", "w.n", "w.start", F.expr("slice(words, w.start + 1, w.n)").alias("words"))
+    window = window.select("k", "n", "start", F.array_sort(_shingles(F.col("words"), width)).alias("shingles"))
     window = written(window.select("*", fingerprint(F.col("shingles")).alias("fp")), "prints")
-    items = written(items.select("item_id", "n", F.col("shingles").alias("item_shingles"), fingerprint(F.col("shingles")).alias("item_fp")), "item-prints")
-    a = window.select("*", F.explode(_blocks("fp")).alias("x")).select("*", "x.b", "x.v")
-    b = items.select("*", F.explode(_blocks("item_fp")).alias("x")).select("*", "x.b", "x.v").drop("x")
+    items = written(items.select("row", "item_id", "n", F.array_sort("shingles").alias("item_shingles"), fingerprint(F.col("shingles")).alias("item_fp")), "item-prints")
+    # The items of each text's index.
+    known = items.select("row", F.explode(F.array_distinct("item_shingles")).alias("h"))
+    places = texts.select("k", F.explode(_shingles(F.col("words"), width)).alias("h"))
+    index = places.join(_held(known), "h").groupBy("k", "row").agg(F.count("*").alias("places"))
+    index = index.join(_held(items.select("row", "n", "item_fp")), "row").where(F.col("places") >= _need(F.col("n"), width, similarity))
+    index = written(index.select("k", "row", "n", "item_fp"), "index")
+    a = window.select("k", "n", "start", "fp", F.explode(_blocks("fp")).alias("x")).select("*", "x.b", "x.v").drop("x")
+    b = index.select("k", "n", "row", "item_fp", F.explode(_blocks("item_fp")).alias("x")).select("*", "x.b", "x.v").drop("x")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     # Of the blocks in which a pair agrees only the first goes on, so each pair is verified once.
     first = F.col("b") == F.expr("array_position(transform(arrays_zip(p, q), z -> z.p.v = z.q.v), true) - 1")
-    pairs = a.withColumn("p", _blocks("fp")).join(_held(b.withColumn("q", _blocks("item_fp"))), ["n", "b", "v"]).where(near & first)
+    pairs = a.withColumn("p", _blocks("fp")).join(_held(b.withColumn("q", _blocks("item_fp"))), ["k", "n", "b", "v"]).where(near & first)
+    pairs = written(pairs.select("k", "n", "start", "row"), "pairs")
+    pairs = window.join(_held(pairs), ["k", "n", "start"]).join(_held(items.select("row", "item_id", "item_shingles")), "row")
     common = _common("shingles", "item_shingles")
     sim = common / (F.size("shingles") + F.size("item_shingles") - common)
-    return pairs.select("k1", "k2", "item_id", sim.alias("similarity")).where(F.col("similarity") >= similarity)
+    return pairs.select("k", "item_id", sim.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and the largest similarity."""
-    found = matches(docs, benchmark, similarity, id_column, text_column)
-    found = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.max("similarity").alias("similarity"))
+    found = matches(docs, benchmark, similarity, text_column)
+    found = found.groupBy("k").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.max("similarity").alias("similarity"))
     found = written(found, "found")
-    rows = _keyed(docs, id_column, text_column).select("doc_id", "k1", "k2").join(_held(found), ["k1", "k2"], "left")
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.md5(docs[text_column].cast("string").cast("binary")).alias("k")).join(_held(found), "k", "left")
     n = F.coalesce(F.size("ids"), F.lit(0))
     return rows.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.greatest(n, F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_column: str = "text") -> DataFrame:
     """The documents that hold no item, with their columns."""
-    found = written(matches(docs, benchmark, similarity, id_column, text_column).select("k1", "k2").distinct(), "found")
-    k1 = F.coalesce(docs[id_column].cast("long"), F.lit(-(2**63)))
-    marked = docs.withColumn("__k1", k1).withColumn("__k2", F.xxhash64(docs[text_column].cast("string")))
-    found = _held(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
-    return marked.join(found, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    found = written(matches(docs, benchmark, similarity, text_column).select("k").distinct(), "found")
+    found = _held(found.select(F.struct("k").alias("__held")))
+    key = F.struct(F.md5(docs[text_column].cast("string").cast("binary")).alias("k"))
+    return docs.join(found, key == found["__held"], "left_anti")
