@@ -5,12 +5,15 @@ import itertools
 import math
 import random
 import re
+import time
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from vigilstream.llm import bpe_codec, components, decontamination, exchange, language_id, line_dedup, lm_score, neighbours, ngram_join, secret_scan, substring_dedup, textblocks, token_counts
 from vigilstream.llm.queries import oracle_sql, queries
@@ -207,22 +210,50 @@ def test_line_matching():
         assert line_dedup.matched(pairs) == most
 
 
+def secrets(rows):
+    """What the scan returns, by regular expressions and plain counting. Rows: doc_id, text, source."""
+    patterns = [*((re.compile(p, re.A), g, lambda v, n=n: len(v) >= n) for _, p, g, n in secret_scan.BASE), (re.compile(secret_scan.TOKEN), 0, lambda v: bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v)))]
+    every = []
+    for _, t, _ in rows:
+        spans = [(m.start(), k, m.end(), m[g]) for k, (p, g, good) in enumerate(patterns) for m in p.finditer(t or "") if good(m[g])]
+        every.append(sorted(s for s in spans if s[1] < 3 or not any(b[1] < 3 and b[0] < s[2] and s[0] < b[2] for b in spans)))
+    holders = {}
+    for (_, t, source), spans in zip(rows, every, strict=True):
+        by = ((source or "").split("/")[0], source or "")
+        for *_, v in spans:
+            texts = holders.setdefault(v, {})
+            texts[t] = min(by, texts.get(t, by))
+    live = {v for v, texts in holders.items() if len({o for o, _ in texts.values()}) <= 1 and len(set(texts.values())) <= 10}
+    names = ["assign", "access", "hex", "owned"]
+    out = []
+    for (d, *_), spans in zip(rows, every, strict=True):
+        text = lambda some: ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in some)
+        base = [s for s in spans if s[1] < 3]
+        out.append((d, *(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(text(base).encode()).hexdigest(), text([s for s in spans if s[1] < 3 or s[3] in live]), sum(s[3] in live for s in spans), sum(s[3] not in live for s in spans)))
+    return out
+
+
 def test_secret_scan(spark):
-    token = "Zx9" * 8
-    live, copied = "ghp_" + "a1B2c3D4e5" * 3, "example0" * 4
-    odd = ["password = hunter2hunter2 x", "API-key api_key: 'abc' token=secret=abcdefghij", "AKIAABCDEFGHIJKL12 AKIASHORT", "é" * 3 + "0123456789abcdef" * 3, "password=token:abcdefghij", None, "", f"use {live} here", f"try {copied}", f"try {copied} now", f"token: {token}"]
-    rows = [(k if k != 3 else None, t, f"org{k}/repo") for k, t in enumerate(odd)]
-    got = {r.doc_id: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    patterns = [(re.compile(p, re.A), g, n) for _, p, g, n in secret_scan.BASE]
-    for d, t, _ in rows:
-        spans = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(patterns) for m in p.finditer(t or "") if len(m[g]) >= n)
-        text = ",".join(f"{secret_scan.BASE[k][0]}:{a}:{b}" for a, k, b in spans)
-        r = got[d]
-        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
-        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
-    at = odd[7].index(live)
-    assert got[7].spans == f"owned:{at}:{at + len(live)}"
-    assert got[8].spans == got[9].spans == "" and got[8].n_copied == 1
+    rnd = random.Random(9)
+    one, live, copied = "glp_" + "b7C8" * 6, "ghp_" + "a1B2c3D4e5" * 3, "example0" * 4
+    odd = ["password = hunter2hunter2 x", "API-key api_key: 'abc' token=secret=abcdefghij", "AKIAABCDEFGHIJKL12 AKIASHORT", "é" * 3 + "0123456789abcdef" * 3, "password=token:abcdefghij", None, "", f"use {one} here", f"use {one} here", f"try {copied}", f"try {copied} now", "token: " + "Zx9" * 8]
+    parts = ["password=", "token: ", "secret = '", "AKIA", "0123456789abcdef" * 2, "é ", " ", "x", "Zq1" * 7, "A1b2" * 6, "ABCD" * 4, live, copied, ",", "\n", "=", "/" * 3]
+    texts = odd + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25))) for _ in range(150)]
+    rows = [(None if k % 23 == 3 else k, t, (None, f"org{k % 4}/repo{k % 3}", f"org{k % 9}/repo{k}", "plain")[k % 4]) for k, t in enumerate(texts)]
+    rows[7:9] = [(7, odd[7], "org7/a"), (8, odd[8], "org8/b")]  # copies of a text have one owner
+    rows += rows[:3] + [(900 + k, f"{k} use Tmpl9{'ab1' * 8}", f"org1/repo{k}") for k in range(12)]  # one owner, twelve repositories
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, source string, row long, kind string, hash long").repartition(3)
+    got = [tuple(r) for r in secret_scan.secret_scan(df).collect()]
+    same(got, secrets(rows))
+    assert "owned" in got[[g[0] for g in got].index(7)][5]
+
+
+def test_secret_scan_of_many_matches(spark):
+    text = " ".join(f"{k:032x}" for k in range(64_000))
+    began = time.time()
+    (got,) = secret_scan.secret_scan(spark.createDataFrame([(1, text, "a/b")], "doc_id long, text string, source string")).collect()
+    spans = ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(64_000))
+    assert (got.n_hex, got.spans) == (64_000, spans) and time.time() - began < 60
 
 
 def test_bpe_round_trip(spark, texts, monkeypatch):
@@ -238,6 +269,7 @@ def test_bpe_round_trip(spark, texts, monkeypatch):
     same([(r.doc_id, bytes(r.decoded)) for r in back.collect()], [(r[0], (r[1] or "").encode()) for r in rows])
     monkeypatch.setattr(bpe_codec, "LONG", 100)
     monkeypatch.setattr(bpe_codec, "RUN", 20)
+    monkeypatch.setattr(bpe_codec, "_RUN", bpe_codec.runs(20))
     codec = bpe_codec.Codec(path, public_tokenizers.PATTERN)
     for t in [x for x in texts if x] + ["a" + "\n" * 50 + "b" + " " * 90, "\t" * 70]:
         assert codec.encode(t).tolist() == library.encode_ordinary(t)
@@ -247,10 +279,53 @@ def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
-    df, rows = table(spark, ODD + ["1234 !!", "漢字かな交じり文" * 30])
-    got = language_id.language_id(df).collect()
-    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
-    assert {r.lang_pred for r in language_id.language_id(df.where("text = '1234 !!'")).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 50])
+def test_language_id_by_brute_force(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    every = texts + ["1234 !!", "漢字かな交じり文" * 30, "x" * 7000, "ab1cd " * 900, "ÀÉ straße"]
+    df, rows = table(spark, every)
+
+    def profile(t):
+        letters = [x.lower() if len(x.lower()) == 1 else x for x in t]
+        kept = "".join(x if unicodedata.category(c)[0] == "L" else " " for x, c in zip(letters, t, strict=True))
+        kept = " " + " ".join(kept.split()) + " " if kept.split() else " "
+        return Counter(kept[k : k + 3] for k in range(len(kept) - 2))
+
+    def vector(grams):
+        out = np.zeros(language_id.DIMENSIONS)
+        for g, n in grams.items():
+            x = language_id._vectors(np.array([0 if c == " " else ord(c) for c in g])).astype(int)
+            out += n * np.roll(x[0], 2) * np.roll(x[1], 1) * x[2]
+        return out
+
+    known = {}
+    for d, t, lang, *_ in rows:
+        if d is not None and zlib.crc32(str(d).encode()) % 5 and t is not None and lang is not None and profile(t):
+            known[lang] = known.get(lang, 0) + vector(profile(t)) / sum(profile(t).values())
+    got = sorted(map(tuple, language_id.language_id(df).collect()), key=str)
+    wanted = []
+    for d, t, *_ in rows:
+        held = None if d is None else zlib.crc32(str(d).encode()) % 5 == 0
+        v = vector(profile(t)) if t and profile(t) else np.zeros(1)
+        if not v.any():
+            wanted.append((d, held, "und", 0.0))
+            continue
+        cosine = {x: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for x, p in known.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        wanted.append((d, held, best, min(1.0, max(0.0, cosine[best]))))
+    for a, b in zip(got, sorted(wanted, key=str), strict=True):
+        assert a[:2] == b[:2] and abs(a[3] - b[3]) < 1e-4
+    assert Counter(x[:3] for x in got) == Counter(x[:3] for x in wanted)
+
+
+def test_language_id_ties_and_no_training(spark):
+    rows = [(k, "same words here", lang) for k, lang in enumerate(["fr", "en", "de"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language_id.prototypes(df)
+    assert {r.lang_pred for r in language_id.classify(df, known).collect()} == {"de"}
+    assert {tuple(r)[2:] for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
 
 
 def test_neighbours(spark):
@@ -270,6 +345,27 @@ def test_neighbours(spark):
     same([tuple(r) for r in got], wanted)
 
 
+def test_neighbours_of_large_and_long_vectors(spark):
+    rows = [(20, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [2e200, 0.0]), (3, [1e-200, 5.0]), (4, [-1e200, 3.0]), (5, [1.0, 2.0, 3.0]), (40, [1e200, -1e200])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), "id % 20 = 0", 20).collect()
+    inf, nan = float("inf"), float("nan")
+    wanted = [(20, 1, 1, inf), (20, 2, 2, inf), (20, 3, 40, inf), (20, 4, 3, 1.0), (20, 5, 4, -inf)]
+    wanted += [(40, 1, 1, inf), (40, 2, 2, inf), (40, 3, 20, inf), (40, 4, 3, 1.0 + -1e200 * 5.0), (40, 5, 4, -inf)]
+    same([tuple(r) for r in got], wanted)
+    rows = [(0, [1e200, -1e200]), (1, [1e200, 1e200]), (2, [1e200, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id = 0", 20).collect()
+    assert [(r.vec_id, str(r.score)) for r in got] == [(1, str(nan)), (2, "inf")]
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(60, 4096)), np.ones((30, 4096)) * rng.choice([1, 100], size=(30, 1))])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(3, v[3].tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(df, "id % 20 = 0", 5).collect()}
+    for q in range(0, 90, 20):
+        score = neighbours.dots(np.repeat(v[q : q + 1], 91, axis=0), np.concatenate([v, v[3:4]]))
+        ids = np.append(np.arange(90), 3)
+        best = [k for k in np.lexsort((ids, -score)) if ids[k] != q][:5]
+        assert [got[q, i + 1] for i in range(5)] == [(int(ids[k]), float(score[k])) for k in best]
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_lm_score(spark, texts, split, monkeypatch):
     if split:  # contexts of frequent words are split
@@ -343,7 +439,8 @@ def test_decontamination(spark):
         wanted.append((r.doc_id, bool(hits), ",".join(map(str, sorted(hits)))))
     got = decontamination.decontaminate(docs, items)
     same([(r.doc_id, r.contaminated, r.item_ids) for r in got.collect()], wanted)
-    assert decontamination.clean(docs, items).count() == sum(not c for _, c, _ in wanted)
+    kept = decontamination.clean(docs.withColumn("k", F.lit(1)).withColumn("__held", F.lit(2)), items)
+    assert kept.columns[-2:] == ["k", "__held"] and kept.count() == sum(not c for _, c, _ in wanted)
 
 
 def test_decontamination_of_edited_passages(spark):
@@ -435,3 +532,49 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     got = {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()}
     assert got == set(range(30))
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame([(1, " ".join(f"question{k}" for k in range(20)))], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+CLASHES = ["score", "lang_pred", "n_lines", "n_removed", "k", "__gone", "__a", "__b", "__k1", "__held", "row", "component_id", "class_id"]
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd_folder):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(6)
+    clean = [" ".join(f"{rnd.choice(['stone', 'river', 'house'])}{rnd.randrange(10**5)}" for _ in range(50)) for _ in range(12)]
+    texts = [None, "", "\n\n", "1 2 3", clean[0], clean[0], *clean, "漢字かな交じり文" * 30, " ".join(f"stone{k} river" for k in range(20_000))]
+    rows = [(None if k % 5 == 4 else k % 16, t, "en" if k % 3 else None, f"s{k}" if k % 4 else None, *(f"{k}" for _ in CLASHES)) for k, t in enumerate(texts)]
+    rows += rows[4:7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3)
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, odd_folder)
+        assert docs.columns == columns, name
+        docs = cp.written(docs, f"test-{name}")
+    left = Counter(r.text for r in docs.collect())
+    assert left == Counter([*clean, texts[-1]])
+    assert cp.STAGES[-1][1](spark, docs, odd_folder).count() == len(clean) + 1
+
+
+def test_stages_take_empty_tables(spark, odd_folder):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, odd_folder).count() == 0
+
+
+def test_one_of_each_keeps_clean_rows_of_the_same_id(spark, odd_folder):
+    import corpus_pipeline as cp
+
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, b), (None, None), (3, b + " c"), (4, ""), (4, "")]
+    got = cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), odd_folder).collect()
+    same([tuple(r) for r in got], [(1, a), (2, b), (None, None), (4, ""), (4, "")])

@@ -22,10 +22,17 @@ from pyspark.sql import DataFrame
 LONG = 100_000
 RUN = 10_000
 _BOUNDARY = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
-_RUN = regex.compile(r"\p{White_Space}{%d,}" % RUN)
 _LOADED: dict[tuple[str, str], "Codec"] = {}
 
 
+def runs(length: int) -> regex.Pattern:
+    """White space of so many characters or more."""
+    return regex.compile(r"\p{White_Space}{%d,}" % length)
+
+
+_RUN = runs(RUN)
+
+
 class Codec:
     """Ids of texts by a rank file, and the bytes of ids."""
 

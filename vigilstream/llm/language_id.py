@@ -11,19 +11,22 @@ a language reaches the driver (``MAX_LANGUAGES`` at most, checked).
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the language first in
 alphabetical order; with no training text everything is ``und`` with score 0; a null doc_id counts as held out from
-training (its remainder is null) and keeps held_out null; each input row gives one row.
+training (its remainder is null) and keeps held_out null; each input row gives one row. A long text is worked on in
+pieces, with the same result.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from vigilstream.llm.textblocks import release
 
@@ -59,26 +62,59 @@ def _vectors(points: np.ndarray) -> np.ndarray:
 
 
 def _blocks(texts: list[str | None]) -> Iterator[list[int]]:
+    """Texts of ``BLOCK`` characters together at most; a longer one is alone."""
     group, size = [], 0
     for k, t in enumerate(texts):
-        group.append(k)
-        size += len(t or "")
-        if size >= BLOCK or len(group) == ROWS:
+        if group and (size + len(t or "") > BLOCK or len(group) == ROWS):
             yield group
             group, size = [], 0
+        group.append(k)
+        size += len(t or "")
     if group:
         yield group
 
 
-def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """alphabet; distinct trigrams as codes; and for each trigram of the texts its text and its place among the codes."""
+def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters' code points, with a 0 between words and at both ends of a text, and the text of each."""
     padded = [f" {t or ''} " for t in texts]
     points = _letters()[np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)]
     row = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
     keep = points > 0
     keep[1:] |= (points[:-1] > 0) | (row[1:] != row[:-1])
     keep[:1] = True
-    points, row = points[keep], row[keep]
+    return points[keep], row[keep]
+
+
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The same of one long text, ``BLOCK`` characters at a time; each piece begins with the two points before it."""
+    last = np.zeros(1, np.uint32)
+    for at in range(0, len(text) + 1, BLOCK):
+        part = text[at : at + BLOCK] + (" " if at + BLOCK > len(text) else "")
+        points = np.concatenate([last, _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]])
+        keep = points > 0
+        keep[1:] |= points[:-1] > 0
+        keep[: len(last)] = True
+        points = points[keep]
+        yield points
+        last = points[-2:]
+
+
+def _sums(texts: list[str | None], group: list[int], of: np.ndarray, rows: int, weighted: bool) -> np.ndarray:
+    """The sums of the vectors of the texts' trigrams, by ``of`` each text; ``weighted``: each text with the same total."""
+    if len(group) == 1 and len(texts[group[0]] or "") > BLOCK:
+        out, n = np.zeros((rows, DIMENSIONS)), 0
+        for points in _pieces(texts[group[0]]):
+            found = _trigrams(points, np.zeros(len(points), np.int64))
+            out[of[0]] += _bundle(*found, 1)[0]
+            n += len(found[2])
+        return out / max(n, 1) if weighted else out
+    alphabet, distinct, row, at = _trigrams(*_points([texts[k] for k in group]))
+    size = np.maximum(np.bincount(row, minlength=len(group)), 1)
+    return _bundle(alphabet, distinct, of[row], at, rows, 1 / size[row] if weighted else None)
+
+
+def _trigrams(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """alphabet; distinct trigrams as codes; and for each trigram of the texts its text and its place among the codes."""
     alphabet = np.flatnonzero(np.bincount(points))
     place = np.zeros(int(alphabet[-1]) + 1, np.int64)
     place[alphabet] = np.arange(len(alphabet))
@@ -134,11 +170,9 @@ def prototypes(docs: DataFrame, text_column: str = "text", lang_column: str = "l
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for group in _blocks(texts):
-                alphabet, distinct, row, at = _trigrams([texts[k] for k in group])
                 names = sorted({langs[k] for k in group})
                 of = np.array([names.index(langs[k]) for k in group])
-                size = np.maximum(np.bincount(row, minlength=len(group)), 1)
-                sums = _bundle(alphabet, distinct, of[row], at, len(names), 1 / size[row])
+                sums = _sums(texts, group, of, len(names), True)
                 for name, v in zip(names, sums, strict=True):
                     total[name] = total.get(name, 0) + v.astype(np.float64)
                 for k in group:
@@ -162,32 +196,55 @@ def prototypes(docs: DataFrame, text_column: str = "text", lang_column: str = "l
     return out
 
 
-def classify(docs: DataFrame, known: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns of ``keep``, lang_pred and score (the cosine, 0 where it is below)."""
-    names = list(known)
-    matrix = np.stack([known[x] for x in names]).astype(np.float32).T if names else np.zeros((DIMENSIONS, 0), np.float32)
+class _Judge:
+    """Languages and cosines of texts by prototypes."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, known: dict[str, np.ndarray]):
+        self.names = list(known)
+        self.matrix = np.stack([known[x] for x in self.names]).astype(np.float32).T if known else np.zeros((DIMENSIONS, 0), np.float32)
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         letters = _letters()
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        for group in _blocks(texts):
+            vectors = _sums(texts, group, np.arange(len(group)), len(group), False)
+            size = np.linalg.norm(vectors, axis=1)
+            for i, k in enumerate(group):
+                if self.names and size[i] > 0 and _lettered(texts[k], letters):
+                    cosine = (vectors[i] @ self.matrix) / size[i]
+                    best = int(np.argmax(cosine))
+                    pred[k], score[k] = self.names[best], min(1.0, max(0.0, float(cosine[best])))
+        return pred, score
+
+
+def classify(docs: DataFrame, known: dict[str, np.ndarray], text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``keep``, then lang_pred and score (the cosine, 0 where it is below)."""
+    judge = _Judge(known)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            for group in _blocks(texts):
-                alphabet, distinct, row, at = _trigrams([texts[k] for k in group])
-                vectors = _bundle(alphabet, distinct, row, at, len(group))
-                size = np.linalg.norm(vectors, axis=1)
-                for i, k in enumerate(group):
-                    if names and size[i] > 0 and _lettered(texts[k], letters):
-                        cosine = (vectors[i] @ matrix) / size[i]
-                        best = int(np.argmax(cosine))
-                        pred[k], score[k] = names[best], min(1.0, max(0.0, float(cosine[best])))
+            pred, score = judge.judge(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
         release()
 
-    out = [docs[c] for c in keep]
-    rows = docs.select(docs[text_column].cast("string").alias("__text"), *out)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*out).schema.fields), "lang_pred string", "score double"])
-    return rows.mapInArrow(work, schema)
+    out = docs.select(*[docs[c] for c in keep])
+    rows = docs.select(docs[text_column].cast("string"), *[docs[c] for c in keep])
+    return rows.mapInArrow(work, StructType([*out.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def recognised(docs: DataFrame, known: dict[str, np.ndarray], least: float = 0.0, letters: int = 1, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a letter and, if it has ``letters`` of them, a cosine of ``least`` or more with its language."""
+    judge, at = _Judge(known), docs.columns.index(text_column)
+    long = lambda t: sum(1 for _ in islice(filter(str.isalpha, t), letters)) == letters
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            rows = zip(texts, *judge.judge(texts), strict=True)
+            yield batch.filter(pa.array([x != "und" and (s >= least or not long(t)) for t, x, s in rows], pa.bool_()))
+        release()
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def _lettered(text: str | None, letters: np.ndarray) -> bool:

@@ -51,7 +51,7 @@ def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
 def boilerplate(docs: DataFrame, min_sites: int = 10, text_column: str = "text", site_column: str = "source", band: float = 0.1) -> DataFrame:
     """Hashes (``h``) of the lines that at least ``min_sites`` sites carry."""
     lines = _lines(docs, text_column, site_column)
-    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
+    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(F.xxhash64("site")).alias("a"), F.max(F.xxhash64("site")).alias("b"))
     often = written(often.where((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | F.lit(min_sites <= 1))).select("h"), "often")
     kept = written(lines.join(F.broadcast(often) if is_small(often, HELD) else often, "h", "left_semi"), "lines")
     spread = kept.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", PRECISION)).alias("sites"))
@@ -104,9 +104,25 @@ def spread_over_texts(docs: DataFrame, found: DataFrame, min_sites: int, text_co
 def line_dedup(docs: DataFrame, min_sites: int = 10, text_column: str = "text", site_column: str = "source", copies_once: bool = False) -> DataFrame:
     """The documents without boilerplate lines, with n_lines and n_removed (of the same names, columns are replaced)."""
     docs = docs.drop("n_lines", "n_removed")
+    found = boilerplate_lines(docs, min_sites, text_column, site_column, copies_once)
+    return _cleaned(docs, found, text_column)
+
+
+def boilerplate_lines(docs: DataFrame, min_sites: int, text_column: str, site_column: str, copies_once: bool) -> DataFrame:
     found = written(boilerplate(docs, min_sites, text_column, site_column), "boilerplate")
-    if copies_once:
-        found = written(spread_over_texts(docs, found, min_sites, text_column, site_column), "spread-over-texts")
+    return written(spread_over_texts(docs, found, min_sites, text_column, site_column), "spread-over-texts") if copies_once else found
+
+
+def without_lines(docs: DataFrame, min_sites: int = 10, text_column: str = "text", site_column: str = "source", copies_once: bool = False) -> DataFrame:
+    """The documents without boilerplate lines, with the columns that they have."""
+    found = boilerplate_lines(docs, min_sites, text_column, site_column, copies_once)
+    others = [F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)]
+    at = docs.columns.index(text_column)
+    renamed = docs.select(*[docs[c].alias(f"__{k}") for k, c in enumerate(docs.columns)])
+    return _cleaned(renamed, found, f"__{at}").select(*others)
+
+
+def _cleaned(docs: DataFrame, found: DataFrame, text_column: str) -> DataFrame:
     if is_small(found, HELD):
         return _removed(docs, frozenset(r.h for r in found.collect()), text_column)
     return _removed_by_join(docs, found, text_column)
@@ -139,18 +155,19 @@ def _signed(h: int) -> int:
 
 def _removed_by_join(docs: DataFrame, found: DataFrame, text_column: str) -> DataFrame:
     """The same by joins, for any number of boilerplate lines: places of lines to remove are gathered by text."""
-    text = F.col(text_column)
-    keyed = docs.withColumn("__a", F.xxhash64(text)).withColumn("__b", F.hash(text))
-    lines = keyed.select("__a", "__b", F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    hits = lines.where(F.btrim("line", F.lit(_BLANKS)) != "").select("__a", "__b", "at", _hash(F.col("line")).alias("h"))
-    hits = hits.join(found, "h", "left_semi").groupBy("__a", "__b").agg(F.collect_set("at").alias("__gone"))
-    lines = F.split(text, "\n")
-    left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    out = keyed.join(hits, ["__a", "__b"], "left")
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long") * text.isNotNull().cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return out.withColumn(text_column, F.array_join(left, "\n")).select(*docs.columns, "n_lines", "n_removed")
+    # The documents travel as one column beside the keys, so none of their names can clash.
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("k", F.md5(F.col("row")[text_column].cast("binary")))
+    lines = F.split(F.col("row")[text_column], "\n")
+    hits = keyed.select("k", F.posexplode(lines).alias("at", "line")).where(F.btrim("line", F.lit(_BLANKS)) != "").select("k", "at", _hash(F.col("line")).alias("h"))
+    hits = hits.join(found, "h", "left_semi").groupBy("k").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    out = keyed.join(hits, "k", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # What is left of the lines, whose places are marked by a map of the gone ones' places only.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("row")[text_column].isNotNull(), text)
+    columns = [text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns]
+    n = F.when(F.col("row")[text_column].isNotNull(), F.size(lines)).otherwise(0).cast("long")
+    return out.select(*columns, n.alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
 
 
 def digest(cleaned: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

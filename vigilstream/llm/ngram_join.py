@@ -392,13 +392,25 @@ def jaccard_links(docs: DataFrame, base: DataFrame, width: int, percent: int) ->
     return _links(tasks.join(_packed(texts, width), "node"), percent)
 
 
-def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links and class_id (the same for equal sets)."""
+def _joined(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles of all rows, the links, and the component of each class that has a link."""
     text = docs[text_column].cast("string")
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     base = written(profiles(docs, width), "sets")
     links = written(jaccard_links(docs, base, width, percent), "jaccard")
-    found = components(links).join(links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("reached").alias("reached")), "node", "left")
+    return base, links, components(links)
+
+
+def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, tk (xxhash64 of the text) and component of every row that has n-grams; rows of one component are near duplicates."""
+    base, _, found = _joined(docs, width, percent, id_column, text_column)
+    return base.where("n_shingles > 0").join(_held(found), "node", "left").select("doc_id", "tk", F.coalesce("component", "node").alias("component"))
+
+
+def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links and class_id (the same for equal sets)."""
+    base, links, found = _joined(docs, width, percent, id_column, text_column)
+    found = found.join(links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("reached").alias("reached")), "node", "left")
     least = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     # Classes of one document without links are their own component, and need no join.
     least = least.join(found, "node", "left").where("members > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("component"), (F.col("members") - 1 + F.coalesce("reached", F.lit(0))).alias("n_links"))

@@ -143,5 +143,49 @@ FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN l ON l.doc_id = s.doc_id
 """
 
 
+_VALUE = {"assign": ("length(v) >= 8", 2), "access": ("length(v) >= 16", 0), "hex": ("length(v) >= 32", 0), "owned": ("regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')", 0)}
+
+
+def _kind_sql(at: int, name: str, pattern: str) -> str:
+    pattern = pattern.replace("'", "''")
+    good, group = _VALUE[name]
+    return f"""SELECT doc_id, source, text, {at} AS kind, v, stop - length(w) AS start, stop FROM (
+  SELECT *, sum(length(p) + length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM (
+    SELECT doc_id, source, text, unnest(regexp_extract_all(text, '{pattern}', {group})) AS v, unnest(whole) AS w, unnest(string_split_regex(text, '{pattern}')[:len(whole)]) AS p, generate_subscripts(whole, 1) AS i
+    FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS whole FROM d))) WHERE {good}"""
+
+
+def _op5() -> str:
+    kinds = [*((name, pattern) for name, pattern, *_ in secret_scan.BASE), ("owned", secret_scan.TOKEN)]
+    found = "\nUNION ALL ".join(_kind_sql(k, *x) for k, x in enumerate(kinds))
+    joined = "string_agg(concat(['assign', 'access', 'hex', 'owned'][kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind, stop)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents), m AS ({found}),
+s AS (SELECT * FROM m WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = m.doc_id AND b.kind < 3 AND b.start < m.stop AND m.start < b.stop)),
+who AS (SELECT DISTINCT v, string_split(source, '/')[1] AS owner, source FROM (SELECT v, text, arg_min(source, [string_split(source, '/')[1], source]) AS source FROM s GROUP BY v, text)),
+l AS (SELECT v, count(DISTINCT owner) <= 1 AND count(*) <= 10 AS live FROM who GROUP BY v),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {joined} FILTER (kind < 3) AS base,
+  {joined} FILTER (kind < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM s JOIN l USING (v) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+_OP10 = r"""
+WITH b AS (
+  SELECT item_id, w, CAST(len(w) AS BIGINT) AS n, CAST(least(len(w), 5) AS BIGINT) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0
+), g AS (SELECT item_id, n, k, n - k + 1 AS m, h, count(*) AS c FROM (SELECT item_id, n, k, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM b)) GROUP BY ALL),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS size, k, i, array_to_string(w[i:i + k - 1], ' ') AS h FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b))),
+s AS (SELECT doc_id, size, item_id, n, g.k, m, i, t.h, c FROM t JOIN g ON t.k = g.k AND t.h = g.h),
+e AS (SELECT doc_id, item_id, size, n, k, m FROM s GROUP BY ALL HAVING count(*) >= greatest(1, ceil(2 * m * 0.8 / 1.8 - 1e-6))),
+p AS (SELECT *, unnest(range(1, greatest(size - n + 1, 1) + 1)) AS start FROM e),
+o AS (SELECT p.doc_id, p.item_id, p.start, p.m, least(p.n, p.size) - p.k + 1 AS own, s.h, least(count(*), any_value(c)) AS c
+  FROM p JOIN s ON s.doc_id = p.doc_id AND s.item_id = p.item_id AND s.i BETWEEN p.start AND p.start + p.m - 1 GROUP BY ALL),
+v AS (SELECT doc_id, item_id, start, CAST(sum(c) AS DOUBLE) / (any_value(own) + any_value(m) - sum(c)) AS similarity FROM o GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, item_id, max(similarity) AS similarity FROM v WHERE similarity >= 0.8 GROUP BY 1, 2),
+a AS (SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids, max(similarity) AS similarity FROM f GROUP BY 1)
+SELECT d.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coalesce(ids, '') AS item_ids, coalesce(similarity, 0.0::DOUBLE) AS similarity FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op8_nearest": _OP8}
+    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op5_secret_scan": _op5(), "op8_nearest": _OP8, "op10_decontamination": _OP10}
