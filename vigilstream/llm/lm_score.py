@@ -14,8 +14,12 @@ A bucket's trie has two levels: contexts as an ascending Elias-Fano sequence, wi
 and the successors within each context, an Elias-Fano sequence again, with quantised smoothed probabilities of a byte; a
 context has its quantised count, of which the weight of the shorter n-gram follows. The levels are laid in one unlinked
 file and memory-mapped; a trigram is found by looking for its context and then for the successor at or after its value
-within the context's pointers. Words are 64-bit hashes, contexts 56 bits beside their bucket, successors 40 within their
-context.
+within the context's pointers. Words are 64-bit hashes where they are counted, and 48-bit ones in n-grams; contexts have 40
+bits beside their bucket, successors 32 within their context, so that one lookup in a million may find another's.
+
+What a chunk needs of its own for scoring (its words' numbers, text by text) goes from a second scan straight to where the
+answers come together, as it would fill the way through the buckets. Both scans must cut the same rows into the same chunks, so what isn't
+known to be a plain read of files is written first.
 
 With a context's count c12, a trigram's c3, a pair's c2 (which is the count of the context that it makes), the count c1
 of a pair's first word, and the exact unigram estimate u of the base score, the probability is
@@ -41,6 +45,7 @@ from pyspark.sql import functions as F
 
 from vigilstream.llm import exchange as ex
 from vigilstream.llm import textblocks as tb
+from vigilstream.llm.shared import written
 
 CHUNK = 8 << 20
 #: Weights of the pair's estimate in a trigram's, and of the word's in a pair's, in tokens.
@@ -49,7 +54,7 @@ MU3, MU2 = 1.0, 20.0
 LEAST = 1e-6
 U64 = np.uint64
 _BEGIN, _END, _AFTER = U64(0xEB44ACCAB455D165), U64(0x1D8E4E27C47D124F), U64(0x5B0B1C5A7F3D9A21)
-_SUCCESSOR = 40
+_SUCCESSOR, _CONTEXT = 32, 5
 #: Counts up to here have a code of their own; beyond, codes are steps of the logarithm.
 _EXACT = 64
 _STEPS = (255 - _EXACT) / np.log(1e13 / _EXACT)
@@ -271,6 +276,7 @@ class _Plan:
 
 
 def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray, classes: int, buckets: int) -> _Plan:
+    """``word`` and ``hot`` are 48-bit hashes."""
     n = len(word)
     later = np.ones(len(ids), bool)
     later[bounds[:-1]] = later[bounds[:-1] + 1] = False
@@ -282,9 +288,9 @@ def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray
     key = tb._mix(tb._mix(one) * U64(0xD6E8FEB86659FD93) + two) & ~U64(1)
     frequent = np.isin(one, hot) & np.isin(two, hot)
     split = np.flatnonzero(frequent[pair])
-    value = third >> U64(64 - _SUCCESSOR)
+    value = third & U64((1 << _SUCCESSOR) - 1)
     # A trigram of a frequent context is asked for twice: its class in the context, and the word in the class.
-    kind = third[split] >> U64(64 - (classes.bit_length() - 1))
+    kind = third[split] >> U64(48 - (classes.bit_length() - 1))
     within = tb._mix(key[pair[split]] + kind + U64(1)) | U64(1)
     ordinary = np.flatnonzero(~frequent[pair])
     keys = np.concatenate([key[pair[ordinary]], key[pair[split]], within])
@@ -308,22 +314,30 @@ def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray
     return _Plan(scored, tri, first, second, pair, pairs, context_of_pair, to[order][begins].astype(np.int64), k[begins], context_of_entry, v[new])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, tb.Chunk, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, texts, distinct words in the order of buckets, the tokens' numbers among them, and the rows' bounds of each chunk."""
+    chunk = TaskContext.get().partitionId() << 32
+    for c in tb.chunks(batches, size=CHUNK):
+        chunk += 1
+        h, bounds = _tokens(c)
+        word, ids = np.unique(h, return_inverse=True)
+        order = np.lexsort((word, word % U64(buckets)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        yield chunk, c, word[order], place[ids], bounds
+        tb.release()
+
+
 def _asked(docs: DataFrame, hot: np.ndarray, classes: int, buckets: int) -> DataFrame:
+    """What chunks send to buckets: words, contexts and successors, with their training counts."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for c in tb.chunks(batches, size=CHUNK):
-            chunk += 1
-            h, bounds = _tokens(c)
-            word, ids = np.unique(h, return_inverse=True)
-            order = np.lexsort((word, word % U64(buckets)))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            word, ids = word[order], place[ids]
+        for chunk, c, word, ids, bounds in _chunks(batches, buckets):
             train = np.repeat(c.rows.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
             once = train.copy()
             once[bounds[:-1]] = once[bounds[1:] - 1] = False  # a beginning counts once, what is after the end never
             times = np.bincount(ids[once], minlength=len(word))
-            plan = _plan(ids, word, bounds, hot, classes, buckets)
+            plan = _plan(ids, word >> U64(16), bounds, hot, classes, buckets)
             tri_times = np.bincount(plan.tri[train[plan.scored]], minlength=len(plan.first))
             count = np.bincount(plan.first, tri_times, len(plan.successor)).astype(np.int64)
             there = plan.second >= 0
@@ -332,37 +346,42 @@ def _asked(docs: DataFrame, hot: np.ndarray, classes: int, buckets: int) -> Data
             context_at = np.searchsorted(plan.to, np.arange(buckets + 1))
             entry_at = np.searchsorted(plan.of, context_at)
             size = np.bincount(plan.of, minlength=len(plan.context))
-            raw = plan.successor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             rows = []
             for b in range(buckets):
                 w, x, e = (slice(at[b], at[b + 1]) for at in (word_at, context_at, entry_at))
                 if w.start == w.stop and x.start == x.stop:
                     continue
-                flag = plan.context[x] & U64(1)
-                contexts = ex.pack_keys((plan.context[x] // U64(buckets) & ~U64(1) | flag) * U64(buckets), buckets)
+                # A class keeps its lowest bit.
+                contexts = (plan.context[x] // U64(buckets) & ~U64(1)) | (plan.context[x] & U64(1))
                 numbers = pack_numbers(np.concatenate([[w.stop - w.start], times[w], size[x], count[e]]))
-                rows.append(ex.row(b, chunk, ex.ASK, word[w].astype("<u8").tobytes(), contexts, np.ascontiguousarray(raw[e]).tobytes(), numbers))
+                rows.append(ex.row(b, chunk, ex.ASK, word[w].astype("<u8").tobytes(), ex.pack_keys(contexts, 1, _CONTEXT), plan.successor[e].astype("<u4").tobytes(), numbers))
+            yield ex.batch(rows)
+
+    return docs.mapInArrow(work, ex.SCHEMA)
+
+
+def _kept(docs: DataFrame, buckets: int) -> DataFrame:
+    """What chunks keep for themselves: documents, the tokens' numbers, and the words' hashes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, c, word, ids, bounds in _chunks(batches, buckets):
             number = c.rows.column(0)
             flags = number.is_null().to_numpy(zero_copy_only=False) * 1 + c.rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64) * 2
             known = number.fill_null(0).to_numpy(zero_copy_only=False)
             table = np.concatenate([known.astype("<i8"), flags.astype("<i8"), np.diff(bounds).astype("<i8")])
-            rows.append(ex.row(chunk % buckets, chunk, ex.META, table.tobytes(), pack_numbers(ids), word.astype("<u8").tobytes()))
-            yield ex.batch(rows)
+            yield ex.batch([ex.row(0, chunk, ex.META, table.tobytes(), pack_numbers(ids), ex.pack_keys(word >> U64(16), 1, 6))])
 
     return docs.mapInArrow(work, ex.SCHEMA)
 
 
 def _counted(rows: list[dict]) -> list[tuple]:
     """In a bucket: the words' counts, the trie of its contexts, and what it says of each chunk's n-grams."""
-    out = [ex.row(r["to"], r["chunk"], r["kind"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] != ex.ASK]
-    rows = [r for r in rows if r["kind"] == ex.ASK]
-    if not rows:
-        return out
+    out = []
     words, word_times, contexts, successors, sizes, times = [], [], [], [], [], []
     for r in rows:
         words.append(np.frombuffer(r["a"], "<u8"))
-        contexts.append(ex.unpack_keys(r["b"]))
-        successors.append(ex.unpack_keys(r["c"], 5))
+        contexts.append(ex.unpack_keys(r["b"], _CONTEXT))
+        successors.append(np.frombuffer(r["c"], "<u4").astype(np.uint64))
         n = unpack_numbers(r["d"])
         x, y = 1 + int(n[0]), 1 + int(n[0]) + len(contexts[-1])
         word_times.append(n[1:x]), sizes.append(n[x:y]), times.append(n[y:])
@@ -391,15 +410,17 @@ def _counted(rows: list[dict]) -> list[tuple]:
     return out
 
 
-def _scored(table: pa.Table, hot: np.ndarray, classes: int, buckets: int) -> pa.Table:
-    rows = sorted(ex.views(table), key=lambda r: r["to"])
-    meta = next(r for r in rows if r["kind"] == ex.META)
-    answers = [r for r in rows if r["kind"] == ex.ANSWER]
+def _scored(answers: pa.Table, kept: pa.Table, hot: np.ndarray, classes: int, buckets: int) -> pa.Table:
+    if len(kept) != 1 or not len(answers):
+        raise ValueError("two scans of the documents gave different chunks")
+    answers, (meta,) = sorted(ex.views(answers), key=lambda r: r["to"]), ex.views(kept)
     number, flags, size = np.frombuffer(meta["a"], "<i8").reshape(3, -1)
-    ids, word = unpack_numbers(meta["b"]), np.frombuffer(meta["c"], "<u8")
+    ids, word = unpack_numbers(meta["b"]), ex.unpack_keys(meta["c"], 6)
     bounds = np.concatenate([[0], np.cumsum(size)])
     plan = _plan(ids, word, bounds, hot, classes, buckets)
     count = np.concatenate([unpack_numbers(r["a"]) for r in answers])
+    if len(count) != len(word):
+        raise ValueError("two scans of the documents gave different chunks")
     contexts, entries = [], []
     for r in answers:
         found, n = _bytes(r["b"]), int(np.frombuffer(r["c"], "<i8")[0])
@@ -445,7 +466,7 @@ def _table(number, flags, size, ids, bounds, plan: _Plan, count, contexts, entri
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of words that may stand in more contexts than a bucket holds, and the number of tokens.
+    """48-bit hashes of words that may stand in more contexts than a bucket holds, and the number of tokens.
 
     A word that is frequent in all is so in some chunk; a chunk tells those of half the share that matters. What is found
     only deals n-grams to buckets, in the same way for all chunks, so it changes no result.
@@ -465,23 +486,28 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
     if n * share < 2:
         return np.empty(0, np.uint64), n
     found = told.where((F.col("word") != 0) & (F.col("n") >= share / 2 * n)).collect()  # 2 / LEAST at most
-    return np.sort(np.array([r.word for r in found], np.int64).view(np.uint64)), n
+    return np.unique(np.array([r.word for r in found], np.int64).view(np.uint64) >> U64(16)), n
 
 
-def lm_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 5, held: int = 1) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+def lm_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 5, held: int = 1, files: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+
+    ``files``: ``docs`` is a plain read of files, which gives the same rows in the same partitions again.
+    """
     number = docs[id_column].cast("long")
     left = F.crc32(number.cast("string").cast("binary")) % modulus == held
     rows = docs.select(number.alias("doc_id"), F.coalesce(~left, F.lit(False)).alias("learn"), F.coalesce(left, F.lit(False)).alias("held"), docs[text_column].cast("string").alias("text"))
+    rows = rows if files else written(rows, "texts")
     hot, n = frequent(rows)
     buckets = ex.buckets(docs, 2 * n)
     classes = 1 << min(16, max(4, (n // ex.KEYS).bit_length()))
     answered = ex.grouped(_asked(rows, hot, classes, buckets), "to", _counted, buckets)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def work(table: pa.Table) -> pa.Table:
-        out = _scored(table, hot, classes, buckets)
+    def work(answers: pa.Table, kept: pa.Table) -> pa.Table:
+        out = _scored(answers, kept, hot, classes, buckets)
         tb.release()
         return out
 
-    return ex.dealt(answered, "chunk", buckets).groupBy("chunk").applyInArrow(work, kind)
+    sides = [ex.dealt(side, "chunk", buckets).groupBy("chunk") for side in (answered, _kept(rows, buckets))]
+    return sides[0].cogroup(sides[1]).applyInArrow(work, kind)

@@ -54,7 +54,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_score(_documents(spark, sf_dir))
+    return lm_score.lm_score(_documents(spark, sf_dir), files=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
