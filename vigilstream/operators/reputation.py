@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilstream.functions import net
-from vigilstream.operators.lookups import held, longest_prefix
+from vigilstream.operators.lookups import Networks, held
 
 
 def union(feeds: list[DataFrame], key: list[str]) -> DataFrame:
@@ -30,50 +30,80 @@ def remove(feed: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def _networks(feed: DataFrame, side: str) -> DataFrame:
-    parts = net.cidr_parts(F.col("cidr"))
-    rows = feed.where(F.col("type") == f"cidr_{side}").select(parts["prefix"].alias("prefix"), parts["start"].alias("base"), F.struct("comment", "cidr", "report").alias("entry"))
-    return rows.where("base is not null").dropDuplicates(["prefix", "base"])
+    rows = feed.where(F.col("type") == f"cidr_{side}").withColumn("x", net.network_parts(F.col("cidr"))).where("x is not null")
+    rows = rows.select("x.family", "x.prefix", "x.base", F.struct("comment", "cidr", "report").alias("entry"))
+    return rows.dropDuplicates(["family", "prefix", "base"])
 
 
-def by_network(events: DataFrame, feed: DataFrame, side: str, key: str = "seq_num") -> DataFrame:
-    """Events whose source (``src``) or destination (``dst``) lies in a network of the feed; the longest one's comment."""
-    probes = events.select(key, F.col(f"{side}_ip").alias("ip")).where("ip is not null")
-    return longest_prefix(probes, _networks(feed, side), "ip", (key,)).select(key, F.col("entry.comment").alias("comment"), F.col("entry.cidr").alias("cidr"))
+def _with_network(events: DataFrame, feed: DataFrame, side: str, out: str) -> DataFrame:
+    rows = events.withColumn("__digits", net.ip_hex(F.col(f"{side}_ip")))
+    return Networks(_networks(feed, side)).probe(rows, "__digits", out).drop("__digits")
 
 
-def by_key(events: DataFrame, feed: DataFrame, column: str, key: str = "seq_num") -> DataFrame:
-    """Events whose connection key a row of the feed has."""
-    keys = feed.where(F.col("hash_key") != "").select(F.col("hash_key").alias("__key"), "comment").dropDuplicates(["__key"])
-    return events.join(held(keys), F.col(column) == F.col("__key")).select(key, "comment")
+def _keys(feed: DataFrame) -> DataFrame:
+    return feed.where(F.col("hash_key") != "").select(F.col("hash_key").alias("__key"), F.col("comment").alias("__comment")).dropDuplicates(["__key"])
 
 
-def pick(events: DataFrame, networks: DataFrame, keys: DataFrame, key: str = "seq_num") -> DataFrame:
-    """The first of: source network, destination network, connection key, key by addresses. ``why`` says which."""
-    found = [by_network(events, networks, "src", key).select(key, "comment"), by_network(events, networks, "dst", key).select(key, "comment")]
-    found += [by_key(events, keys, "hash_key", key), by_key(events, keys, "ip_hash_key", key)]
-    rows = None
-    for k, (why, f) in enumerate(zip(("src_cidr", "dst_cidr", "hash_key", "ip_hash_key"), found, strict=True)):
-        f = f.select(key, F.lit(k).alias("order"), F.struct(F.lit(why).alias("why"), "comment").alias("x"))
-        rows = f if rows is None else rows.unionByName(f)
-    return rows.groupBy(key).agg(F.min_by("x", "order").alias("x")).select(key, "x.*")
+def by_network(events: DataFrame, feed: DataFrame, side: str) -> DataFrame:
+    """Events whose source (``src``) or destination (``dst``) lies in a network of the feed, with the longest one's comment and cidr."""
+    rows = _with_network(events.drop("comment", "cidr"), feed, side, "__entry").where("__entry is not null")
+    return rows.withColumn("comment", F.col("__entry.comment")).withColumn("cidr", F.col("__entry.cidr")).drop("__entry")
+
+
+def by_key(events: DataFrame, feed: DataFrame, column: str) -> DataFrame:
+    """Events whose connection key a row of the feed has, with its comment."""
+    return events.drop("comment").join(held(_keys(feed)), F.col(column) == F.col("__key")).drop("__key").withColumnRenamed("__comment", "comment")
+
+
+def _picked(events: DataFrame, networks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Events with ``__found`` (why, comment) of the connection tables, or null; each table is asked by a left join."""
+    rows, found = events, []
+    for side in ("src", "dst"):
+        rows = _with_network(rows, networks, side, f"__{side}")
+        hit = F.col(f"__{side}")
+        found.append(F.when(hit.isNotNull(), F.struct(F.lit(f"{side}_cidr").alias("why"), hit["comment"].alias("comment"))))
+    table = held(_keys(keys))
+    for column in ("hash_key", "ip_hash_key"):
+        rows = rows.join(table, F.col(column) == table["__key"], "left").withColumnRenamed("__comment", f"__of_{column}").withColumnRenamed("__key", f"__in_{column}")
+        found.append(F.when(F.col(f"__in_{column}").isNotNull(), F.struct(F.lit(column).alias("why"), F.col(f"__of_{column}").alias("comment"))))
+    return rows.withColumn("__found", F.coalesce(*found)).drop("__src", "__dst", *[f"__{k}_{c}" for k in ("of", "in") for c in ("hash_key", "ip_hash_key")])
+
+
+def pick(events: DataFrame, networks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Events that a connection table knows: source network, destination network, connection key, key by addresses, the first of them. ``why`` says which."""
+    rows = _picked(events.drop("why", "comment"), networks, keys).where("__found is not null")
+    return rows.withColumn("why", F.col("__found.why")).withColumn("comment", F.col("__found.comment")).drop("__found")
+
+
+def _with_suffix(events: DataFrame, table: DataFrame, name: str, out: str) -> DataFrame:
+    """Events with the shortest suffix of the name that the table (column ``domain``) has, or null: a left join for each number of labels."""
+    listed = table.select(net.reverse_domain(F.rtrim("domain", F.lit("."))).alias("__suffix"), F.col("domain").alias("__domain")).dropDuplicates(["__suffix"])
+    listed = listed.withColumn("__labels", F.size(F.split("__suffix", r"\.")))
+    rows, found = events.withColumn("__parts", F.reverse(F.split(F.rtrim(F.col(name), F.lit(".")), r"\."))), []
+    for k in sorted(r[0] for r in listed.select("__labels").distinct().collect()):  # 127 at most, a name's labels
+        side = held(listed.where(F.col("__labels") == k).drop("__labels"))
+        key = F.when(F.size("__parts") >= k, F.array_join(F.slice("__parts", 1, k), "."))
+        rows = rows.join(side, key == side["__suffix"], "left").drop("__suffix").withColumnRenamed("__domain", f"__{out}_{k}")
+        found.append(f"__{out}_{k}")
+    shortest = F.coalesce(*found) if found else F.lit(None).cast("string")
+    return rows.withColumn(out, shortest).drop("__parts", *found)
 
 
-def suffix_match(names: DataFrame, table: DataFrame, name: str, key: str) -> DataFrame:
-    """The shortest suffix of each name that the table (column ``domain``) has."""
-    rows = names.select(key, F.posexplode(net.suffixes(F.rtrim(F.col(name), F.lit(".")))).alias("at", "__suffix"))
-    listed = table.select(net.reverse_domain(F.rtrim("domain", F.lit("."))).alias("__suffix"), "domain").dropDuplicates(["__suffix"])
-    return rows.join(held(listed), "__suffix").groupBy(key).agg(F.min_by("domain", "at").alias("domain"))
+def suffix_match(names: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Rows with the shortest suffix of the name that the table has, as ``domain``; rows without one go."""
+    return _with_suffix(names.drop("domain"), table, name, "domain").where("domain is not null")
 
 
-def name_hits(names: DataFrame, black: DataFrame, white: DataFrame, name: str = "dns_name", key: str = "seq_num") -> DataFrame:
-    """Blacklisted names that no whitelist suffix covers."""
-    return suffix_match(names, black, name, key).join(suffix_match(names, white, name, key).select(key), key, "left_anti")
+def name_hits(names: DataFrame, black: DataFrame, white: DataFrame, name: str = "dns_name") -> DataFrame:
+    """Rows of blacklisted names that no whitelist suffix covers."""
+    rows = _with_suffix(_with_suffix(names.drop("domain"), black, name, "domain"), white, name, "__white")
+    return rows.where("domain is not null and __white is null").drop("__white")
 
 
-def reputation(events: DataFrame, networks: DataFrame, keys: DataFrame, black: DataFrame, white: DataFrame, name: str = "ioc_dns", key: str = "seq_num") -> DataFrame:
-    """Events that the connection tables or the name lists know, with why and comment; the tables go before the names."""
-    table = pick(events, networks, keys, key)
-    named = name_hits(events.where(F.col(name).isNotNull()), black, white, name, key)
-    out = table.join(named, key, "full_outer")
-    why = F.coalesce("why", F.lit("domain"))
-    return out.select(key, why.alias("why"), F.coalesce("comment", F.concat(F.lit("DomainTable-DNS-"), "domain")).alias("comment"))
+def reputation(events: DataFrame, networks: DataFrame, keys: DataFrame, black: DataFrame, white: DataFrame, name: str = "ioc_dns") -> DataFrame:
+    """Events that the connection tables or the name lists know, with why and comment; the tables go before the names. One scan."""
+    rows = _picked(events.drop("why", "comment"), networks, keys)
+    rows = _with_suffix(_with_suffix(rows, black, name, "__black"), white, name, "__white")
+    named = F.when(F.col("__black").isNotNull() & F.col("__white").isNull(), F.struct(F.lit("domain").alias("why"), F.concat(F.lit("DomainTable-DNS-"), "__black").alias("comment")))
+    rows = rows.withColumn("__found", F.coalesce("__found", named)).where("__found is not null")
+    return rows.withColumn("why", F.col("__found.why")).withColumn("comment", F.col("__found.comment")).drop("__found", "__black", "__white")

@@ -94,17 +94,23 @@ def pcap_chain(events: DataFrame, rules: list[dict]) -> DataFrame:
     return events.withColumn("rule", F.explode(hits))
 
 
-def dns_chain(messages: DataFrame, rules: DataFrame) -> DataFrame:
+def dns_chain(messages: DataFrame, rules: list[tuple[str, str | None, str | None]]) -> DataFrame:
     """A row for each message and rule (name, dns, ip) it matches: part of a name in any case, or an answer's address.
 
-    The rules are a short ordered list; each message is held against all of them, so they are broadcast.
+    The rules are a configuration's short list, so each is a condition of the plan and nothing is joined.
     """
     answers = F.coalesce("dns_answers", F.array().cast("array<struct<type:string,name:string,ip:string>>"))
-    rule = rules.select(F.col("name").alias("rule"), F.lower("dns").alias("__dns"), F.col("ip").alias("__ip"))
-    part = lambda text: F.instr(F.lower(text), F.col("__dns")) > 0
-    named = F.col("__dns").isNotNull() & (F.coalesce(part(F.col("dns_name")), F.lit(False)) | F.exists(answers, lambda a: F.coalesce(part(a["name"]), F.lit(False))))
-    told = F.col("__ip").isNotNull() & F.exists(answers, lambda a: F.coalesce(a["ip"] == F.col("__ip"), F.lit(False)))
-    return messages.join(F.broadcast(rule), named | told).drop("__dns", "__ip")
+    names = F.transform(F.array_compact(F.concat(F.array(F.col("dns_name")), F.transform(answers, lambda a: a["name"]))), F.lower)
+    rows, hits = messages.withColumn("__names", names).withColumn("__ips", F.transform(answers, lambda a: a["ip"])), []
+    for name, dns, ip in rules:
+        hit = F.lit(False)
+        if dns is not None:
+            part = dns.lower()
+            hit = hit | F.exists("__names", lambda n: n.contains(part))
+        if ip is not None:
+            hit = hit | F.coalesce(F.array_contains("__ips", ip), F.lit(False))
+        hits.append(F.when(hit, F.lit(name)))
+    return rows.withColumn("rule", F.explode(F.array_compact(F.array(*hits)))).drop("__names", "__ips")
 
 
 @dataclass(frozen=True)
@@ -134,28 +140,31 @@ def regex_first_match(messages: DataFrame, rules: list[Regex], text: str = "mess
     return messages.withColumn("rule", name).where("rule is not null")
 
 
-def regex_chain(messages: DataFrame, rules: list[Regex], iocs: DataFrame, text: str = "message", key: str = "seq_num") -> DataFrame:
-    """Per message the first rule that hits: a complete one by matching, a substring one by its first token in the table."""
+def regex_chain(messages: DataFrame, rules: list[Regex], iocs: DataFrame, text: str = "message") -> DataFrame:
+    """The messages that a rule hits, with the first such ``rule``: a complete one by matching, a substring one by its first ``token`` in the table (``ioc_id``)."""
+    messages = messages.drop("rule", "token", "ioc_id")
     every = []
     for k, r in enumerate(rules):
         if r.kind == "complete":
             hit = F.when(regex_complete(F.col(text), r), F.array(F.struct(F.lit(k).alias("rule_at"), F.lit(0).alias("token_at"), F.lit(None).cast("string").alias("token"))))
         else:
-            tokens = F.regexp_extract_all(F.col(text), F.lit(r.java), F.lit(0))
-            hit = _tokens(tokens, k)
+            hit = _tokens(F.regexp_extract_all(F.col(text), F.lit(r.java), F.lit(0)), k)
         every.append(F.coalesce(hit, F.array().cast("array<struct<rule_at:int,token_at:int,token:string>>")))
-    rows = messages.select(key, F.explode(F.concat(*every)).alias("x")).select(key, "x.*")
-    found = rows.where("token is null").select(key, "rule_at", "token_at", "token", F.lit(None).cast("long").alias("ioc_id"))
+    # Tokens are looked up with their message's row; only what hits is brought together again.
+    rows = messages.withColumn("__row", F.monotonically_increasing_id()).withColumn("__x", F.explode(F.concat(*every)))
     tables = {"ip": lookups.exact_ips, "domain": lookups.domains, "url": lookups.urls, "email": lookups.emails}
-    for k, r in enumerate(rules):
-        if r.kind == "complete":
-            continue
-        value = net.canonical_domain(F.col("token")) if r.ioc_type == "domain" else F.col("token")
-        hits = lookups.lookup(rows.where((F.col("rule_at") == k) & F.col("token").isNotNull()).withColumn("__value", value), tables[r.ioc_type](iocs), "__value")
-        found = found.unionByName(hits.select(key, "rule_at", "token_at", "token", F.col("entry.ioc_id").alias("ioc_id")))
-    first = found.groupBy(key).agg(F.min_by(F.struct("rule_at", "token", "ioc_id"), F.struct("rule_at", "token_at")).alias("x"))
+    token, found = F.col("__x.token"), []
+    for kind in sorted({r.ioc_type for r in rules if r.kind != "complete"}):
+        of = [k for k, r in enumerate(rules) if r.kind != "complete" and r.ioc_type == kind]
+        value = net.canonical_domain(token) if kind == "domain" else net.ip_hex(token) if kind == "ip" else token
+        side = lookups.held(tables[kind](iocs).select(F.col("key").alias("__key"), F.col("entry.ioc_id").alias("__ioc")))
+        rows = rows.join(side, F.when(F.col("__x.rule_at").isin(of), value) == side["__key"], "left").drop("__key").withColumnRenamed("__ioc", f"__ioc_{kind}")
+        found.append(f"__ioc_{kind}")
+    ioc = F.coalesce(*found) if found else F.lit(None).cast("long")
+    rows = rows.withColumn("ioc_id", ioc).where("ioc_id is not null or __x.token is null")
     names = F.array(*[F.lit(r.name) for r in rules])
-    return first.select(key, F.element_at(names, F.col("x.rule_at") + 1).alias("rule"), "x.token", "x.ioc_id")
+    hit = F.struct(*[F.col(c) for c in messages.columns], F.element_at(names, F.col("__x.rule_at") + 1).alias("rule"), token.alias("token"), "ioc_id")
+    return rows.groupBy("__row").agg(F.min_by(hit, F.struct("__x.rule_at", "__x.token_at")).alias("x")).select("x.*")
 
 
 def _tokens(tokens: Column, rule: int) -> Column:

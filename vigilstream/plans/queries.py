@@ -122,8 +122,10 @@ _query("cidr_bits", fx.sql(f"SELECT seq_num, left(lpad(bin({fx.number('src_ip')}
 _query("cidr_parse", fx.sql(f"SELECT seq_num, n - n % (1::BIGINT << (32 - p)) AS lo, n - n % (1::BIGINT << (32 - p)) + (1::BIGINT << (32 - p)) - 1 AS hi, p AS prefix FROM (SELECT seq_num, {fx.number('dst_ip')} AS n, CAST(seq_num % 33 AS INT) AS p FROM lm)"))(
     lambda s, d: lm(s, d).select("seq_num", net.cidr_parts(F.concat("dst_ip", F.lit("/"), (F.col("seq_num") % 33).cast("string"))).alias("x")).select("seq_num", F.col("x.start").alias("lo"), F.col("x.end").alias("hi"), "x.prefix")
 )
-_query("ip_parse")(lambda s, d: lm(s, d).select("seq_num", net.ip_range(F.when(F.col("seq_num") % 2 == 0, F.concat(F.lit("2001:db8::"), (F.col("seq_num") % 9999).cast("string"), F.lit("/64"))).otherwise(F.col("src_ip"))).alias("x")).select("seq_num", "x.*"))
-_query("ip_normal")(lambda s, d: lm(s, d).select("seq_num", net.ip_normal(F.concat(F.lit("2001:DB8:0:0:0:0:0:"), F.hex("seq_num"))).alias("ip")))
+_IP6 = "concat('20010db8', repeat('0', 8))"
+_query("ip_parse", fx.sql(f"""SELECT seq_num, CAST(CASE WHEN seq_num % 2 = 0 THEN 6 ELSE 4 END AS INT) AS family, CASE WHEN seq_num % 2 = 0 THEN concat({_IP6}, repeat('0', 16)) ELSE printf('%08x', {fx.number('src_ip')}) END AS start,
+CASE WHEN seq_num % 2 = 0 THEN concat({_IP6}, repeat('f', 16)) ELSE printf('%08x', {fx.number('src_ip')}) END AS "end", CAST(CASE WHEN seq_num % 2 = 0 THEN 64 ELSE 32 END AS INT) AS prefix FROM lm"""))(lambda s, d: lm(s, d).select("seq_num", net.ip_range(F.when(F.col("seq_num") % 2 == 0, F.concat(F.lit("2001:db8::"), (F.col("seq_num") % 9999).cast("string"), F.lit("/64"))).otherwise(F.col("src_ip"))).alias("x")).select("seq_num", "x.*"))
+_query("ip_normal", fx.sql("SELECT seq_num, CASE WHEN seq_num = 0 THEN '2001:db8::' WHEN seq_num < 65536 THEN concat('2001:db8::', lower(hex(seq_num))) END AS ip FROM lm"))(lambda s, d: lm(s, d).select("seq_num", net.ip_normal(F.concat(F.lit("2001:DB8:0:0:0:0:0:"), F.hex("seq_num"))).alias("ip")))
 _query("mac_format", fx.sql("SELECT seq_num, regexp_replace(lower(lpad(hex(seq_num), 12, '0')), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS mac FROM lm"))(
     lambda s, d: lm(s, d).select("seq_num", net.mac_format(F.unhex(F.lpad(F.hex("seq_num"), 12, "0"))).alias("mac"))
 )
@@ -174,18 +176,18 @@ def _first(pairs: list[tuple[str, str]]) -> str:
 
 
 _query("ioc_exact_ip", fx.sql(f"SELECT seq_num, a.id AS ioc_id FROM lm {_ip_hit('a', 'dst_ip')} WHERE a.id IS NOT NULL"))(
-    lambda s, d: lookups.lookup(lm(s, d).select("seq_num", "dst_ip"), lookups.exact_ips(fx.iocs(s)), "dst_ip").select("seq_num", "entry.ioc_id")
+    lambda s, d: lookups.lookup(lm(s, d).select("seq_num", net.ip_hex(F.col("dst_ip")).alias("ip")), lookups.exact_ips(fx.iocs(s)), "ip").select("seq_num", "entry.ioc_id")
 )
 _query("ioc_cidr_lpm", fx.sql(f"SELECT seq_num, a.id AS ioc_id FROM lm {_net_hit('a', 'dst_ip')} WHERE a.id IS NOT NULL"))(
-    lambda s, d: lookups.longest_prefix(lm(s, d).select("seq_num", "dst_ip"), lookups.networks(fx.iocs(s)), "dst_ip", ("seq_num",)).select("seq_num", "entry.ioc_id")
+    lambda s, d: lookups.longest_prefix(lm(s, d).select("seq_num", "dst_ip"), lookups.networks(fx.iocs(s)), "dst_ip").select("seq_num", "entry.ioc_id")
 )
 _FRAME = [("sip", "a"), ("sip_cidr", "b"), ("dip", "c1"), ("dip_cidr", "d1")]
 _query("ioc_frame_match", fx.sql(f"SELECT seq_num, {_first(_FRAME)} FROM lm {_ip_hit('a', 'src_ip')} {_net_hit('b', 'src_ip')} {_ip_hit('c1', 'dst_ip')} {_net_hit('d1', 'dst_ip')} WHERE coalesce(a.id, b.id, c1.id, d1.id) IS NOT NULL"))(
-    lambda s, d: lookups.frame_match(lm(s, d), fx.iocs(s)).drop("entry")
+    lambda s, d: lookups.frame_match(lm(s, d).select("seq_num", "src_ip", "dst_ip"), fx.iocs(s)).select("seq_num", "probe", "ioc_id")
 )
 _FLOW = [("src_ip_cidr", "b"), ("src_ip", "a"), ("dst_ip_cidr", "d1"), ("dst_ip", "c1")]
 _query("ioc_netflow_match", fx.sql(f"SELECT seq_num, {_first(_FLOW)} FROM lm {_ip_hit('a', 'src_ip')} {_net_hit('b', 'src_ip')} {_ip_hit('c1', 'dst_ip')} {_net_hit('d1', 'dst_ip')} WHERE coalesce(a.id, b.id, c1.id, d1.id) IS NOT NULL"))(
-    lambda s, d: lookups.netflow_match(lm(s, d), fx.iocs(s), ("src_ip", "dst_ip")).drop("entry")
+    lambda s, d: lookups.netflow_match(lm(s, d).select("seq_num", "src_ip", "dst_ip"), fx.iocs(s), ("src_ip", "dst_ip")).select("seq_num", "probe", "ioc_id")
 )
 _query("ioc_domain", fx.sql("SELECT seq_num, t.id AS ioc_id FROM lm JOIN ioc_name_t t ON t.k = ioc_dns || '.'"))(
     lambda s, d: lookups.lookup(lm(s, d).select("seq_num", net.canonical_domain(F.col("ioc_dns")).alias("name")), lookups.domains(fx.iocs(s)), "name").select("seq_num", "entry.ioc_id")
@@ -194,7 +196,7 @@ _query("ioc_url", fx.sql("SELECT seq_num, iocs.id AS ioc_id FROM lm JOIN iocs ON
 _query("ioc_email", fx.sql("SELECT seq_num, iocs.id AS ioc_id FROM lm JOIN iocs ON iocs.type = 'email' AND iocs.value = concat('user', CAST(ioc_id - 1000 AS VARCHAR), '@', ioc_dns)"))(
     lambda s, d: lookups.lookup(lm(s, d).select("seq_num", F.concat(F.lit("user"), (F.col("ioc_id") - 1000).cast("string"), F.lit("@"), "ioc_dns").alias("mail")), lookups.emails(fx.iocs(s)), "mail").select("seq_num", "entry.ioc_id")
 )
-_query("ioc_first_wins", fx.sql("SELECT k AS key, id AS ioc_id FROM ioc_ip_t"))(lambda s, d: lookups.exact_ips(fx.iocs(s)).select("key", "entry.ioc_id"))
+_query("ioc_first_wins", fx.sql(f"SELECT printf('%08x', {fx.number('k')}) AS key, id AS ioc_id FROM ioc_ip_t"))(lambda s, d: lookups.exact_ips(fx.iocs(s)).select("key", "entry.ioc_id"))
 
 
 def _dns(s: SparkSession, d: str) -> DataFrame:
@@ -206,14 +208,14 @@ def _dns(s: SparkSession, d: str) -> DataFrame:
 
 
 _DNS_SQL = f"SELECT lm.seq_num, {_first([('qname', 'q'), ('answer_name', 'n'), ('answer_ip', 'a'), ('answer_cidr', 'b')])} FROM lm LEFT JOIN ioc_name_t q ON q.k = ioc_dns || '.' LEFT JOIN ioc_name_t n ON n.k = concat('www.bad', CAST(seq_num % 16 AS VARCHAR), '.example.com.') {_ip_hit('a', 'dst_ip')} {_net_hit('b', 'dst_ip')} WHERE coalesce(q.id, n.id, a.id, b.id) IS NOT NULL"
-_query("ioc_dns_match", fx.sql(_DNS_SQL))(lambda s, d: lookups.dns_match(_dns(s, d), fx.iocs(s)).drop("entry"))
+_query("ioc_dns_match", fx.sql(_DNS_SQL))(lambda s, d: lookups.dns_match(_dns(s, d), fx.iocs(s)).select("seq_num", "probe", "ioc_id"))
 _query("dns_answers_explode", fx.sql("SELECT seq_num, 0 AS answer_at, 'CNAME' AS type, concat('www.bad', CAST(seq_num % 16 AS VARCHAR), '.example.com') AS name, NULL AS ip FROM lm UNION ALL SELECT seq_num, 1, 'A', NULL, dst_ip FROM lm"))(
     lambda s, d: frames.answers(_dns(s, d)).select("seq_num", "answer_at", "type", "name", "ip")
 )
 _SFLOW = [("sip", "a"), ("sip_cidr", "b"), ("dip", "c1"), ("dip_cidr", "d1"), ("host", "h"), ("url_host", "h2"), ("url", "u")]
 _SFLOW_SQL = f"SELECT lm.seq_num, {_first(_SFLOW)} FROM lm {_ip_hit('a', 'src_ip')} {_net_hit('b', 'src_ip')} {_ip_hit('c1', 'ioc_ip')} {_net_hit('d1', 'ioc_ip')} LEFT JOIN ioc_name_t h ON h.k = ioc_dns || '.' LEFT JOIN ioc_name_t h2 ON lm.ioc_type = 'url' AND h2.k = regexp_extract(ioc_value, '^(https?://)?([^/]*)', 2) || '.' LEFT JOIN iocs u ON u.type = 'url' AND lm.ioc_type = 'url' AND u.value = ioc_value WHERE coalesce(a.id, b.id, c1.id, d1.id, h.id, h2.id, u.id) IS NOT NULL"
 _query("ioc_sflow_match", fx.sql(_SFLOW_SQL))(
-    lambda s, d: lookups.sflow_match(lm(s, d).select("seq_num", F.col("src_ip").alias("sip"), F.col("ioc_ip").alias("dip"), *[F.lit(None).cast("string").alias(x) for x in ("natsip", "natdip", "next_hop")], F.col("ioc_dns").alias("host"), F.when(F.col("ioc_type") == "url", F.col("ioc_value")).alias("url")), fx.iocs(s)).drop("entry")
+    lambda s, d: lookups.sflow_match(lm(s, d).select("seq_num", F.col("src_ip").alias("sip"), F.col("ioc_ip").alias("dip"), *[F.lit(None).cast("string").alias(x) for x in ("natsip", "natdip", "next_hop")], F.col("ioc_dns").alias("host"), F.when(F.col("ioc_type") == "url", F.col("ioc_value")).alias("url")), fx.iocs(s)).select("seq_num", "probe", "ioc_id")
 )
 
 # Rules.
@@ -226,7 +228,7 @@ _query("pcap_chain", _PCAP_SQL)(lambda s, d: rules.pcap_chain(lm(s, d), PCAP_RUL
 _query("rule_counts", fx.sql("SELECT rule, count(*) AS matches FROM (" + _PCAP_SQL[_PCAP_SQL.index("SELECT seq_num, 'web'") :] + ") GROUP BY 1"))(lambda s, d: rules.rule_counts(rules.pcap_chain(lm(s, d), PCAP_RULES)))
 DNS_RULES = (("five", "BAD5.", None), ("mail", "mail", None), ("addr", None, "198.51.3.4"))
 _query("dns_chain", fx.sql("""SELECT seq_num, 'five' AS rule FROM lm WHERE contains(coalesce(ioc_dns, ''), 'bad5.') OR seq_num % 16 = 5 UNION ALL SELECT seq_num, 'addr' FROM lm WHERE dst_ip = '198.51.3.4'"""))(
-    lambda s, d: rules.dns_chain(_dns(s, d), s.createDataFrame(list(DNS_RULES), "name string, dns string, ip string")).select("seq_num", "rule")
+    lambda s, d: rules.dns_chain(_dns(s, d), DNS_RULES).select("seq_num", "rule")
 )
 IP_RE, NAME_RE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"(?:(?:[0-9A-Za-z.-]+)\.){1,}(?:[A-Za-z.]{2,6})\.?"
 COMPLETE = [rules.Regex("address", IP_RE), rules.Regex("license", "LICENSED under"), rules.Regex("no_the", "the", inverted=True)]
@@ -250,7 +252,7 @@ _query("regex_substring_ioc", fx.sql("""SELECT lm.seq_num, CASE WHEN a.id IS NOT
 CASE WHEN a.id IS NOT NULL THEN src_ip WHEN b.id IS NOT NULL THEN dst_ip WHEN n.id IS NOT NULL THEN ioc_dns END AS token, coalesce(a.id, b.id, n.id) AS ioc_id
 FROM lm LEFT JOIN ioc_ip_t a ON a.k = src_ip LEFT JOIN ioc_ip_t b ON b.k = dst_ip LEFT JOIN ioc_name_t n ON n.k = ioc_dns || '.'
 WHERE coalesce(a.id, b.id, n.id) IS NOT NULL OR contains(src_ip, '.7')"""))(
-    lambda s, d: rules.regex_chain(_syslog(s, d), [rules.Regex("ips", IP_RE, "substring", "ip"), rules.Regex("names", r"www\.[a-z0-9.]+", "substring", "domain"), rules.Regex("rest", r"from [0-9.]*\.7")], fx.iocs(s))
+    lambda s, d: rules.regex_chain(_syslog(s, d), [rules.Regex("ips", IP_RE, "substring", "ip"), rules.Regex("names", r"www\.[a-z0-9.]+", "substring", "domain"), rules.Regex("rest", r"from [0-9.]*\.7")], fx.iocs(s)).drop("message")
 )
 
 # Reputation.
@@ -280,18 +282,18 @@ def _judged(s: SparkSession, d: str) -> DataFrame:
     return rep.reputation(connected(s, d), _narrow(s), fx.keys(s), fx.names(s, fx.BLACK), fx.names(s, fx.WHITE))
 
 
-_query("reputation_cidr", fx.sql(f"SELECT seq_num, comment, cidr FROM c JOIN ({_feed_hit('src')}) s ON s.ip = src_ip"))(lambda s, d: rep.by_network(connected(s, d), fx.feeds(s), "src"))
-_query("reputation_key", fx.sql("SELECT seq_num, comment FROM c JOIN keys ON keys.hash_key = c.hash_key AND keys.hash_key <> ''"))(lambda s, d: rep.by_key(connected(s, d), fx.keys(s), "hash_key"))
-_query("reputation_pick", fx.sql(_PICK))(lambda s, d: rep.pick(connected(s, d), _narrow(s), fx.keys(s)))
+_query("reputation_cidr", fx.sql(f"SELECT seq_num, comment, cidr FROM c JOIN ({_feed_hit('src')}) s ON s.ip = src_ip"))(lambda s, d: rep.by_network(connected(s, d).select("seq_num", "src_ip"), fx.feeds(s), "src").drop("src_ip"))
+_query("reputation_key", fx.sql("SELECT seq_num, comment FROM c JOIN keys ON keys.hash_key = c.hash_key AND keys.hash_key <> ''"))(lambda s, d: rep.by_key(connected(s, d), fx.keys(s), "hash_key").select("seq_num", "comment"))
+_query("reputation_pick", fx.sql(_PICK))(lambda s, d: rep.pick(connected(s, d), _narrow(s), fx.keys(s)).select("seq_num", "why", "comment"))
 _query("domain_suffix", fx.sql("SELECT seq_num, arg_min(domain, length(domain)) AS domain FROM c JOIN black ON ioc_dns = domain OR ends_with(ioc_dns, '.' || domain) GROUP BY 1"))(
-    lambda s, d: rep.suffix_match(connected(s, d).where("ioc_dns IS NOT NULL"), fx.names(s, fx.BLACK), "ioc_dns", "seq_num")
+    lambda s, d: rep.suffix_match(connected(s, d).where("ioc_dns IS NOT NULL"), fx.names(s, fx.BLACK), "ioc_dns").select("seq_num", "domain")
 )
-_query("whitelist_anti", fx.sql(_NAMES))(lambda s, d: rep.name_hits(connected(s, d).where("ioc_dns IS NOT NULL"), fx.names(s, fx.BLACK), fx.names(s, fx.WHITE), "ioc_dns"))
+_query("whitelist_anti", fx.sql(_NAMES))(lambda s, d: rep.name_hits(connected(s, d).where("ioc_dns IS NOT NULL"), fx.names(s, fx.BLACK), fx.names(s, fx.WHITE), "ioc_dns").select("seq_num", "domain"))
 _BOTH = f"SELECT coalesce(p.seq_num, n.seq_num) AS seq_num, coalesce(why, 'domain') AS why, coalesce(comment, 'DomainTable-DNS-' || domain) AS comment FROM ({_PICK}) p FULL JOIN ({_NAMES}) n ON p.seq_num = n.seq_num"
-_query("reputation", fx.sql(_BOTH))(_judged)
-_query("reputation_semi", fx.sql(f"SELECT seq_num, source FROM c WHERE seq_num IN (SELECT seq_num FROM ({_BOTH}))"))(lambda s, d: connected(s, d).join(_judged(s, d), "seq_num", "left_semi").select("seq_num", "source"))
+_query("reputation", fx.sql(_BOTH))(lambda s, d: _judged(s, d).select("seq_num", "why", "comment"))
+_query("reputation_semi", fx.sql(f"SELECT seq_num, source FROM c WHERE seq_num IN (SELECT seq_num FROM ({_BOTH}))"))(lambda s, d: _judged(s, d).select("seq_num", "source"))
 _query("reputation_enrich", fx.sql(f"SELECT c.seq_num, hash_key, CASE WHEN why <> 'domain' THEN connection_type END AS conn, CASE WHEN why <> 'domain' THEN comment END AS mconn FROM c JOIN ({_BOTH}) b ON b.seq_num = c.seq_num"))(
-    lambda s, d: connected(s, d).join(_judged(s, d), "seq_num").select("seq_num", "hash_key", F.when(F.col("why") != "domain", F.col("connection_type")).alias("conn"), F.when(F.col("why") != "domain", F.col("comment")).alias("mconn"))
+    lambda s, d: _judged(s, d).select("seq_num", "hash_key", F.when(F.col("why") != "domain", F.col("connection_type")).alias("conn"), F.when(F.col("why") != "domain", F.col("comment")).alias("mconn"))
 )
 _query("feed_union", fx.sql("SELECT cidr, type, comment FROM feeds WHERE cidr <> '198.51.0.0/21' UNION ALL SELECT '198.51.0.0/21', 'cidr_dst', 'newer'"))(
     lambda s, d: rep.union([fx.feeds(s), s.createDataFrame([("cidr_dst", "drop", 1, "198.51.0.0/21", "newer", "2024-02-01 00:00:00")], "type string, report string, line long, cidr string, comment string, created_time string")], ["cidr"]).select("cidr", "type", "comment")
