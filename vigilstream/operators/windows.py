@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WINDOW = "60 seconds"
 
@@ -54,22 +58,37 @@ RANKINGS = (
 )
 
 
-def window_start(time: str, size: str) -> Column:
+def first_event(events: DataFrame, size: str = WINDOW, time: str = "event_time") -> str:
+    """The offset at which windows start that begin with the first event: a window's ``start``."""
+    micros = int(size_seconds(size) * 1_000_000)
+    first = events.agg(F.min(F.unix_micros(F.col(time).cast("timestamp")))).first()[0]
+    return f"{(first or 0) % micros} microseconds"
+
+
+def size_seconds(size: str) -> float:
+    """Seconds of a window's size, as ``60 seconds`` or ``1 day``."""
+    n, unit = size.split()
+    return float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def window_start(time: str, size: str, start: str = "0 seconds") -> Column:
     """The start of a tumbling window in seconds since 1970."""
-    return F.unix_seconds(F.window(F.col(time).cast("timestamp"), size)["start"])
+    return F.unix_seconds(F.window(F.col(time).cast("timestamp"), size, startTime=start)["start"])
 
 
 def chosen(events: DataFrame, ranking: Ranking) -> DataFrame:
     return events.where(ranking.where).where(~F.coalesce(F.col("self"), F.lit(False))) if ranking.not_self else events.where(ranking.where)
 
 
-def counts(events: DataFrame, ranking: Ranking, size: str = WINDOW, time: str = "event_time") -> DataFrame:
+def counts(events: DataFrame, ranking: Ranking, size: str = WINDOW, time: str = "event_time", start: str = "0 seconds") -> DataFrame:
     """Events by window and key: window_start, the keys, scount. One shuffle, after map-side counts.
 
+    ``start``: where windows start, as ``first_event`` tells it for windows that begin with the first event.
+
     The source-port ranking counts a port over all protocols, as of the last event that each protocol has of it.
     """
     events = chosen(events, ranking)
-    start = window_start(time, size).alias("window_start")
+    start = window_start(time, size, start).alias("window_start")
     if ranking.name == "src_port":
         return _port_counts(events, start, time)
     out = events.select(start, *ranking.keys).groupBy("window_start", *ranking.keys).agg(F.count("*").alias("scount"))
@@ -89,13 +108,14 @@ def ranked(table: DataFrame, keys: tuple[str, ...], n: int = 10) -> DataFrame:
     return table.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
-def top(events: DataFrame, ranking: Ranking, size: str = WINDOW, n: int = 10, time: str = "event_time") -> DataFrame:
-    return ranked(counts(events, ranking, size, time), ranking.keys, n)
+def top(events: DataFrame, ranking: Ranking, size: str = WINDOW, n: int = 10, time: str = "event_time", start: str = "0 seconds") -> DataFrame:
+    return ranked(counts(events, ranking, size, time, start), ranking.keys, n)
 
 
-def rate(events: DataFrame, size: str = WINDOW, time: str = "event_time", empty: bool = True) -> DataFrame:
+def rate(events: DataFrame, size: str = WINDOW, time: str = "event_time", empty: bool = True, start: str = "0 seconds") -> DataFrame:
     """Events and events a second of each window, empty windows between the first and the last included."""
-    out = events.groupBy(F.window(F.col(time).cast("timestamp"), size).alias("w")).agg(F.count("*").alias("scount"))
+    t = F.col(time) if isinstance(events.schema[time].dataType, T.TimestampType) else F.col(time).cast("timestamp")
+    out = events.groupBy(F.window(t, size, startTime=start).alias("w")).agg(F.count("*").alias("scount"))
     out = out.select(F.unix_seconds("w.start").alias("window_start"), (F.unix_millis("w.end") - F.unix_millis("w.start")).alias("window_ms"), "scount")
     if empty:
         span = out.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b"), F.max("window_ms").alias("window_ms")).where("a is not null")
@@ -110,47 +130,57 @@ def tumbling(events: DataFrame, size: str = WINDOW, time: str = "event_time", st
     return events.withColumn("w", w).withColumn("window_start", F.unix_seconds("w.start")).withColumn("window_end", F.unix_seconds("w.end")).drop("w")
 
 
-_FOUND = "key string, window_start long, first_seq long, last_seq long, repeat_count long"
-
-
 def correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key", time: str = "event_time") -> DataFrame:
     """Windows that the first event of a key opens and that last so long, whatever follows: the next event after opens another.
 
-    Per window: the key, its start in milliseconds, the first and the last event's seq_num, and the number of events.
-    A key's events stay in one task, so keys are first split by time: where a key pauses for ``seconds`` or more, the
-    event after the pause opens a window whatever came before. The pieces between pauses are walked through apart.
+    Per window: the key, its start in milliseconds, the whole first and last event, and the number of events. Events of the
+    sensor itself and those without a key are left out; events at one time are in the order of seq_num.
+
+    One shuffle and one sort by key and time. A key's events are walked through in one task, as each window depends on the
+    one before, but as a stream: a task holds a batch and the open window.
     """
     rows = events.where(~F.coalesce(F.col("self"), F.lit(False))).where(F.col(key).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"), "seq_num")
-    by = Window.partitionBy("key").orderBy("t", "seq_num")
-    pause = F.coalesce((F.col("t") - F.lag("t").over(by) >= seconds * 1000).cast("long"), F.lit(0))
-    rows = rows.withColumn("pause", pause).withColumn("piece", F.sum("pause").over(by))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by key, piece and time; an open window is carried from batch to batch.
-        now, out = None, []
+    whole = F.struct(*[F.col(c) for c in events.columns])
+    rows = rows.select(F.col(key).alias("key"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"), "seq_num", whole.alias("event"))
+    event = rows.schema["event"].dataType
+    shape = T.StructType([T.StructField("key", T.StringType()), T.StructField("window_start", T.LongType()), T.StructField("first_event", event), T.StructField("last_event", event), T.StructField("repeat_count", T.LongType())])
+    arrow = to_arrow_schema(shape)
+
+    def found(parts: list[tuple]) -> pa.RecordBatch:
+        """Of parts (keys, starts, first events, last events, counts), each of several windows."""
+        return pa.Table.from_arrays([pa.chunked_array([pa.array(p[k]).cast(arrow.field(k).type) for p in parts], arrow.field(k).type) for k in range(5)], schema=arrow).combine_chunks().to_batches()[0]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # key, start, first event, last event, count of the open window
         for batch in batches:
-            for k, p, t, s in zip(batch["key"], batch["piece"], batch["t"], batch["seq_num"], strict=True):
-                if now is None or now[0] != k or now[5] != p or t >= now[1] + seconds * 1000:
-                    if now is not None:
-                        out.append(now[:5])
-                    now = [k, t, s, s, 1, p]
-                else:
-                    now[3], now[4] = s, now[4] + 1
-            if len(out) > 10_000:
-                yield _frame(out)
-                out = []
+            if not len(batch):
+                continue
+            key, t, event = batch.column(0), batch.column(1).to_numpy(), batch.column(3)
+            new = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+            first, last, parts = [], [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if now is not None and lo == 0 and now[0].as_py() == key[0].as_py():
+                    at = int(np.searchsorted(t[:hi], now[1] + seconds * 1000))
+                    if at:
+                        now = (now[0], now[1], now[2], event.slice(at - 1, 1), now[4] + at)
+                    lo = at
+                while lo < hi:
+                    at = lo + int(np.searchsorted(t[lo:hi], t[lo] + seconds * 1000))
+                    first.append(lo), last.append(at - 1)
+                    lo = at
+            if first:
+                if now is not None:
+                    parts.append(([now[0].as_py()], [now[1]], now[2], now[3], [now[4]]))
+                # The last window is open still.
+                f, e = np.array(first), np.array(last)
+                parts.append((key.take(pa.array(f[:-1])), t[f[:-1]], event.take(pa.array(f[:-1])), event.take(pa.array(e[:-1])), e[:-1] - f[:-1] + 1))
+                now = (key[first[-1]], int(t[first[-1]]), event.slice(first[-1], 1), event.slice(last[-1], 1), last[-1] - first[-1] + 1)
+                yield found(parts)
         if now is not None:
-            out.append(now[:5])
-        if out:
-            yield _frame(out)
-
-    dealt = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "t", "seq_num")
-    return dealt.select("key", "piece", "t", "seq_num").mapInPandas(walk, _FOUND)
-
+            yield found([([now[0].as_py()], [now[1]], now[2], now[3], [now[4]])])
 
-def _frame(rows: list[list]) -> pd.DataFrame:
-    return pd.DataFrame([x[:5] for x in rows], columns=["key", "window_start", "first_seq", "last_seq", "repeat_count"])
+    return rows.repartition("key").sortWithinPartitions("key", "t", "seq_num").mapInArrow(walk, shape)
 
 
 def seq_gaps(events: DataFrame, queue: str = "sensor_name") -> DataFrame:

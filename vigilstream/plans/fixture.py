@@ -48,7 +48,11 @@ def _select(columns: tuple, text: str) -> list[str]:
 
 
 def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_select(_BASE, "STRING")).selectExpr("*", *_select(_MIDDLE, "STRING"))
+    return as_log_messages(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_log_messages(events: DataFrame) -> DataFrame:
+    rows = events.selectExpr(*_select(_BASE, "STRING")).selectExpr("*", *_select(_MIDDLE, "STRING"))
     return rows.selectExpr(*_select(_EVENT, "STRING"))
 
 

@@ -54,42 +54,84 @@ def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rankings: counts by window and key, and the ten largest.
 
-_WINDOW = f"(CAST(floor(epoch(event_time)) AS BIGINT) // {DAY_S}) * {DAY_S}"
+_ANCHOR = "(SELECT min(epoch_us(event_time)) FROM c)"
 
 
-def _ranking_sql(r: windows.Ranking, n: int | None) -> str:
+def _window_sql(seconds: int) -> str:
+    """The start of windows that begin with the first event, in seconds."""
+    micros = seconds * 1_000_000
+    return f"CAST(floor((epoch_us(event_time) - {_ANCHOR} - (epoch_us(event_time) - {_ANCHOR}) % {micros} + {_ANCHOR}) / 1000000) AS BIGINT)"
+
+
+def _ranking_sql(r: windows.Ranking, n: int | None, seconds: int = 60) -> str:
+    window = _window_sql(seconds)
     where = r.where + (" AND NOT self" if r.not_self else "")
     names = ", ".join(r.keys)
     shown = "printf('0x%04x', eth_type & 65535) AS eth_type" if r.shown else names
     if r.name == "src_port":
         counted = f"""SELECT window_start, ip_protocol, src_port, max(n) AS scount FROM (
-          SELECT {_WINDOW} AS window_start, ip_protocol, src_port, count(*) OVER (PARTITION BY {_WINDOW}, src_port ORDER BY event_time, seq_num ROWS UNBOUNDED PRECEDING) AS n
+          SELECT {window} AS window_start, ip_protocol, src_port, count(*) OVER (PARTITION BY {window}, src_port ORDER BY event_time, seq_num ROWS UNBOUNDED PRECEDING) AS n
           FROM c WHERE {where}) GROUP BY 1, 2, 3"""
     else:
-        counted = f"SELECT window_start, {shown}, scount FROM (SELECT {_WINDOW} AS window_start, {names}, count(*) AS scount FROM c WHERE {where} GROUP BY ALL)"
+        counted = f"SELECT window_start, {shown}, scount FROM (SELECT {window} AS window_start, {names}, count(*) AS scount FROM c WHERE {where} GROUP BY ALL)"
     if n is None:
         return fx.sql(counted)
     order = f"row_number() OVER (PARTITION BY window_start ORDER BY scount DESC, {names})"
     return fx.sql(f"SELECT *, {order} AS rank FROM ({counted}) QUALIFY {order} <= {n}")
 
 
+def _anchored(s: SparkSession, d: str, size: str) -> tuple[DataFrame, str]:
+    """Events, and the start of windows that begin with the first of them."""
+    events = connected(s, d)
+    return events, windows.first_event(events, size)
+
+
+def _top(s: SparkSession, d: str, r: windows.Ranking, size: str = windows.WINDOW) -> DataFrame:
+    events, start = _anchored(s, d, size)
+    return windows.top(events, r, size, 10, start=start)
+
+
+def _sum(s: SparkSession, d: str, r: windows.Ranking, size: str = windows.WINDOW) -> DataFrame:
+    events, start = _anchored(s, d, size)
+    return windows.counts(events, r, size, start=start)
+
+
+def _rate(s: SparkSession, d: str) -> DataFrame:
+    events, start = _anchored(s, d, windows.WINDOW)
+    return windows.rate(events, start=start)
+
+
+# Windows of a minute from the first event on, as statements have them; of a day, where a key stands in many rows.
 for _r in windows.RANKINGS:
-    _query(f"{_r.name}_top", _ranking_sql(_r, 10))(lambda s, d, r=_r: windows.top(connected(s, d), r, DAY, 10))
-    _query(f"{_r.name}_sum", _ranking_sql(_r, None))(lambda s, d, r=_r: windows.counts(connected(s, d), r, DAY))
+    _query(f"{_r.name}_top", _ranking_sql(_r, 10))(lambda s, d, r=_r: _top(s, d, r))
+    _query(f"{_r.name}_sum", _ranking_sql(_r, None))(lambda s, d, r=_r: _sum(s, d, r))
+    _query(f"{_r.name}_top_day", _ranking_sql(_r, 10, DAY_S))(lambda s, d, r=_r: _top(s, d, r, DAY))
 
-_query("rate_per_minute", fx.sql("""SELECT window_start, CAST(3600000 AS BIGINT) AS window_ms, coalesce(n, 0) AS scount, coalesce(n, 0) / 3600.0::DOUBLE AS rate
-FROM (SELECT unnest(range(a, b + 1, 3600)) AS window_start FROM (SELECT min(w) AS a, max(w) AS b FROM (SELECT (CAST(floor(epoch(event_time)) AS BIGINT) // 3600) * 3600 AS w FROM c)))
-LEFT JOIN (SELECT (CAST(floor(epoch(event_time)) AS BIGINT) // 3600) * 3600 AS w, count(*) AS n FROM c GROUP BY 1) ON w = window_start"""))(lambda s, d: windows.rate(connected(s, d), "1 hour"))
+_query("rate_per_minute", fx.sql(f"""SELECT window_start, CAST(60000 AS BIGINT) AS window_ms, coalesce(n, 0) AS scount, coalesce(n, 0) / 60.0::DOUBLE AS rate
+FROM (SELECT unnest(range(a, b + 1, 60)) AS window_start FROM (SELECT min(w) AS a, max(w) AS b FROM (SELECT {_window_sql(60)} AS w FROM c)))
+LEFT JOIN (SELECT {_window_sql(60)} AS w, count(*) AS n FROM c GROUP BY 1) ON w = window_start"""))(_rate)
 
 _query("tumbling_60s", fx.sql("SELECT seq_num, (CAST(floor(epoch(event_time)) AS BIGINT) // 60) * 60 AS window_start, (CAST(floor(epoch(event_time)) AS BIGINT) // 60) * 60 + 60 AS window_end FROM c"))(
     lambda s, d: windows.tumbling(connected(s, d)).select("seq_num", "window_start", "window_end")
 )
 
-_query("correlation", fx.sql("""SELECT key, t AS window_start, first_seq, last_seq, n AS repeat_count FROM (
-  WITH RECURSIVE r AS (SELECT ip_hash_key AS key, epoch_us(event_time) // 1000 AS t, seq_num FROM c WHERE NOT self),
-  a AS (SELECT key, min(t) AS t FROM r GROUP BY key UNION ALL SELECT a.key, (SELECT min(r.t) FROM r WHERE r.key = a.key AND r.t >= a.t + 21600000) AS t FROM a WHERE (SELECT min(r.t) FROM r WHERE r.key = a.key AND r.t >= a.t + 21600000) IS NOT NULL)
-  SELECT a.key, a.t, arg_min(r.seq_num, (r.t, r.seq_num)) AS first_seq, arg_max(r.seq_num, (r.t, r.seq_num)) AS last_seq, count(*) AS n
-  FROM a JOIN r ON r.key = a.key AND r.t >= a.t AND r.t < a.t + 21600000 GROUP BY 1, 2)"""))(lambda s, d: windows.correlation(connected(s, d), 6 * 3600))
+def _correlation_sql(seconds: int) -> str:
+    """Windows walked through event by event of each key; the whole first and last event are told by some of their fields."""
+    fields = ", ".join(f"arg_{m}({c}, n) AS {name}_{c}" for m, name in (("min", "first"), ("max", "last")) for c in ("seq_num", "source", "dst_port", "ioc_value"))
+    return fx.sql(f"""SELECT * FROM (
+  WITH RECURSIVE r AS (SELECT *, ip_hash_key AS key, epoch_us(event_time) // 1000 AS t, row_number() OVER (PARTITION BY ip_hash_key ORDER BY epoch_us(event_time) // 1000, seq_num) AS n FROM c WHERE NOT self),
+  w AS (SELECT key, n, t AS start FROM r WHERE n = 1 UNION ALL SELECT r.key, r.n, CASE WHEN r.t >= w.start + {seconds * 1000} THEN r.t ELSE w.start END FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1)
+  SELECT w.key, w.start AS window_start, {fields.replace(", n)", ", w.n)")}, count(*) AS repeat_count FROM w JOIN r ON r.key = w.key AND r.n = w.n GROUP BY 1, 2)""")
+
+
+def _correlation(s: SparkSession, d: str, seconds: int) -> DataFrame:
+    found = windows.correlation(connected(s, d), seconds)
+    fields = [F.col(f"{w}_event.{c}").alias(f"{w}_{c}") for w in ("first", "last") for c in ("seq_num", "source", "dst_port", "ioc_value")]
+    return found.select("key", "window_start", *fields, "repeat_count")
+
+
+_query("correlation", _correlation_sql(60))(lambda s, d: _correlation(s, d, 60))
+_query("correlation_hours", _correlation_sql(6 * 3600))(lambda s, d: _correlation(s, d, 6 * 3600))
 
 _query("seq_gap", fx.sql("SELECT sensor_name, seq_num, p AS previous, seq_num - p - 1 AS missing FROM (SELECT sensor_name, seq_num, lag(seq_num) OVER (PARTITION BY sensor_name ORDER BY seq_num) AS p FROM lm) WHERE seq_num - p > 1"))(lambda s, d: windows.seq_gaps(lm(s, d)))
 _query("filter_conj", fx.sql("SELECT seq_num FROM lm WHERE NOT self AND ip_protocol = 6 AND dst_port <> 0"))(lambda s, d: lm(s, d).where("NOT self AND ip_protocol = 6 AND dst_port <> 0").select("seq_num"))
@@ -319,10 +361,10 @@ _query("ioc_load", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT),
 
 
 def _top_ips(s: SparkSession, d: str) -> DataFrame:
-    return windows.top(connected(s, d), next(r for r in windows.RANKINGS if r.name == "dst_ip"), DAY)
+    return _top(s, d, next(r for r in windows.RANKINGS if r.name == "dst_ip"), DAY)
 
 
-_TOP = _ranking_sql(next(r for r in windows.RANKINGS if r.name == "dst_ip"), 10)
+_TOP = _ranking_sql(next(r for r in windows.RANKINGS if r.name == "dst_ip"), 10, DAY_S)
 _HEAD, _TOP_SELECT = _TOP[: _TOP.index("SELECT *, row_number()")], _TOP[_TOP.index("SELECT *, row_number()") :]
 _ENTRIES = "string_agg(concat(dst_ip, '=', CAST(scount AS VARCHAR)), ' ' ORDER BY rank)"
 _query("report_envelope", f"{_HEAD} SELECT 'DstIpTop' AS statement, window_start AS time, CAST(count(*) AS INT) AS size, {_ENTRIES} AS entries, row_number() OVER (ORDER BY window_start) - 1 AS id FROM ({_TOP_SELECT}) GROUP BY window_start")(

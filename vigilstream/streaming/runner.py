@@ -23,11 +23,20 @@ from vigilstream.sources.flows import Templates, templated
 EXPIRY = 600_000
 
 
-def stream_counts(events: DataFrame, ranking: windows.Ranking, size: str = windows.WINDOW, delay: str = "0 seconds", time: str = "event_time") -> DataFrame:
-    """A ranking's counts by window, given out when the watermark passes the window's end."""
+def stream_counts(events: DataFrame, ranking: windows.Ranking, size: str = windows.WINDOW, delay: str = "0 seconds", time: str = "event_time", start: str = "0 seconds") -> DataFrame:
+    """``windows.counts`` of a stream, given out when the watermark passes a window's end."""
     events = windows.chosen(events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", delay), ranking)
-    out = events.groupBy(F.window("__t", size).alias("w"), *ranking.keys).agg(F.count("*").alias("scount"))
-    return out.select(F.unix_seconds("w.start").alias("window_start"), *ranking.keys, "scount")
+    window = F.window("__t", size, startTime=start).alias("w")
+    begin = F.unix_seconds("w.start").alias("window_start")
+    if ranking.name == "src_port":
+        # A port's events of a window in order; each protocol shows how many there are as of its last one.
+        each = F.struct(F.unix_micros("__t").alias("t"), "seq_num", "ip_protocol")
+        rows = events.groupBy(window, "src_port").agg(F.array_sort(F.collect_list(each)).alias("all"))
+        rows = rows.select(begin, "src_port", "all", F.explode(F.array_distinct(F.transform("all", lambda x: x["ip_protocol"]))).alias("ip_protocol"))
+        last = F.array_max(F.transform("all", lambda x, i: F.when(x["ip_protocol"] == F.col("ip_protocol"), i + 1)))
+        return rows.select("window_start", "ip_protocol", "src_port", last.cast("long").alias("scount"))
+    out = events.groupBy(window, *ranking.keys).agg(F.count("*").alias("scount")).select(begin, *ranking.keys, "scount")
+    return out.withColumn(ranking.keys[0], F.expr(ranking.shown)) if ranking.shown else out
 
 
 def start_top(events: DataFrame, ranking: windows.Ranking, sink: Callable[[DataFrame, int], None], checkpoint: str, size: str = windows.WINDOW, delay: str = "0 seconds", n: int = 10, available_now: bool = False) -> StreamingQuery:
@@ -40,50 +49,81 @@ def start_top(events: DataFrame, ranking: windows.Ranking, sink: Callable[[DataF
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-FOUND = StructType([StructField("key", StringType()), *(StructField(k, LongType()) for k in ("window_start", "first_seq", "last_seq", "repeat_count"))])
+def stream_rate(events: DataFrame, size: str = windows.WINDOW, delay: str = "0 seconds", time: str = "event_time", start: str = "0 seconds") -> DataFrame:
+    """``windows.rate`` of a stream, without empty windows: no event closes them."""
+    events = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", delay)
+    return windows.rate(events, size, "__t", False, start)
+
+
+FOUND = StructType([StructField("key", StringType()), StructField("window_start", LongType()), StructField("first_event", StringType()), StructField("last_event", StringType()), StructField("repeat_count", LongType())])
 
 
 class Correlation(StatefulProcessor):
-    """One open window a key: the first event opens it, a timer at its end or the first event beyond it closes it."""
+    """One open window a key: the first event opens it, the next one beyond its end opens another.
+
+    Events wait until the watermark has passed them, so that they are taken in order however they come; what comes later
+    than the watermark is dropped by Spark. An open window is given out when the watermark has passed its end.
+    """
 
     def __init__(self, seconds: int = 60):
         self.millis = seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start long, first_seq long, last_seq long, n long")
+        self.open = handle.getValueState("open", "start long, first string, last string, n long")
+        self.waiting = handle.getListState("waiting", "t long, seq_num long, event string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = list(self.open.get()) if self.open.exists() else None
-        out = []
+        last = None
         for batch in rows:
-            for t, s in batch.sort_values(["t", "seq_num"])[["t", "seq_num"]].itertuples(index=False):
-                if now is not None and t < now[0] + self.millis:
-                    now[2], now[3] = int(s), now[3] + 1
-                    continue
-                if now is not None:
-                    out.append([key[0], *now])
-                now = [int(t), int(s), int(s), 1]
-        if now is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(now[0] + self.millis)
-            self.open.update(tuple(now))
-        yield pd.DataFrame(out, columns=FOUND.names)
+            new = [(int(t), int(s), e) for t, s, e in batch[["t", "seq_num", "event"]].itertuples(index=False)]
+            if new:
+                self.waiting.appendList(new)
+                last = max(last or 0, max(t for t, *_ in new))
+        if last is not None:
+            self.handle.registerTimer(last + 1)
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = [[key[0], *self.open.get()]] if self.open.exists() else []
-        self.open.clear()
-        yield pd.DataFrame(out, columns=FOUND.names)
+        yield self._advance(key, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
+
+    def _advance(self, key, watermark: int) -> pd.DataFrame:
+        """Takes what has waited for the watermark, in order."""
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        now, out = list(self.open.get()) if self.open.exists() else None, []
+        ready = [r for r in rows if r[0] < watermark]
+        for t, _, event in ready:
+            if now is not None and t < now[0] + self.millis:
+                now[2], now[3] = event, now[3] + 1
+                continue
+            if now is not None:
+                out.append([key[0], *now])
+            now = [t, event, event, 1]
+        if now is not None and now[0] + self.millis <= watermark:
+            out.append([key[0], *now])
+            now = None
+        if ready:
+            left = rows[len(ready) :]
+            if left:
+                self.waiting.put([tuple(r) for r in left])
+            else:
+                self.waiting.clear()
+        if now is not None:
+            self.open.update(tuple(now))
+            self.handle.registerTimer(now[0] + self.millis)
+        else:
+            self.open.clear()
+        return pd.DataFrame(out, columns=FOUND.names)
 
     def close(self) -> None:
         pass
 
 
 def stream_correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key", delay: str = "0 seconds", time: str = "event_time") -> DataFrame:
-    """``windows.correlation`` of a stream."""
+    """``windows.correlation`` of a stream; the first and last event are JSON."""
     rows = events.where(~F.coalesce(F.col("self"), F.lit(False))).where(F.col(key).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("__t"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"), "seq_num")
+    event = F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("event")
+    rows = rows.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("__t"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"), "seq_num", event)
     return rows.withWatermark("__t", delay).groupBy("key").transformWithStateInPandas(Correlation(seconds), FOUND, "append", "eventTime")
 
 
@@ -96,10 +136,10 @@ class TcpLines(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         carry = bytes(self.carry.get()[0]) if self.carry.exists() else b""
         out = []
-        for batch in rows:
-            for data in batch.sort_values("seq_num")["payload"]:
-                lines, carry = line_frames(carry, bytes(data))
-                out += [[key[0], x.decode("utf-8", "replace")] for x in lines]
+        # A trigger may bring a socket's segments in several batches, in any order.
+        for data in pd.concat(list(rows)).sort_values("seq_num")["payload"]:
+            lines, carry = line_frames(carry, bytes(data))
+            out += [[key[0], x.decode("utf-8", "replace")] for x in lines]
         self.carry.update((carry,))
         yield pd.DataFrame(out, columns=["socket", "message"])
 
@@ -124,10 +164,9 @@ class Exporter(StatefulProcessor):
             known.setdefault(source, {})[number] = [tuple(map(int, f.split(":"))) for f in fields.split(",")]
         templates = Templates(known)
         out = []
-        for batch in rows:
-            for at, data in batch.sort_values("seq_num")[["seq_num", "payload"]].itertuples(index=False):
-                for f in templated(bytes(data), templates, {}):
-                    out.append([key[0], int(at), f["version"], f.get("src_ip"), f.get("dst_ip"), f.get("bytes"), f.get("packets")])
+        for at, data in pd.concat(list(rows)).sort_values("seq_num")[["seq_num", "payload"]].itertuples(index=False):
+            for f in templated(bytes(data), templates, {}):
+                out.append([key[0], int(at), f["version"], f.get("src_ip"), f.get("dst_ip"), f.get("bytes"), f.get("packets")])
         for source, of in templates.known.items():
             for number, fields in of.items():
                 self.known.updateValue((source, number), (",".join(f"{k}:{n}" for k, n in fields),))
