@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vigilstream import shipping
 
 #: Bytes of a batch that goes to a Python worker, so that long texts don't add up there.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _WRITTEN: dict[str, SparkSession] = {}
 

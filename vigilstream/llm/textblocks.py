@@ -16,14 +16,23 @@ U64 = np.uint64
 CHUNK = 2 << 20
 
 
+def _libc(name: str, *arguments: int) -> None:
+    try:
+        getattr(ctypes.CDLL(None), name)(*arguments)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Arrays of a megabyte or more are mapped by themselves, so that they go back to the system when they are freed (glibc's
+#: M_MMAP_THRESHOLD); left to itself the library keeps what it once had up to 32 MB, in many workers to a machine.
+_libc("mallopt", -3, 1 << 20)
+
+
 def release() -> None:
     """Gives freed memory back to the system; Python workers live on and are many to a machine."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    _libc("malloc_trim", 0)
 
 
 @dataclass
@@ -71,6 +80,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             base = offsets[start]
             yield Chunk(batch.slice(start, stop - start), data[base : offsets[stop]], offsets[start : stop + 1] - base)
             start = stop
+        del batch, text, raw, where, data, offsets
+        pa.default_memory_pool().release_unused()
     release()
 
 
