@@ -56,6 +56,44 @@ def as_log_messages(events: DataFrame) -> DataFrame:
     return rows.selectExpr(*_select(_EVENT, "STRING"))
 
 
+#: Further columns of events, and events as flows and samples, for what writes them.
+WIDE = (
+    ("rule", "concat('rule-', CAST(seq_num % 3 AS {S}))"),
+    ("port_id", "CAST(seq_num % 8 AS INT)"),
+    ("direction", "CASE WHEN seq_num % 2 = 0 THEN 'rx' ELSE 'tx' END"),
+    ("length", "CAST(60 + seq_num % 1000 AS INT)"),
+    ("ip_ttl", "64"),
+    ("l4_length", "CAST(seq_num % 500 AS INT)"),
+    ("icmp_type", "CASE WHEN ip_protocol = 1 THEN 8 END"),
+    ("icmp_code", "CASE WHEN ip_protocol = 1 THEN 0 END"),
+    ("dns_name", "ioc_dns"),
+    ("ioc_file_id", "CASE WHEN ioc_id <> 0 THEN ioc_id % 4 END"),
+    ("message", "CASE WHEN source = 'udp_syslog' THEN concat('from ', src_ip) END"),
+)
+FLOWS = (
+    *((c, c) for c in ("source", "seq_num", "src_ip", "dst_ip", "src_port", "dst_port", "bytes", "ioc_type", "ioc_threat_type", "ioc_ip", "ioc_value", "ioc_dns")),
+    ("tag", "7"), ("protocol", "ip_protocol"), ("tcp_flags", "2"), ("tos", "0"), ("exporter", "sensor_name"), ("gateway_ip", "CASE WHEN seq_num % 2 = 0 THEN dst_ip END"),
+    ("packets", "1 + seq_num % 9"), ("if_in", "1"), ("if_out", "2"), ("sys_uptime_ms", "seq_num * 1234"), ("unix_secs", "1700000000 + seq_num"), ("unix_nsecs", "seq_num * 1000"),
+    ("version", "5"), ("flow_start", "seq_num * 1000 + 17"), ("flow_finish", "seq_num * 1000 + 999"), ("src_as", "src_asn"), ("src_mask", "8"), ("dst_as", "dst_asn"),
+    ("dst_mask", "24"), ("engine_type", "0"), ("engine_id", "1"), ("ioc_id", "CASE WHEN ioc_id <> 0 THEN ioc_id END"),
+)
+SAMPLES = (
+    ("source", "source"), ("seq_num", "seq_num"), ("source_ip", "src_ip"), ("agent_ip", "dst_ip"), ("agent_sub_id", "0"), ("packet_seq_num", "seq_num"), ("sys_up_time", "CAST(seq_num AS DOUBLE)"),
+    ("sample_type", "'flow'"), ("sample_format", "1"), ("ds_type", "0"), ("ds_index", "3"), ("sample_rate", "512"), ("input_port", "3"), ("output_port", "4"), ("packet_length", "60 + seq_num % 100"),
+    ("eth_type", "eth_type"), ("smac", "src_mac"), ("dmac", "dst_mac"), ("sip", "src_ip"), ("dip", "dst_ip"), ("natsip", "ioc_ip"), ("ip_protocol", "ip_protocol"), ("ttl", "64"),
+    ("icmp_type", "8"), ("icmp_code", "0"), ("sport", "src_port"), ("dport", "dst_port"), ("tcp_flags", "2"), ("src_user", "CASE WHEN seq_num % 3 = 0 THEN 'someone' END"),
+)
+
+
+def derived(events: DataFrame, columns: tuple, keep: bool = False) -> DataFrame:
+    return events.selectExpr(*(["*"] if keep else []), *_select(columns, "STRING"))
+
+
+def derived_sql(columns: tuple, keep: bool = False) -> str:
+    """The same as a table of SQL."""
+    return f"(SELECT {'*, ' if keep else ''}{', '.join(_select(columns, 'VARCHAR'))} FROM lm)"
+
+
 #: Connections as SQL; the separator is chr(31).
 _CONNECTION = """CASE WHEN ioc_type = 'url' THEN 'url' WHEN ip_protocol = 1 THEN 'icmp' WHEN ip_protocol = 6 THEN 'tcp' WHEN ip_protocol = 17 THEN 'udp' END"""
 _KEY = """CASE connection_type

@@ -168,6 +168,10 @@ _IP6 = "concat('20010db8', repeat('0', 8))"
 _query("ip_parse", fx.sql(f"""SELECT seq_num, CAST(CASE WHEN seq_num % 2 = 0 THEN 6 ELSE 4 END AS INT) AS family, CASE WHEN seq_num % 2 = 0 THEN concat({_IP6}, repeat('0', 16)) ELSE printf('%08x', {fx.number('src_ip')}) END AS start,
 CASE WHEN seq_num % 2 = 0 THEN concat({_IP6}, repeat('f', 16)) ELSE printf('%08x', {fx.number('src_ip')}) END AS "end", CAST(CASE WHEN seq_num % 2 = 0 THEN 64 ELSE 32 END AS INT) AS prefix FROM lm"""))(lambda s, d: lm(s, d).select("seq_num", net.ip_range(F.when(F.col("seq_num") % 2 == 0, F.concat(F.lit("2001:db8::"), (F.col("seq_num") % 9999).cast("string"), F.lit("/64"))).otherwise(F.col("src_ip"))).alias("x")).select("seq_num", "x.*"))
 _query("ip_normal", fx.sql("SELECT seq_num, CASE WHEN seq_num = 0 THEN '2001:db8::' WHEN seq_num < 65536 THEN concat('2001:db8::', lower(hex(seq_num))) END AS ip FROM lm"))(lambda s, d: lm(s, d).select("seq_num", net.ip_normal(F.concat(F.lit("2001:DB8:0:0:0:0:0:"), F.hex("seq_num"))).alias("ip")))
+_query("ip_masks", fx.sql(f"""SELECT seq_num, printf('%08x', n - n % 256) AS low, printf('%08x', n - n % 256 + 255) AS high, printf('%08x', 4294967295 - n) AS inverted, CAST(sign(m - n) AS INT) AS compared
+FROM (SELECT seq_num, {fx.number('dst_ip')} AS n, {fx.number('src_ip')} AS m FROM lm)"""))(
+    lambda s, d: lm(s, d).select("seq_num", net.ip_hex(F.col("src_ip")).alias("a"), net.ip_hex(F.col("dst_ip")).alias("b"), net.mask(F.lit(24), F.lit(4)).alias("m")).select("seq_num", net.ip_and(F.col("b"), F.col("m")).alias("low"), net.ip_or(F.col("b"), net.ip_invert(F.col("m"))).alias("high"), net.ip_invert(F.col("b")).alias("inverted"), net.ip_compare(F.col("a"), F.col("b")).alias("compared"))
+)
 _query("mac_format", fx.sql("SELECT seq_num, regexp_replace(lower(lpad(hex(seq_num), 12, '0')), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS mac FROM lm"))(
     lambda s, d: lm(s, d).select("seq_num", net.mac_format(F.unhex(F.lpad(F.hex("seq_num"), 12, "0"))).alias("mac"))
 )
@@ -383,15 +387,29 @@ _query("ikey_format", fx.sql("SELECT seq_num, concat_ws(' ', source, ioc_type, i
 _query("lm_projection", fx.sql("SELECT seq_num, source, sensor_name, src_ip, dst_ip, ioc_id, ioc_type, concat_ws(', ', nullif(ioc_value, ''), ioc_ip, ioc_dns) AS ioc_value, hash_key FROM c"))(lambda s, d: reports.lm_projection(connected(s, d)))
 
 
-def _json_sql(fields: tuple[str, ...]) -> str:
-    text = {"source", "src_mac", "dst_mac", "src_ip", "dst_ip", "ioc_type", "ioc_threat_type", "ioc_ip", "ioc_value", "ioc_dns"}
-    shown = [f"CASE WHEN {f} IS NOT NULL THEN concat('\"{f}\":', " + (f"'\"', {f}, '\"'" if f in text else f"CAST({f} AS VARCHAR)") + ") END" for f in fields]
+#: JSON fields that are text.
+_TEXTS = set("source rule direction smac dmac sip dip dns_name type threat_type ip value dns message agentip gatewayip source_ip agent_ip sample_type natsip natdip src_user dst_user".split())
+
+
+def _json_sql(fields: tuple[tuple[str, str], ...], columns: set[str]) -> str:
+    shown = []
+    for name, expression in fields:
+        if reports._columns(expression) <= columns:
+            e = expression.replace("DIV", "//")
+            shown.append(f"CASE WHEN ({e}) IS NOT NULL THEN concat('\"{name}\":', " + (f"'\"', {e}, '\"'" if name in _TEXTS else f"CAST({e} AS VARCHAR)") + ") END")
     return f"concat('{{', concat_ws(',', {', '.join(shown)}), '}}')"
 
 
-_query("event_json", fx.sql(f"SELECT seq_num, CASE WHEN ends_with(source, '_syslog') THEN {_json_sql(reports.SYSLOG_FIELDS)} WHEN ends_with(source, '_ioc') THEN {_json_sql(reports.FRAME_FIELDS + reports.IOC_FIELDS)} ELSE {_json_sql(reports.FRAME_FIELDS)} END AS json FROM lm"))(
-    lambda s, d: reports.event_json(lm(s, d))
+_EVENTS = {name for name, _ in (*fx._EVENT, *fx.WIDE)}
+_MESSAGE_JSON, _IOC_JSON, _FRAME_JSON = (_json_sql(f, _EVENTS) for f in ((*reports.HEAD, *reports.IP, ("message", "message"), *reports.INDICATOR), (*reports.HEAD, *reports.ETHERNET, *reports.IP, *reports.INDICATOR), (*reports.HEAD, *reports.ETHERNET, *reports.IP)))
+_query("event_json", fx.sql(f"SELECT seq_num, CASE WHEN ends_with(source, '_syslog') THEN {_MESSAGE_JSON} WHEN ends_with(source, '_ioc') THEN {_IOC_JSON} ELSE {_FRAME_JSON} END AS json FROM {fx.derived_sql(fx.WIDE, True)}"))(
+    lambda s, d: reports.event_json(fx.derived(lm(s, d), fx.WIDE, True))
 )
+_query("netflow_json", fx.sql(f"SELECT seq_num, {_json_sql((*reports.FLOW, *reports.INDICATOR), {n for n, _ in fx.FLOWS})} AS json FROM {fx.derived_sql(fx.FLOWS)}"))(lambda s, d: reports.flow_json(fx.derived(lm(s, d), fx.FLOWS)))
+_query("sflow_json", fx.sql(f"SELECT seq_num, {_json_sql((*reports.SAMPLE, *reports.INDICATOR), {n for n, _ in fx.SAMPLES})} AS json FROM {fx.derived_sql(fx.SAMPLES)}"))(lambda s, d: reports.sample_json(fx.derived(lm(s, d), fx.SAMPLES)))
+_query("reputation_log", fx.sql(f"""SELECT seq_num, concat(concat_ws(chr(10), concat('Conn Table detected reputation based threat from [', source, ']:'), concat('    time    ', strftime(event_time, '%Y-%m-%dT%H:%M:%SZ')), concat('    type    ', why),
+concat('    comment ', comment), concat('    skey    ', replace(hash_key, chr(31), ' ')), concat('    ikey    ', concat_ws(' ', source, ioc_type, ioc_value, ioc_threat_type, ioc_type, CASE WHEN ioc_id <> 0 THEN concat('ID ', CAST(ioc_id AS VARCHAR)) END, 'SEV Unknown')),
+CASE WHEN ioc_type = 'url' THEN concat('    url     ', ioc_value) END), chr(10)) AS text FROM c JOIN ({_BOTH}) b USING (seq_num)"""))(lambda s, d: reports.reputation_text(_judged(s, d)))
 _query("netflow_format", fx.sql("SELECT seq_num, concat('FLOW tag 7 proto ', CAST(ip_protocol AS VARCHAR), ' [', src_ip, ']:', CAST(src_port AS VARCHAR), ' -> [', dst_ip, ']:', CAST(dst_port AS VARCHAR), ' octets ', CAST(bytes AS VARCHAR), ' uptime ', CAST(seq_num % 60 AS VARCHAR), 's') AS line FROM lm"))(
     lambda s, d: reports.flow_text(lm(s, d).select("seq_num", F.lit(7).alias("tag"), F.col("ip_protocol").alias("protocol"), "src_ip", "src_port", "dst_ip", "dst_port", F.lit(None).cast("long").alias("packets"), "bytes", (F.col("seq_num") % 60).alias("uptime")))
 )
@@ -407,18 +425,35 @@ def _wire(s: SparkSession, d: str) -> DataFrame:
 _DECODED = "CASE WHEN seq_num % 50 = 7 THEN 0 ELSE seq_num END AS seq_num, CASE WHEN seq_num % 50 <> 7 THEN dst_ip END AS dst_ip, seq_num % 50 <> 7 AND self AS self, CASE WHEN seq_num % 50 <> 7 THEN ioc_type END AS ioc_type, CASE WHEN seq_num % 50 = 7 THEN 0 ELSE dst_port END AS dst_port"
 _query("json_decode", fx.sql(f"SELECT seq_num % 50 = 7 AS bad, {_DECODED} FROM lm"))(lambda s, d: ev.json_events(_wire(s, d)).select("bad", "seq_num", "dst_ip", "self", "ioc_type", "dst_port"))
 _query("scan_limit", "SELECT CAST(1000 AS BIGINT) AS n")(lambda s, d: lm(s, d).limit(1000).agg(F.count("*").alias("n")))
-_query("lv_decode", fx.sql("SELECT sensor_name AS file, count(*) AS n, CAST(sum(epoch_us(event_time) // 1000) AS BIGINT) AS millis FROM lm GROUP BY 1"))(
-    lambda s, d: ev.lv_decode(_wire(s, d).join(lm(s, d).select(F.col("seq_num").alias("n"), "sensor_name"), "n").groupBy(F.col("sensor_name").alias("file")).agg(F.unhex(F.array_join(F.collect_list(F.hex(ev.lv_frame(F.col("millis"), F.col("value")))), "")).alias("raw"))).groupBy("file").agg(F.count("*").alias("n"), F.sum("millis").alias("millis"))
-)
+def _replayed(s: SparkSession, d: str) -> DataFrame:
+    """A replay file of each sensor's events, decoded."""
+    record = ev.lv_frame(F.unix_millis(F.col("event_time").cast("timestamp")), F.concat(F.lit("event "), F.col("seq_num").cast("string"), F.lit(" of "), "src_ip"))
+    files = lm(s, d).groupBy(F.col("sensor_name").alias("file")).agg(F.array_sort(F.collect_list(F.struct("seq_num", F.hex(record).alias("x")))).alias("all"))
+    return ev.lv_decode(files.select("file", F.unhex(F.array_join(F.transform("all", lambda r: r["x"]), "")).alias("raw")))
+
+
+_query("lv_decode", fx.sql("SELECT sensor_name AS file, row_number() OVER (PARTITION BY sensor_name ORDER BY seq_num) - 1 AS at, epoch_us(event_time) // 1000 AS millis, concat('event ', CAST(seq_num AS VARCHAR), ' of ', src_ip) AS value FROM lm"))(_replayed)
 _query("port_dispatch", fx.sql("SELECT seq_num, CASE WHEN ip_protocol = 17 THEN CASE dst_port WHEN 53 THEN 'dns' WHEN 514 THEN 'syslog' WHEN 2055 THEN 'netflow' END WHEN ip_protocol = 6 THEN CASE dst_port WHEN 514 THEN 'syslog' WHEN 53 THEN 'dns_logged' WHEN 2055 THEN 'netflow_logged' END END AS holds FROM lm"))(
     lambda s, d: lm(s, d).select("seq_num", frames.port_dispatch(F.col("ip_protocol"), F.col("dst_port")).alias("holds"))
 )
 _query("syslog_udp", fx.sql("SELECT seq_num, concat('from ', src_ip) AS message FROM lm WHERE self"))(lambda s, d: ev.syslog_udp(lm(s, d).select("seq_num", "self", F.concat(F.lit("from "), "src_ip").cast("binary").alias("payload"))).select("seq_num", "message"))
-_query("syslog_tcp_frames", fx.sql("SELECT sensor_name AS socket, count(*) AS n FROM lm GROUP BY 1"))(
-    lambda s, d: ev.syslog_tcp(lm(s, d).select(F.col("sensor_name").alias("socket"), "seq_num", F.concat("src_ip", F.lit("\n"), F.lit("to ")).alias("payload"))).groupBy("socket").agg(F.count("*").alias("n"))
+_query("syslog_tcp_frames", fx.sql("SELECT sensor_name AS socket, n - 1 AS at, CASE WHEN n = 1 THEN src_ip ELSE concat('to ', src_ip) END AS message FROM (SELECT *, row_number() OVER (PARTITION BY sensor_name ORDER BY seq_num) AS n FROM lm)"))(
+    lambda s, d: ev.syslog_tcp(lm(s, d).select(F.col("sensor_name").alias("socket"), "seq_num", F.concat("src_ip", F.lit("\n"), F.lit("to ")).alias("payload")))
 )
 
 
+def _pieces(s: SparkSession, d: str) -> DataFrame:
+    """Framed records of each sensor's events, cut in two within the length of every record."""
+    body = F.concat(F.lit("record "), F.col("seq_num").cast("string"))
+    raw = F.concat(F.substring(ev.lv_frame(F.lit(0).cast("long"), body), 1, 4), body.cast("binary"))
+    cut = lambda part, k: F.struct((F.col("seq_num") * 2 + k).alias("seq_num"), part.alias("payload"))
+    rows = lm(s, d).select(F.col("sensor_name").alias("socket"), F.explode(F.array(cut(F.substring(raw, 1, 3), 0), cut(F.substring(raw, 4, 1 << 20), 1))).alias("x"))
+    return rows.select("socket", "x.*")
+
+
+_query("socket_frames", fx.sql("SELECT sensor_name AS socket, row_number() OVER (PARTITION BY sensor_name ORDER BY seq_num) - 1 AS at, concat('record ', CAST(seq_num AS VARCHAR)) AS message FROM lm"))(lambda s, d: ev.framed_records(_pieces(s, d)))
+
+
 def _packets(s: SparkSession, d: str, make: Callable[[dict], bytes]) -> DataFrame:
     """A packet made from each event."""
     import pyarrow as pa

@@ -6,7 +6,7 @@ import gzip
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ from vigilstream.schema import WIRE
 
 #: Bytes after which an unfinished line is given out.
 CARRY = 4096
+#: Bytes of a framed record at most.
+RECORD = 1 << 20
 
 
 def json_events(raw: DataFrame, value: str = "value", time: Column | None = None) -> DataFrame:
@@ -116,8 +118,34 @@ def line_frames(carry: bytes, data: bytes) -> tuple[list[bytes], bytes]:
     return out, rest
 
 
+def length_frames(carry: bytes, data: bytes) -> tuple[list[bytes], bytes]:
+    """Records of a stream socket that bytes end (each after its length in four bytes, the smallest first), and what is left.
+
+    A length that is negative or above ``RECORD`` can't be one; the connection's bytes mean nothing from there on and are dropped.
+    """
+    data, out, at = carry + data, [], 0
+    while at + 4 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "little", signed=True)
+        if not 0 <= size <= RECORD:
+            return out, b""
+        if at + 4 + size > len(data):
+            break
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out, data[at:]
+
+
+def framed_records(segments: DataFrame, socket: str = "socket", order: str = "seq_num", payload: str = "payload") -> DataFrame:
+    """socket, at and message of the records in each socket's segments, by ``length_frames``."""
+    return _framed(segments, length_frames, socket, order, payload)
+
+
 def syslog_tcp(segments: DataFrame, socket: str = "socket", order: str = "seq_num", payload: str = "payload") -> DataFrame:
     """socket, at and message of the lines of each socket's segments, in order; a last line without end is left out."""
+    return _framed(segments, line_frames, socket, order, payload)
+
+
+def _framed(segments: DataFrame, frames: Callable[[bytes, bytes], tuple[list[bytes], bytes]], socket: str, order: str, payload: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, carry, at = None, b"", 0
@@ -126,7 +154,7 @@ def syslog_tcp(segments: DataFrame, socket: str = "socket", order: str = "seq_nu
             for name, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if name != who:
                     who, carry, at = name, b"", 0
-                lines, carry = line_frames(carry, data or b"")
+                lines, carry = frames(carry, data or b"")
                 for x in lines:
                     rows.append((name, at, x.decode("utf-8", "replace")))
                     at += 1

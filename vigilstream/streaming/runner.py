@@ -16,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from vigilstream.operators import windows
-from vigilstream.sources.events import line_frames
+from vigilstream.sources.events import length_frames, line_frames
 from vigilstream.sources.flows import Templates, templated
 
 #: Milliseconds after which an unused socket's or exporter's state goes.
@@ -128,7 +128,10 @@ def stream_correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash
 
 
 class TcpLines(StatefulProcessor):
-    """Lines of a socket's segments; what a line lacks is kept, at most ten minutes."""
+    """Lines, or framed records, of a socket's segments; what one lacks is kept, at most ten minutes."""
+
+    def __init__(self, frames: Callable[[bytes, bytes], tuple[list[bytes], bytes]] = line_frames):
+        self.frames = frames
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.carry = handle.getValueState("carry", StructType([StructField("data", BinaryType())]), ttlDurationMs=EXPIRY)
@@ -138,7 +141,7 @@ class TcpLines(StatefulProcessor):
         out = []
         # A trigger may bring a socket's segments in several batches, in any order.
         for data in pd.concat(list(rows)).sort_values("seq_num")["payload"]:
-            lines, carry = line_frames(carry, bytes(data))
+            lines, carry = self.frames(carry, bytes(data))
             out += [[key[0], x.decode("utf-8", "replace")] for x in lines]
         self.carry.update((carry,))
         yield pd.DataFrame(out, columns=["socket", "message"])
@@ -152,6 +155,11 @@ def stream_tcp_lines(segments: DataFrame) -> DataFrame:
     return segments.groupBy("socket").transformWithStateInPandas(TcpLines(), "socket string, message string", "append", "processingTime")
 
 
+def stream_records(segments: DataFrame) -> DataFrame:
+    """socket and message of the records, each after its length, in segments (socket, seq_num, payload)."""
+    return segments.groupBy("socket").transformWithStateInPandas(TcpLines(length_frames), "socket string, message string", "append", "processingTime")
+
+
 class Exporter(StatefulProcessor):
     """Flows of an exporter's packets; its templates are state."""
 
