@@ -79,26 +79,14 @@ class EliasFano:
         return {"low": self.low, "high": self.high}
 
     def mapped(self, arrays: dict[str, np.ndarray]) -> None:
-        """Takes its bits from a memory map; the counts of ones before each word are rebuilt."""
+        """Takes its bits from a memory map. Lookups come by the hundred thousand, so the places of ones and zeros are laid out once for all of them."""
         self.low, self.high = arrays["low"], arrays["high"]
-        ones = np.bitwise_count(self.high).astype(np.int64)
-        self.ones = np.cumsum(ones) - ones
-        self.zeros = np.arange(len(ones)) * 64 - self.ones
+        bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little").view(bool)
+        self.ones, self.zeros = np.flatnonzero(bits), np.flatnonzero(~bits)
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Place of the k-th (from 0) one or zero."""
-        before = self.ones if bit else self.zeros
-        word = np.searchsorted(before, k, side="right") - 1
-        left = k - before[word]
-        x = np.asarray(self.high[word] if bit else ~self.high[word])
-        at = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count(x & U64((1 << width) - 1)).astype(np.int64)
-            right = left >= here
-            left = np.where(right, left - here, left)
-            x = np.where(right, x >> U64(width), x)
-            at += np.where(right, width, 0)
-        return word * 64 + at
+        return (self.ones if bit else self.zeros)[k]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -141,10 +129,10 @@ class EliasFano:
 
 def _packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
     """The lowest bits of each value, without gaps, in words of 64 bits and one word more."""
-    parts = []
+    parts, size = [], -(-bits // 8)
     for k in range(0, len(values) if bits else 0, 1 << 16):  # 2**16 values fill whole words
-        part = (values[k : k + (1 << 16), None] >> np.arange(bits, dtype=np.uint64)) & U64(1)
-        parts.append(np.packbits(part.astype(np.uint8).ravel(), bitorder="little"))
+        raw = values[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+        parts.append(np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little"))
     raw = np.concatenate([*parts, np.zeros(8, np.uint8)])
     return np.concatenate([raw, np.zeros(-len(raw) % 8 + 8, np.uint8)]).view("<u8")
 
@@ -221,14 +209,14 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, np.exp2(-_BITS * ((codes.astype(np.float64) - 1) / 254) ** 2), 0.0)
 
 
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Whole numbers, the small ones common: byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+def pack_numbers(x: np.ndarray, size: int = 4) -> bytes:
+    """Whole numbers of ``size`` bytes at most, the small ones common: byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes())
 
 
-def unpack_numbers(raw: bytes) -> np.ndarray:
+def unpack_numbers(raw: bytes, size: int = 4) -> np.ndarray:
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.int64)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -255,7 +243,7 @@ class _Plan:
 
     ``scored``: places of tokens with two before them; ``tri``: the distinct trigram of each; per trigram its entries
     (``first``, and ``second`` or -1), and per context made by words (``pair`` of a trigram's own context) its place.
-    Entries are in the order of ``to``, context and successor, contexts likewise.
+    Entries are in the order of ``to`` and context, contexts in that of ``to``.
     """
 
     scored: np.ndarray
@@ -286,32 +274,32 @@ def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray
     pair, third = codes // n, word[codes % n]
     one, two = word[pairs // n], word[pairs % n]
     key = tb._mix(tb._mix(one) * U64(0xD6E8FEB86659FD93) + two) & ~U64(1)
-    frequent = np.isin(one, hot) & np.isin(two, hot)
-    split = np.flatnonzero(frequent[pair])
     value = third & U64((1 << _SUCCESSOR) - 1)
-    # A trigram of a frequent context is asked for twice: its class in the context, and the word in the class.
-    kind = third[split] >> U64(48 - (classes.bit_length() - 1))
-    within = tb._mix(key[pair[split]] + kind + U64(1)) | U64(1)
-    ordinary = np.flatnonzero(~frequent[pair])
-    keys = np.concatenate([key[pair[ordinary]], key[pair[split]], within])
-    values = np.concatenate([value[ordinary], kind, value[split]])
-    to = keys % U64(buckets)
-    order = np.lexsort((values, keys, to))
-    k, v = keys[order], values[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-    begins = np.ones(len(k), bool)
-    begins[1:] = k[1:] != k[:-1]
-    entry = np.empty(len(k), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    first, second = np.full(len(codes), -1), np.full(len(codes), -1)
-    first[ordinary] = entry[: len(ordinary)]
-    first[split], second[split] = np.split(entry[len(ordinary) :], 2)
-    place = np.cumsum(begins) - 1
-    context_of_entry = place[new]
-    context_of_pair = np.empty(len(pairs), np.int64)
-    context_of_pair[pair] = context_of_entry[first]
-    return _Plan(scored, tri, first, second, pair, pairs, context_of_pair, to[order][begins].astype(np.int64), k[begins], context_of_entry, v[new])
+    first, second = np.arange(len(codes)), np.full(len(codes), -1)
+    context = pair  # of each entry; trigrams are in the order of their pairs
+    split = np.flatnonzero((np.isin(one, hot) & np.isin(two, hot))[pair]) if len(hot) else np.empty(0, np.int64)
+    if len(split):
+        # A trigram of a frequent context is asked for twice: its class in the context, and the word in the class.
+        kind = (third[split] >> U64(48 - (classes.bit_length() - 1))).astype(np.int64)
+        of_class, at = np.unique(pair[split] * classes + kind, return_inverse=True)
+        ordinary = np.setdiff1d(first, split)
+        context = np.concatenate([pair[ordinary], of_class // classes, len(pairs) + at])
+        value = np.concatenate([value[ordinary], (of_class % classes).astype(np.uint64), value[split]])
+        key = np.concatenate([key, tb._mix(key[of_class // classes] + (of_class % classes).astype(np.uint64) + U64(1)) | U64(1)])
+        first[ordinary] = np.arange(len(ordinary))
+        first[split] = len(ordinary) + at
+        second[split] = len(ordinary) + len(of_class) + np.arange(len(split))
+    to = (key % U64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    by_context = np.argsort(to, kind="stable")
+    place = np.empty(len(to), np.int64)
+    place[by_context] = np.arange(len(to))
+    # Entries go by bucket and, within it, by context.
+    by_entry = np.argsort(context, kind="stable") if len(split) else np.arange(len(context))
+    by_entry = by_entry[np.argsort(to[context[by_entry]], kind="stable")]
+    entry = np.empty(len(context), np.int64)
+    entry[by_entry] = np.arange(len(context))
+    second = np.where(second >= 0, entry[second], -1)
+    return _Plan(scored, tri, entry[first], second, pair, pairs, place[: len(pairs)], to[by_context].astype(np.int64), key[by_context], place[context[by_entry]], value[by_entry])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, tb.Chunk, np.ndarray, np.ndarray, np.ndarray]]:
@@ -406,7 +394,7 @@ def _counted(rows: list[dict]) -> list[tuple]:
     for k, r in enumerate(rows):
         found = _squeezed(np.concatenate([totals[of_context[x_at[k] : x_at[k + 1]]], codes[entry[e_at[k] : e_at[k + 1]]]]))
         lengths = np.array([x_at[k + 1] - x_at[k]], "<i8").tobytes()
-        out.append(ex.row(r["to"], r["chunk"], ex.ANSWER, pack_numbers(total[inverse[w_at[k] : w_at[k + 1]]]), found, lengths, whole))
+        out.append(ex.row(r["to"], r["chunk"], ex.ANSWER, pack_numbers(total[inverse[w_at[k] : w_at[k + 1]]], 8), found, lengths, whole))
     return out
 
 
@@ -418,7 +406,7 @@ def _scored(answers: pa.Table, kept: pa.Table, hot: np.ndarray, classes: int, bu
     ids, word = unpack_numbers(meta["b"]), ex.unpack_keys(meta["c"], 6)
     bounds = np.concatenate([[0], np.cumsum(size)])
     plan = _plan(ids, word, bounds, hot, classes, buckets)
-    count = np.concatenate([unpack_numbers(r["a"]) for r in answers])
+    count = np.concatenate([unpack_numbers(r["a"], 8) for r in answers])
     if len(count) != len(word):
         raise ValueError("two scans of the documents gave different chunks")
     contexts, entries = [], []
@@ -482,11 +470,11 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(word[often], U64(0)).view(np.int64)), pa.array(np.append(times[often], len(h)))], ["word", "n"])
 
     told = docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    n = told.where("word = 0").agg(F.sum("n")).first()[0] or 0
-    if n * share < 2:
-        return np.empty(0, np.uint64), n
-    found = told.where((F.col("word") != 0) & (F.col("n") >= share / 2 * n)).collect()  # 2 / LEAST at most
-    return np.unique(np.array([r.word for r in found], np.int64).view(np.uint64) >> U64(16)), n
+    # Tokens are at least a twentieth of what was guessed, or there are as many words as may be told anyway.
+    found = told.where((F.col("word") == 0) | (F.col("n") >= share * tokens / 40)).collect()  # 40 / LEAST at most
+    n = sum(r.n for r in found if r.word == 0)
+    often = [r.word for r in found if r.word and r.n >= share / 2 * n] if n * share >= 2 else []
+    return np.unique(np.array(often, np.int64).view(np.uint64) >> U64(16)), n
 
 
 def lm_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 5, held: int = 1, files: bool = False) -> DataFrame:
