@@ -29,13 +29,13 @@ def connection_type(ioc_type: Column, ip_protocol: Column) -> Column:
 
 def hash_key(kind: Column, src: Column, dst: Column, port: Column, host: Column, query: Column | None = None, query_type: Column | None = None) -> Column:
     """The key of a connection: networks have an empty one."""
-    upper = F.upper(kind)
-    out = F.when(kind.isin("ip", "icmp"), F.concat(_key(upper, src), F.coalesce(dst, F.lit("")), F.lit(US)))
-    out = out.when(kind.isin("tcp", "udp"), _key(upper, src, dst, port))
-    out = out.when(kind == "url", _key(upper, host))
+    # The kind is named as seldom as can be: plans repeat its expression wherever it is named.
+    port = F.when(kind.isin("tcp", "udp"), _key(port)).otherwise(F.lit(""))
+    body = F.when(kind == "url", _key(host))
     if query is not None:
-        out = out.when(kind == "dns", _key(upper, query, F.upper(query_type)))
-    return out.when(kind.isNotNull(), F.lit(""))
+        body = body.when(kind == "dns", _key(query, F.upper(query_type)))
+    whole = F.concat(F.upper(kind), F.lit(US), body.otherwise(F.concat(_key(src, dst), port)))
+    return F.when(kind.startswith("cidr"), F.lit("")).otherwise(whole)
 
 
 def ip_hash_key(src: Column, dst: Column) -> Column:

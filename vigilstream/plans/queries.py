@@ -26,6 +26,8 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            # HotSpot compiles no method of more bytes; stages beyond are better generated expression by expression.
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
             return build(ship(spark), sf_dir)
 
         _QUERIES[name] = run
