@@ -12,9 +12,12 @@ from vigilstream.sources import flows, samples
 from vigilstream.streaming import runner
 
 
+def _start(df, path, name):
+    return df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(path / f"state-{name}")).trigger(availableNow=True).start()
+
+
 def _drain(df, path, name):
-    query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(path / f"state-{name}")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    _start(df, path, name).awaitTermination(120)
     return df.sparkSession.table(name)
 
 
@@ -47,8 +50,10 @@ def test_streams_of_rankings_are_the_batch(spark, tmp_path):
     table.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     events = keys.with_connection(fixture.log_messages(spark, str(tmp_path)))
     stream = keys.with_connection(fixture.as_log_messages(spark.readStream.schema(fields).parquet(str(tmp_path / "events.parquet"))))
-    for r in windows.RANKINGS:
-        got = _drain(runner.stream_counts(stream, r, "5 minutes"), tmp_path, f"sum_{r.name}")
+    running = [_start(runner.stream_counts(stream, r, "5 minutes"), tmp_path, f"sum_{r.name}") for r in windows.RANKINGS]
+    for r, query in zip(windows.RANKINGS, running, strict=True):
+        query.awaitTermination(120)
+        got = spark.table(f"sum_{r.name}")
         columns = ["window_start", *r.keys, "scount"]
         want = [tuple(x) for x in windows.counts(events, r, "5 minutes").select(*columns).collect()]
         last = max(w for w, *_ in want)
