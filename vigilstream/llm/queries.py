@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, secret_scan, substring_dedup, token_counts
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, secret_scan, substring_dedup, token_counts, turn_repair
 from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Query]:
     found = {
         "op1_substring_dedup": op1_substring_dedup,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op8_nearest": op8_nearest,
         "op9_lm_score": op9_lm_score,
         "op10_decontamination": op10_decontamination,
+        "op13_turn_repair": op13_turn_repair,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
@@ -187,5 +192,59 @@ SELECT d.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coale
 """.replace("\\\\", "\\")
 
 
+_OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295] || list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crc
+), r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, (VALUES (1), (2)) v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r
+), f AS (
+  SELECT conv_id, turn, role, text, i, CASE substr(role, 1, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS ini,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM o
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND NOT (ini = 2 AND coalesce(b, 0) IN (1, 3) OR ini = 3 AND b = 2)) AS illegal, max(i) AS n
+  FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM f) GROUP BY 1
+), go AS (
+  SELECT conv_id, n + 1 AS i, [0, 4, 2, 0]::BIGINT[] AS c FROM g
+  UNION ALL
+  SELECT conv_id, i, [least(e[1], 2 + e[3], 4 + e[4]), least(e[2], 2 + e[3], 4 + e[4]), least(e[3], 2 + e[4], 4 + e[3]), least(e[4], 2 + e[3], 4 + e[4])] FROM (
+    SELECT f.conv_id, f.i, CASE WHEN fault IN (1, 2) THEN list_transform(c, lambda x: x + 3) ELSE [
+      least(3 + c[1], 2 + k + c[3], CASE ini WHEN 1 THEN k + c[2] WHEN 2 THEN k + c[3] ELSE 1e15::BIGINT END),
+      least(3 + c[2], 2 + k + c[3], CASE ini WHEN 2 THEN k + c[3] ELSE 1e15::BIGINT END),
+      least(3 + c[3], 2 + k + c[4], CASE ini WHEN 3 THEN k + c[4] ELSE 1e15::BIGINT END),
+      least(3 + c[4], 2 + k + c[3], CASE ini WHEN 2 THEN k + c[3] ELSE 1e15::BIGINT END)] END AS e
+    FROM go JOIN (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS k FROM f) f ON f.conv_id IS NOT DISTINCT FROM go.conv_id AND f.i = go.i - 1)
+), w AS (
+  SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS said, n FROM g
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kq ELSE xq END, audit || e,
+    CASE e WHEN 'D' THEN said WHEN 'I' THEN list_append(said, name || ':') WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, name || ':' || text) END, n
+  FROM (
+    SELECT w.*, f.role, f.text, x.xq, x.name, kq, CASE
+      WHEN w.i > w.n THEN 'I' WHEN 3 + l.c[q] = h.c[q] THEN 'D' WHEN fault IN (1, 2) THEN NULL WHEN 2 + h.c[x.xq] = h.c[q] THEN 'I'
+      WHEN kq > 0 AND (CASE WHEN fault = 3 THEN 1 ELSE 0 END) + l.c[kq] = h.c[q] THEN 'K' ELSE 'R' END AS e
+    FROM w JOIN go h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i
+    JOIN (VALUES (1, 3, 'user'), (2, 3, 'user'), (3, 4, 'assistant'), (4, 3, 'user')) x(s, xq, name) ON x.s = w.q
+    LEFT JOIN (SELECT f.*, s, CASE WHEN ini = 1 AND s = 1 THEN 2 WHEN ini = 2 AND s <> 3 THEN 3 WHEN ini = 3 AND s = 3 THEN 4 ELSE 0 END AS kq FROM f, range(1, 5) t(s)) f
+      ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i AND f.s = w.q
+    LEFT JOIN go l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i + 1
+    WHERE w.i <= w.n OR w.q IN (2, 3))
+), z AS (SELECT w.*, c[1] AS cost FROM w JOIN go ON go.conv_id IS NOT DISTINCT FROM w.conv_id AND go.i = 1 WHERE w.i > w.n AND w.q IN (1, 4)),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op5_secret_scan": _op5(), "op8_nearest": _OP8, "op10_decontamination": _OP10}
+    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op5_secret_scan": _op5(), "op8_nearest": _OP8, "op10_decontamination": _OP10, "op13_turn_repair": _OP13}
