@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, secret_scan, substring_dedup, token_counts, turn_repair
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, quality, secret_scan, substring_dedup, token_counts, turn_repair
 from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op8_nearest": op8_nearest,
         "op9_lm_score": op9_lm_score,
         "op10_decontamination": op10_decontamination,
+        "op12_quality": op12_quality,
         "op13_turn_repair": op13_turn_repair,
     }
     return {name: _shipped(query) for name, query in found.items()}
