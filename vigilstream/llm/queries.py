@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, quality, secret_scan, substring_dedup, token_counts, turn_repair
+from vigilstream.llm import bpe_codec, decontamination, language_id, line_dedup, lm_score, neighbours, ngram_join, quality, secret_scan, substring_dedup, token_counts, treap_search, turn_repair
 from vigilstream.llm.shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op8_nearest": op8_nearest,
         "op9_lm_score": op9_lm_score,
         "op10_decontamination": op10_decontamination,
+        "op11_ranked_search": op11_ranked_search,
         "op12_quality": op12_quality,
         "op13_turn_repair": op13_turn_repair,
     }
@@ -197,6 +202,23 @@ SELECT d.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coale
 """.replace("\\\\", "\\")
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT k, item_id, term, count(*) AS times FROM (
+    SELECT k, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS k, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL))) GROUP BY ALL
+), n AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), s AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM n),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+t AS (
+  SELECT k, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN n USING (r), s GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM t WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) <= 20
+"""
 _OP13 = r"""
 WITH RECURSIVE crc AS (
   SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
@@ -252,4 +274,4 @@ FROM a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op5_secret_scan": _op5(), "op8_nearest": _OP8, "op10_decontamination": _OP10, "op13_turn_repair": _OP13}
+    return {"op1_substring_dedup": _OP1, "op3_ngram_join": _OP3, "op4_line_dedup": _OP4, "op5_secret_scan": _op5(), "op8_nearest": _OP8, "op10_decontamination": _OP10, "op11_ranked_search": _OP11, "op13_turn_repair": _OP13}
