@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from vigilstream.functions import keys
-from vigilstream.operators import windows
+from vigilstream.operators import correlation, windows
 from vigilstream.plans import fixture
 from vigilstream.sources import flows, samples
 from vigilstream.streaming import runner
@@ -35,7 +35,7 @@ def test_correlation(spark, tmp_path):
         got = _drain(runner.stream_correlation(stream, 60, delay="5 minutes"), tmp_path, "correlated").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = [r for r in windows.correlation(table, 60).collect()]
+    want = [r for r in correlation.correlation(table, 60).collect()]
     told = sorted((r.key, r.window_start, json.loads(r.first_event)["seq_num"], json.loads(r.last_event)["seq_num"], r.repeat_count) for r in got if r.key != "end")
     assert told == sorted((r.key, r.window_start, r.first_event.seq_num, r.last_event.seq_num, r.repeat_count) for r in want)
     assert json.loads(got[0].first_event)["self"] is False

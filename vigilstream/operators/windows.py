@@ -1,17 +1,12 @@
-"""Counts in fixed windows, rankings, rates, and windows that a key's first event opens."""
+"""Counts in fixed windows, rankings and rates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 WINDOW = "60 seconds"
 
@@ -130,59 +125,6 @@ def tumbling(events: DataFrame, size: str = WINDOW, time: str = "event_time", st
     return events.withColumn("w", w).withColumn("window_start", F.unix_seconds("w.start")).withColumn("window_end", F.unix_seconds("w.end")).drop("w")
 
 
-def correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key", time: str = "event_time") -> DataFrame:
-    """Windows that the first event of a key opens and that last so long, whatever follows: the next event after opens another.
-
-    Per window: the key, its start in milliseconds, the whole first and last event, and the number of events. Events of the
-    sensor itself and those without a key are left out; events at one time are in the order of seq_num.
-
-    One shuffle and one sort by key and time. A key's events are walked through in one task, as each window depends on the
-    one before, but as a stream: a task holds a batch and the open window.
-    """
-    rows = events.where(~F.coalesce(F.col("self"), F.lit(False))).where(F.col(key).isNotNull())
-    whole = F.struct(*[F.col(c) for c in events.columns])
-    rows = rows.select(F.col(key).alias("key"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"), "seq_num", whole.alias("event"))
-    event = rows.schema["event"].dataType
-    shape = T.StructType([T.StructField("key", T.StringType()), T.StructField("window_start", T.LongType()), T.StructField("first_event", event), T.StructField("last_event", event), T.StructField("repeat_count", T.LongType())])
-    arrow = to_arrow_schema(shape)
-
-    def found(parts: list[tuple]) -> pa.RecordBatch:
-        """Of parts (keys, starts, first events, last events, counts), each of several windows."""
-        return pa.Table.from_arrays([pa.chunked_array([pa.array(p[k]).cast(arrow.field(k).type) for p in parts], arrow.field(k).type) for k in range(5)], schema=arrow).combine_chunks().to_batches()[0]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None  # key, start, first event, last event, count of the open window
-        for batch in batches:
-            if not len(batch):
-                continue
-            key, t, event = batch.column(0), batch.column(1).to_numpy(), batch.column(3)
-            new = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
-            first, last, parts = [], [], []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if now is not None and lo == 0 and now[0].as_py() == key[0].as_py():
-                    at = int(np.searchsorted(t[:hi], now[1] + seconds * 1000))
-                    if at:
-                        now = (now[0], now[1], now[2], event.slice(at - 1, 1), now[4] + at)
-                    lo = at
-                while lo < hi:
-                    at = lo + int(np.searchsorted(t[lo:hi], t[lo] + seconds * 1000))
-                    first.append(lo), last.append(at - 1)
-                    lo = at
-            if first:
-                if now is not None:
-                    parts.append(([now[0].as_py()], [now[1]], now[2], now[3], [now[4]]))
-                # The last window is open still.
-                f, e = np.array(first), np.array(last)
-                parts.append((key.take(pa.array(f[:-1])), t[f[:-1]], event.take(pa.array(f[:-1])), event.take(pa.array(e[:-1])), e[:-1] - f[:-1] + 1))
-                now = (key[first[-1]], int(t[first[-1]]), event.slice(first[-1], 1), event.slice(last[-1], 1), last[-1] - first[-1] + 1)
-                yield found(parts)
-        if now is not None:
-            yield found([([now[0].as_py()], [now[1]], now[2], now[3], [now[4]])])
-
-    return rows.repartition("key").sortWithinPartitions("key", "t", "seq_num").mapInArrow(walk, shape)
-
-
 def seq_gaps(events: DataFrame, queue: str = "sensor_name") -> DataFrame:
     """Where a sensor's sequence numbers jump: the number before, the number after, and how many are missing."""
     by = Window.partitionBy(queue).orderBy("seq_num")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilstream.functions import keys as K
 from vigilstream.functions import net, strings, times
-from vigilstream.operators import feeds, lookups, reports, rules, windows
+from vigilstream.operators import correlation, feeds, lookups, reports, rules, windows
 from vigilstream.operators import reputation as rep
 from vigilstream.plans import fixture as fx
 from vigilstream.sources import events as ev
@@ -127,7 +127,7 @@ def _correlation_sql(seconds: int) -> str:
 
 
 def _correlation(s: SparkSession, d: str, seconds: int) -> DataFrame:
-    found = windows.correlation(connected(s, d), seconds)
+    found = correlation.correlation(connected(s, d), seconds)
     fields = [F.col(f"{w}_event.{c}").alias(f"{w}_{c}") for w in ("first", "last") for c in ("seq_num", "source", "dst_port", "ioc_value")]
     return found.select("key", "window_start", *fields, "repeat_count")
 

@@ -120,7 +120,7 @@ class Correlation(StatefulProcessor):
 
 
 def stream_correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key", delay: str = "0 seconds", time: str = "event_time") -> DataFrame:
-    """``windows.correlation`` of a stream; the first and last event are JSON."""
+    """``correlation.correlation`` of a stream; the first and last event are JSON."""
     rows = events.where(~F.coalesce(F.col("self"), F.lit(False))).where(F.col(key).isNotNull())
     event = F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("event")
     rows = rows.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("__t"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"), "seq_num", event)
