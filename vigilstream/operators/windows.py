@@ -54,10 +54,18 @@ RANKINGS = (
 
 
 def first_event(events: DataFrame, size: str = WINDOW, time: str = "event_time") -> str:
-    """The offset at which windows start that begin with the first event: a window's ``start``."""
-    micros = int(size_seconds(size) * 1_000_000)
-    first = events.agg(F.min(F.unix_micros(F.col(time).cast("timestamp")))).first()[0]
-    return f"{(first or 0) % micros} microseconds"
+    """The offset at which windows start that begin with the first event: a window's ``start``. Reads all events' times."""
+    return offset(first_micros(events, time), size)
+
+
+def first_micros(events: DataFrame, time: str = "event_time") -> int | None:
+    """The least time in microseconds."""
+    return events.agg(F.min(F.unix_micros(F.col(time).cast("timestamp")))).first()[0]
+
+
+def offset(micros: int | None, size: str = WINDOW) -> str:
+    """Where windows start that begin at a time, as a window's ``start``."""
+    return f"{(micros or 0) % int(size_seconds(size) * 1_000_000)} microseconds"
 
 
 def size_seconds(size: str) -> float:
@@ -91,10 +99,25 @@ def counts(events: DataFrame, ranking: Ranking, size: str = WINDOW, time: str =
 
 
 def _port_counts(events: DataFrame, start: Column, time: str) -> DataFrame:
-    rows = events.select(start, "ip_protocol", "src_port", F.col(time).alias("t"), "seq_num")
-    so_far = Window.partitionBy("window_start", "src_port").orderBy("t", "seq_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("scount", F.count("*").over(so_far))
-    return rows.groupBy("window_start", "ip_protocol", "src_port").agg(F.max("scount").alias("scount"))
+    stamp = F.col(time).cast("timestamp")
+    at = F.struct(F.unix_micros(stamp).alias("t"), "seq_num").alias("at")
+    rows = events.select(start, "ip_protocol", "src_port", F.unix_seconds(stamp).alias("second"), at)
+    rows = rows.groupBy("window_start", "ip_protocol", "src_port", "second", "at").agg(F.count("*").alias("n"))
+    return as_of_last(rows, ["window_start", "src_port"], "ip_protocol").select("window_start", "ip_protocol", "src_port", "scount")
+
+
+def as_of_last(rows: DataFrame, own: list[str], part: str) -> DataFrame:
+    """``own``, ``part`` and scount: all of what ``own`` has, as of the last row of each ``part``.
+
+    Rows have n events at ``at`` within ``second``; events at the same place count as of the last of them. Rows are put in
+    order within seconds, and the seconds' sums run up, so that one key with a third of all rows is dealt by seconds. Rows
+    without a second are counted as they are.
+    """
+    within = Window.partitionBy(*own, "second").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("so_far", F.sum("n").over(within)).groupBy(*own, part, "second").agg(F.max("so_far").alias("so_far"), F.sum("n").alias("n"))
+    before = Window.partitionBy(*own).orderBy("second").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = F.when(F.col("second").isNull(), 0).otherwise(F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.withColumn("scount", F.col("so_far") + earlier).groupBy(*own, part).agg(F.max("scount").alias("scount"))
 
 
 def ranked(table: DataFrame, keys: tuple[str, ...], n: int = 10) -> DataFrame:

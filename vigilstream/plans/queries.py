@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilstream.functions import keys as K
 from vigilstream.functions import net, strings, times
-from vigilstream.operators import correlation, feeds, lookups, reports, rules, windows
+from vigilstream.operators import correlation, counting, feeds, lookups, reports, rules, windows
 from vigilstream.operators import reputation as rep
 from vigilstream.plans import fixture as fx
 from vigilstream.sources import events as ev
@@ -65,27 +65,40 @@ def _window_sql(seconds: int) -> str:
     return f"CAST(floor((epoch_us(event_time) - {_ANCHOR} - (epoch_us(event_time) - {_ANCHOR}) % {micros} + {_ANCHOR}) / 1000000) AS BIGINT)"
 
 
-def _ranking_sql(r: windows.Ranking, n: int | None, seconds: int = 60) -> str:
+def _ranking_rows(r: windows.Ranking, seconds: int) -> str:
+    """Counts of a ranking: window_start, keys, scount."""
     window = _window_sql(seconds)
     where = r.where + (" AND NOT self" if r.not_self else "")
     names = ", ".join(r.keys)
     shown = "printf('0x%04x', eth_type & 65535) AS eth_type" if r.shown else names
     if r.name == "src_port":
-        counted = f"""SELECT window_start, ip_protocol, src_port, max(n) AS scount FROM (
+        return f"""SELECT window_start, ip_protocol, src_port, max(n) AS scount FROM (
           SELECT {window} AS window_start, ip_protocol, src_port, count(*) OVER (PARTITION BY {window}, src_port ORDER BY event_time, seq_num ROWS UNBOUNDED PRECEDING) AS n
           FROM c WHERE {where}) GROUP BY 1, 2, 3"""
-    else:
-        counted = f"SELECT window_start, {shown}, scount FROM (SELECT {window} AS window_start, {names}, count(*) AS scount FROM c WHERE {where} GROUP BY ALL)"
+    return f"SELECT window_start, {shown}, scount FROM (SELECT {window} AS window_start, {names}, count(*) AS scount FROM c WHERE {where} GROUP BY ALL)"
+
+
+def _ranking_sql(r: windows.Ranking, n: int | None, seconds: int = 60) -> str:
+    counted, names = _ranking_rows(r, seconds), ", ".join(r.keys)
     if n is None:
         return fx.sql(counted)
     order = f"row_number() OVER (PARTITION BY window_start ORDER BY scount DESC, {names})"
     return fx.sql(f"SELECT *, {order} AS rank FROM ({counted}) QUALIFY {order} <= {n}")
 
 
+_FIRST: dict[tuple, int | None] = {}
+
+
 def _anchored(s: SparkSession, d: str, size: str) -> tuple[DataFrame, str]:
-    """Events, and the start of windows that begin with the first of them."""
+    """Events, and the start of windows that begin with the first of them. Statements of one session share the first event, as those of one deployment do; it is looked for again when the table's files change."""
     events = connected(s, d)
-    return events, windows.first_event(events, size)
+    files = s._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    system = files.getFileSystem(s._jsc.hadoopConfiguration())
+    state = tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(files))
+    key = (s.sparkContext.applicationId, state)
+    if key not in _FIRST:
+        _FIRST[key] = windows.first_micros(events)
+    return events, windows.offset(_FIRST[key], size)
 
 
 def _top(s: SparkSession, d: str, r: windows.Ranking, size: str = windows.WINDOW) -> DataFrame:
@@ -109,6 +122,31 @@ for _r in windows.RANKINGS:
     _query(f"{_r.name}_sum", _ranking_sql(_r, None))(lambda s, d, r=_r: _sum(s, d, r))
     _query(f"{_r.name}_top_day", _ranking_sql(_r, 10, DAY_S))(lambda s, d, r=_r: _top(s, d, r, DAY))
 
+
+def _all_tops_sql(seconds: int) -> str:
+    """The rankings one by one, and the rate."""
+    parts = []
+    for r in windows.RANKINGS:
+        names = ", ".join(r.keys)
+        counted = _ranking_rows(r, seconds)
+        key = f"CAST({r.keys[-1]} AS VARCHAR)"
+        protocol = "CAST(ip_protocol AS INTEGER)" if len(r.keys) == 2 else "CAST(NULL AS INTEGER)"
+        parts.append(f"SELECT '{r.name}' AS statement, window_start, rank, {key} AS key, {protocol} AS protocol, scount, CAST(NULL AS DOUBLE) AS rate FROM (SELECT *, CAST(row_number() OVER (PARTITION BY window_start ORDER BY scount DESC, {names}) AS INTEGER) AS rank FROM ({counted})) WHERE rank <= 10")
+    window = _window_sql(seconds)
+    parts.append(f"""SELECT 'rate', window_start, NULL, NULL, NULL, coalesce(n, 0), coalesce(n, 0) / {seconds}.0::DOUBLE
+      FROM (SELECT unnest(range(a, b + 1, {seconds})) AS window_start FROM (SELECT min(w) AS a, max(w) AS b FROM (SELECT {window} AS w FROM c)))
+      LEFT JOIN (SELECT {window} AS w, count(*) AS n FROM c GROUP BY 1) ON w = window_start""")
+    return fx.sql("\nUNION ALL ".join(parts))
+
+
+def _all_tops(s: SparkSession, d: str, size: str) -> DataFrame:
+    events, start = _anchored(s, d, size)
+    return counting.all_tops(events, size, start=start)
+
+
+_query("all_tops", _all_tops_sql(60))(lambda s, d: _all_tops(s, d, windows.WINDOW))
+_query("all_tops_day", _all_tops_sql(DAY_S))(lambda s, d: _all_tops(s, d, DAY))
+
 _query("rate_per_minute", fx.sql(f"""SELECT window_start, CAST(60000 AS BIGINT) AS window_ms, coalesce(n, 0) AS scount, coalesce(n, 0) / 60.0::DOUBLE AS rate
 FROM (SELECT unnest(range(a, b + 1, 60)) AS window_start FROM (SELECT min(w) AS a, max(w) AS b FROM (SELECT {_window_sql(60)} AS w FROM c)))
 LEFT JOIN (SELECT {_window_sql(60)} AS w, count(*) AS n FROM c GROUP BY 1) ON w = window_start"""))(_rate)
