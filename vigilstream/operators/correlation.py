@@ -114,8 +114,8 @@ def _heads(table: pa.Table) -> np.ndarray:
     return np.append(0, np.flatnonzero(new) + 1)
 
 
-def correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key", time: str = "event_time") -> DataFrame:
-    """Per window: key, window_start (milliseconds), the whole first_event and last_event, and repeat_count.
+def correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key", time: str = "event_time", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Per window: key, window_start (milliseconds), first_event and last_event, and repeat_count. ``columns``: what is told of an event, by default all.
 
     Events of the sensor itself, and those without a key or a time, are left out. Events at one time are in the order of
     seq_num, nulls first.
@@ -124,10 +124,10 @@ def correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash_key",
     own = events.where(~F.coalesce(F.col("self"), F.lit(False))).where(F.col(key).isNotNull() & F.col(time).isNotNull())
     stamp = F.unix_millis(F.col(time).cast("timestamp"))
     # Names that no caller's column has: an event travels as one struct.
-    rows = own.select(F.col(key).alias("key"), stamp.alias("t"), F.struct(*[F.col(c) for c in events.columns]).alias("event"))
+    rows = own.select(F.col(key).alias("key"), stamp.alias("t"), F.col("seq_num").alias("n"), F.struct(*[F.col(c) for c in columns or events.columns]).alias("event"))
     cell = lambda c: F.expr(f"({c} - pmod({c}, {width}L)) div {width}L")
     starts = opened(own.select(F.col(key).alias("key"), stamp.alias("t")), seconds)
     starts = starts.select(F.col("key").alias("of"), "window_start", F.explode(F.array(cell("window_start"), cell("window_start") + 1)).alias("touched"))
     met = rows.join(starts, (F.col("key") == F.col("of")) & (cell("t") == F.col("touched")) & (F.col("t") >= F.col("window_start")) & (F.col("t") < F.col("window_start") + width))
-    order = F.struct("t", "event.seq_num")
+    order = F.struct("t", "n")
     return met.groupBy("key", "window_start").agg(F.min_by("event", order).alias("first_event"), F.max_by("event", order).alias("last_event"), F.count("*").alias("repeat_count"))

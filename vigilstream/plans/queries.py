@@ -165,8 +165,9 @@ def _correlation_sql(seconds: int) -> str:
 
 
 def _correlation(s: SparkSession, d: str, seconds: int) -> DataFrame:
-    found = correlation.correlation(connected(s, d), seconds)
-    fields = [F.col(f"{w}_event.{c}").alias(f"{w}_{c}") for w in ("first", "last") for c in ("seq_num", "source", "dst_port", "ioc_value")]
+    told = ("seq_num", "source", "dst_port", "ioc_value")
+    found = correlation.correlation(connected(s, d), seconds, columns=told)
+    fields = [F.col(f"{w}_event.{c}").alias(f"{w}_{c}") for w in ("first", "last") for c in told]
     return found.select("key", "window_start", *fields, "repeat_count")
 
 

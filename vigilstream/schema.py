@@ -41,6 +41,11 @@ FLOW = _struct(
     engine_id=_I, src_ip=_S, dst_ip=_S, gateway_ip=_S, if_in=_L, if_out=_L, packets=_L, bytes=_L, flow_start=_L, flow_finish=_L,
     src_port=_I, dst_port=_I, tcp_flags=_I, protocol=_I, tos=_I, src_as=_L, dst_as=_L, src_mask=_I, dst_mask=_I,
 )
+#: What a packet's sets are told by: templates (kind 0) with their fields, data (kind 1) with their bytes, in order.
+FLOW_SET = _struct(
+    exporter=_S, seq_num=_L, pos=_I, source=_L, number=_I, kind=_I, fields=_S, version=_I, sys_uptime_ms=_L, unix_secs=_L, flow_sequence=_L,
+    body=T.BinaryType(),
+)
 
 FRAME = _struct(
     smac=_S, dmac=_S, eth_type=_I, family=_I, sip=_S, dip=_S, ip_protocol=_I, ttl=_I, tos=_I, l4_length=_I, sport=_I, dport=_I,
