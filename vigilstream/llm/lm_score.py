@@ -241,26 +241,41 @@ def _tokens(c: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
 class _Plan:
     """What a chunk asks for, made anew of the same words when the answers come.
 
-    ``scored``: places of tokens with two before them; ``tri``: the distinct trigram of each; per trigram its entries
-    (``first``, and ``second`` or -1), and per context made by words (``pair`` of a trigram's own context) its place.
-    Entries are in the order of ``to`` and context, contexts in that of ``to``.
+    ``scored``: places of tokens with two before them; ``tri``: the distinct trigram of each, and ``before`` the pair before
+    it; per trigram its entries (``first``, and ``second`` or -1), and per context made by words (``pair`` of a trigram's own
+    context) its place. Entries are in the order of ``to`` and context, contexts in that of ``to``.
     """
 
     scored: np.ndarray
     tri: np.ndarray
+    before: np.ndarray
     first: np.ndarray
     second: np.ndarray
     pair: np.ndarray
-    pairs: np.ndarray
     context_of_pair: np.ndarray
     to: np.ndarray
     context: np.ndarray
     of: np.ndarray
     successor: np.ndarray
 
-    def pair_place(self, codes: np.ndarray) -> np.ndarray:
-        """Place among the contexts of pairs of words (as first * words + second), each of which is one."""
-        return self.context_of_pair[np.searchsorted(self.pairs, codes)]
+    def pair_place(self, real: np.ndarray) -> np.ndarray:
+        """Place among the contexts of the pair that each of these tokens ends; it is the pair before the next token."""
+        return self.context_of_pair[self.before[np.flatnonzero(real) + 1]]
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the place of each number among them. Numbers carry their places through one sort where both fit 64 bits."""
+    bits = len(codes).bit_length()
+    if not len(codes) or int(codes.max()) >> (64 - bits):
+        return np.unique(codes, return_inverse=True)
+    x = np.sort((codes.astype(np.uint64) << U64(bits)) | np.arange(len(codes), dtype=np.uint64))
+    place = (x & U64((1 << bits) - 1)).astype(np.int64)
+    x >>= U64(bits)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return x[new].astype(codes.dtype), inverse
 
 
 def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray, classes: int, buckets: int) -> _Plan:
@@ -269,8 +284,8 @@ def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray
     later = np.ones(len(ids), bool)
     later[bounds[:-1]] = later[bounds[:-1] + 1] = False
     scored = np.flatnonzero(later)
-    pairs, pair = np.unique(ids[scored - 2] * n + ids[scored - 1], return_inverse=True)
-    codes, tri = np.unique(pair * n + ids[scored], return_inverse=True)
+    pairs, before = _distinct(ids[scored - 2] * n + ids[scored - 1])
+    codes, tri = _distinct(before * n + ids[scored])
     pair, third = codes // n, word[codes % n]
     one, two = word[pairs // n], word[pairs % n]
     key = tb._mix(tb._mix(one) * U64(0xD6E8FEB86659FD93) + two) & ~U64(1)
@@ -299,7 +314,7 @@ def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray
     entry = np.empty(len(context), np.int64)
     entry[by_entry] = np.arange(len(context))
     second = np.where(second >= 0, entry[second], -1)
-    return _Plan(scored, tri, entry[first], second, pair, pairs, place[: len(pairs)], to[by_context].astype(np.int64), key[by_context], place[context[by_entry]], value[by_entry])
+    return _Plan(scored, tri, before, entry[first], second, pair, place[: len(pairs)], to[by_context].astype(np.int64), key[by_context], place[context[by_entry]], value[by_entry])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, tb.Chunk, np.ndarray, np.ndarray, np.ndarray]]:
@@ -309,7 +324,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[i
         chunk += 1
         h, bounds = _tokens(c)
         word, ids = np.unique(h, return_inverse=True)
-        order = np.lexsort((word, word % U64(buckets)))
+        order = np.argsort((word % U64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         yield chunk, c, word[order], place[ids], bounds
@@ -377,10 +392,10 @@ def _counted(rows: list[dict]) -> list[tuple]:
     total = np.bincount(inverse, np.concatenate(word_times), len(word)).astype(np.int64)
     token = (word != _BEGIN) & (word != _AFTER)
     size, distinct = int(total[token].sum()), int((total[token] > 0).sum())
-    context, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
+    context, of_context = _distinct(np.concatenate(contexts))
     of = np.repeat(of_context, np.concatenate(sizes))
     successor, number = np.concatenate(successors), np.concatenate(times)
-    order = np.lexsort((successor, of))
+    order = np.argsort((of.astype(np.uint64) << U64(_SUCCESSOR)) | successor)
     new = np.ones(len(order), bool)
     new[1:] = (of[order][1:] != of[order][:-1]) | (successor[order][1:] != successor[order][:-1])
     head = order[new]
@@ -425,14 +440,13 @@ def _whole(answers: list[dict]) -> tuple[int, int]:
 def _table(number, flags, size, ids, bounds, plan: _Plan, count, contexts, entries, whole: tuple[int, int]) -> pa.Table:
     train, distinct = whole
     unigram = (count + 0.5) / (train + 0.5 * (distinct + 1))
-    n = len(count)
     last = np.zeros(len(ids), bool)
     last[bounds[1:] - 1] = True
     real = ~last[plan.scored]  # what is after the end is no token
     at, tri = plan.scored[real], plan.tri[real]
     second, third = ids[at - 1], ids[at]
     c1 = count[second]
-    c2 = np.minimum(contexts[plan.pair_place(second * n + third)], c1)
+    c2 = np.minimum(contexts[plan.pair_place(real)], c1)
     p2 = (c2 + MU2 * unigram[third]) / (c1 + MU2)
     p = entries[plan.first] * np.where(plan.second >= 0, entries[plan.second], 1.0)
     left = MU3 / (contexts[plan.context_of_pair[plan.pair]] + MU3)
