@@ -17,7 +17,8 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], order: Sequence[
     """``left`` with ``out``: the ``value`` of the last row of ``right`` that is equal in ``by`` and not after it in ``order``, or null.
 
     Both tables have the columns of ``by`` and ``order``. ``slice`` is made of them and must not fall as ``order`` rises.
-    Nulls are equal in ``by``, and come first in ``order``. Of several rows of ``right`` at one place any one counts.
+    Without ``by`` all rows are of one key, and the slices, one row each, are carried over in one task. Nulls are equal in
+    ``by``, and come first in ``order``. Of several rows of ``right`` at one place any one counts.
     """
     keys = [F.col(c).alias(f"by_{k}") for k, c in enumerate(by)]
     names = [f"by_{k}" for k in range(len(by))]

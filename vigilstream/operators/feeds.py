@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilstream.functions import net
@@ -24,11 +24,12 @@ def ioc_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A line is rejected if fields are missing, the id is no number, or the type is unknown.
     """
-    part = F.split("text", ",", 6)
+    fields = F.split("text", ",", 6)
+    part = [F.get(fields, F.lit(k)) for k in range(6)]  # conditions may be tried in any order, so no field is sure to be there
     kind = F.lower(F.trim(part[1]))
-    good = (F.size(part) == 6) & part[0].rlike("^[0-9]{1,18}$") & kind.isin(*IOC_TYPES)
+    good = (F.size(fields) == 6) & part[0].rlike("^[0-9]{1,18}$") & kind.isin(*IOC_TYPES)
     blank = lambda c: F.when(c != "", c)
-    rows = lines.where(good).select("file_id", "line", part[0].cast("long").alias("id"), kind.alias("type"), F.substring(part[2], 1, THREAT).alias("threat_type"), blank(part[3]).alias("ip"), F.substring(part[4], 1, VALUE).alias("dns"), F.substring(part[5], 1, VALUE).alias("value"))
+    rows = lines.where(good).select("file_id", "line", part[0].try_cast("long").alias("id"), kind.alias("type"), F.substring(part[2], 1, THREAT).alias("threat_type"), blank(part[3]).alias("ip"), F.substring(part[4], 1, VALUE).alias("dns"), F.substring(part[5], 1, VALUE).alias("value"))
     return rows, lines.where(~F.coalesce(good, F.lit(False)))
 
 
@@ -41,20 +42,36 @@ def load_iocs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFra
     return ioc_lines(lines.select("file_id", "line", "text"))
 
 
+_DROP = "^([^;]+?) *;(.*)$"
+
+
+def _drop_network() -> Column:
+    return F.trim(F.regexp_extract("text", _DROP, 1))
+
+
 def drop_list(lines: DataFrame) -> DataFrame:
-    """``network ; comment`` lines: networks not to be reached as destinations."""
-    cidr = F.trim(F.regexp_extract("text", "^([^;]+?) *;(.*)$", 1))
-    rows = lines.where(~F.col("text").startswith(";")).select("line", cidr.alias("cidr"), F.trim(F.regexp_extract("text", "^([^;]+?) *;(.*)$", 2)).alias("comment"))
-    return rows.where(net.cidr_parts(F.col("cidr")).isNotNull()).select(F.lit("cidr_dst").alias("type"), F.lit("drop").alias("report"), "line", "cidr", "comment")
+    """``network ; comment`` lines: networks of either family, not to be reached as destinations."""
+    rows = lines.where(~F.col("text").startswith(";")).select("line", _drop_network().alias("cidr"), F.trim(F.regexp_extract("text", _DROP, 2)).alias("comment"))
+    return rows.where(net.network_parts(F.col("cidr")).isNotNull()).select(F.lit("cidr_dst").alias("type"), F.lit("drop").alias("report"), "line", "cidr", "comment")
+
+
+def drop_rejects(lines: DataFrame) -> DataFrame:
+    """The lines, comments apart, of which ``drop_list`` makes nothing."""
+    return lines.where(~F.col("text").startswith(";") & net.network_parts(_drop_network()).isNull())
 
 
 def cidr_list(lines: DataFrame) -> DataFrame:
-    """A network a line, ``;`` and ``#`` begin comments: networks not to be heard from."""
+    """A network of either family a line, ``;`` and ``#`` begin comments: networks not to be heard from."""
     rows = lines.where(~F.col("text").rlike("^[;#]")).select("line", F.trim("text").alias("cidr"))
-    rows = rows.where(net.cidr_parts(F.col("cidr")).isNotNull())
+    rows = rows.where(net.network_parts(F.col("cidr")).isNotNull())
     return rows.select(F.lit("cidr_src").alias("type"), F.lit("bogon").alias("report"), "line", "cidr", F.concat(F.lit("context-line-"), "line").alias("comment"))
 
 
+def cidr_rejects(lines: DataFrame) -> DataFrame:
+    """The lines, comments apart, of which ``cidr_list`` makes nothing."""
+    return lines.where(~F.col("text").rlike("^[;#]") & net.network_parts(F.trim("text")).isNull())
+
+
 def ranked_domains(lines: DataFrame) -> DataFrame:
     """``rank,domain[/path]`` lines: rank, domain and the reversed domain."""
     rows = lines.select(F.regexp_extract("text", "^([0-9]+),([^/,]+)", 1).alias("rank"), F.regexp_extract("text", "^([0-9]+),([^/,]+)", 2).alias("domain"))

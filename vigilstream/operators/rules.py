@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from dataclasses import dataclass
 
@@ -16,8 +17,26 @@ _TOKEN = re.compile(r"\s*(\(|\)|!|&&|\|\||[^\s()!]+)")
 PROTOCOLS = {"icmp": 1, "tcp": 6, "udp": 17, "icmp6": 58}
 
 
+def _is_host(ip: Column, text: str) -> Column:
+    """Whether an address is this one; IPv6 addresses are compared by their digits, however they are written."""
+    address = ipaddress.ip_address(text)
+    return ip == str(address) if address.version == 4 else net.ip_hex(ip) == address.packed.hex()
+
+
+def _in_net(ip: Column, text: str) -> Column:
+    """Whether an address lies in this network; a network of one family holds no address of the other."""
+    inside = ipaddress.ip_network(text, strict=False)
+    if inside.version == 4:
+        return net.net_match(ip, F.lit(str(inside)))
+    digits, first, last = net.ip_hex(ip), inside.network_address.packed.hex(), inside.broadcast_address.packed.hex()
+    return (F.length(digits) == len(first)) & digits.between(first, last)
+
+
 def packet_filter(text: str) -> Column:
-    """A packet filter expression: ip, ip6, arp, protocols, [src|dst] host, net and port, and, or, not, parentheses."""
+    """A packet filter expression: ip, ip6, arp, protocols, [src|dst] host, net and port, and, or, not, parentheses.
+
+    Hosts and networks may be of either family; an address or network that is none is an error.
+    """
     words = _TOKEN.findall(text)
     at = 0
 
@@ -71,10 +90,10 @@ def packet_filter(text: str) -> Column:
             found = [F.col(f"{s}_port") == value for s in sides]
         elif word == "host":
             value = take()
-            found = [F.col(f"{s}_ip") == value for s in sides]
+            found = [_is_host(F.col(f"{s}_ip"), value) for s in sides]
         elif word == "net":
             value = take()
-            found = [net.net_match(F.col(f"{s}_ip"), F.lit(value)) for s in sides]
+            found = [_in_net(F.col(f"{s}_ip"), value) for s in sides]
         else:
             raise ValueError(f"unknown word {word} in {text}")
         out = found[0]
@@ -108,7 +127,7 @@ def dns_chain(messages: DataFrame, rules: list[tuple[str, str | None, str | None
             part = dns.lower()
             hit = hit | F.exists("__names", lambda n: n.contains(part))
         if ip is not None:
-            hit = hit | F.coalesce(F.array_contains("__ips", ip), F.lit(False))
+            hit = hit | F.coalesce(F.exists("__ips", lambda x: _is_host(x, ip)), F.lit(False))
         hits.append(F.when(hit, F.lit(name)))
     return rows.withColumn("rule", F.explode(F.array_compact(F.array(*hits)))).drop("__names", "__ips")
 

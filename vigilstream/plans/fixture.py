@@ -178,6 +178,41 @@ def values(name: str, rows: tuple, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)})"
 
 
+#: Lines of feed and indicator files, made of ``part``: number, text, and what is to come of them. ``{S}``: the text type.
+_K = "p_partkey"
+_K_HEX = "lower(hex(p_partkey % 65536))"
+_NET = f"concat('198.51.', CAST({_K} % 8 AS {{S}}), '.', CAST({_K} * 16 % 256 AS {{S}}), '/', CAST(20 + {_K} % 9 AS {{S}}))"
+_NET6 = f"concat('2001:db8:', {_K_HEX}, '::/', CAST(48 + {_K} % 17 AS {{S}}))"
+FEED_LINES = (
+    ("line", f"CAST({_K} AS BIGINT)"),
+    ("cidr", f"CASE {_K} % 5 WHEN 1 THEN {_NET} WHEN 2 THEN {_NET6} WHEN 3 THEN concat('10.', CAST({_K} % 4 AS {{S}}), '.', CAST({_K} % 16 AS {{S}}), '.0/', CAST(16 + {_K} % 9 AS {{S}})) END"),
+    ("drop_text", f"CASE {_K} % 5 WHEN 0 THEN '; head ; of' WHEN 4 THEN concat('10.0.0.0/', CAST(33 + {_K} % 9 AS {{S}}), ' ; none') ELSE concat(cidr, ' ; SBL', CAST({_K} AS {{S}}), ' ; x') END"),
+    ("cidr_text", f"CASE {_K} % 5 WHEN 0 THEN '# head' WHEN 4 THEN concat('300.0.0.', CAST({_K} % 256 AS {{S}})) ELSE cidr END"),
+    ("name", f"concat('n', CAST({_K} AS {{S}}), '.example', CAST({_K} % 7 AS {{S}}), '.org')"),
+    ("rank_text", f"CASE {_K} % 5 WHEN 0 THEN concat('x,', name) WHEN 1 THEN concat(CAST({_K} AS {{S}}), ',', name, '/path,more') ELSE concat(CAST({_K} AS {{S}}), ',', name) END"),
+    ("kind", f"CASE {_K} % 6 WHEN 0 THEN 'IP' WHEN 1 THEN 'url' WHEN 2 THEN 'Domain' WHEN 3 THEN 'cidr' WHEN 4 THEN 'email' ELSE 'md5' END"),
+    ("address", f"concat('192.0.', CAST({_K} % 3 AS {{S}}), '.', CAST({_K} % 50 AS {{S}}))"),
+    ("value", f"CASE {_K} % 6 WHEN 1 THEN concat('http://', name, '/a,b') WHEN 3 THEN {_NET} WHEN 4 THEN concat('user@', name) ELSE '' END"),
+    ("ioc_text", f"CASE WHEN {_K} % 11 = 0 THEN concat('bad', CAST({_K} AS {{S}})) ELSE concat(CAST({_K} AS {{S}}), ',', kind, ',scan,', CASE WHEN kind = 'IP' THEN address ELSE '' END, ',', CASE WHEN kind = 'Domain' THEN name ELSE '' END, ',', value) END"),
+)
+
+
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``FEED_LINES`` of the parts; a column may name those before it."""
+    out = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    for name, expr in FEED_LINES:
+        out = out.selectExpr("*", f"{expr.format(S='STRING')} AS {name}")
+    return out
+
+
+def feed_lines_sql(query: str) -> str:
+    """A query over ``t``, the same as a table of SQL."""
+    source = "(SELECT p_partkey FROM part)"
+    for name, expr in FEED_LINES:
+        source = f"(SELECT *, {expr.format(S='VARCHAR')} AS {name} FROM {source})"
+    return f"WITH t AS (SELECT * FROM {source}) {query}"
+
+
 _NUMBER = "CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT)"
 
 

@@ -283,7 +283,6 @@ _query("ioc_url", fx.sql("SELECT seq_num, iocs.id AS ioc_id FROM lm JOIN iocs ON
 _query("ioc_email", fx.sql("SELECT seq_num, iocs.id AS ioc_id FROM lm JOIN iocs ON iocs.type = 'email' AND iocs.value = concat('user', CAST(ioc_id - 1000 AS VARCHAR), '@', ioc_dns)"))(
     lambda s, d: lookups.lookup(lm(s, d).select("seq_num", F.concat(F.lit("user"), (F.col("ioc_id") - 1000).cast("string"), F.lit("@"), "ioc_dns").alias("mail")), lookups.emails(fx.iocs(s)), "mail").select("seq_num", "entry.ioc_id")
 )
-_query("ioc_first_wins", fx.sql(f"SELECT printf('%08x', {fx.number('k')}) AS key, id AS ioc_id FROM ioc_ip_t"))(lambda s, d: lookups.exact_ips(fx.iocs(s)).select("key", "entry.ioc_id"))
 
 
 def _dns(s: SparkSession, d: str) -> DataFrame:
@@ -382,25 +381,57 @@ _query("reputation_semi", fx.sql(f"SELECT seq_num, source FROM c WHERE seq_num I
 _query("reputation_enrich", fx.sql(f"SELECT c.seq_num, hash_key, CASE WHEN why <> 'domain' THEN connection_type END AS conn, CASE WHEN why <> 'domain' THEN comment END AS mconn FROM c JOIN ({_BOTH}) b ON b.seq_num = c.seq_num"))(
     lambda s, d: _judged(s, d).select("seq_num", "hash_key", F.when(F.col("why") != "domain", F.col("connection_type")).alias("conn"), F.when(F.col("why") != "domain", F.col("comment")).alias("mconn"))
 )
-_query("feed_union", fx.sql("SELECT cidr, type, comment FROM feeds WHERE cidr <> '198.51.0.0/21' UNION ALL SELECT '198.51.0.0/21', 'cidr_dst', 'newer'"))(
-    lambda s, d: rep.union([fx.feeds(s), s.createDataFrame([("cidr_dst", "drop", 1, "198.51.0.0/21", "newer", "2024-02-01 00:00:00")], "type string, report string, line long, cidr string, comment string, created_time string")], ["cidr"]).select("cidr", "type", "comment")
-)
-_query("feed_expire", fx.sql("SELECT cidr, comment FROM feeds WHERE created_time >= '2024-01-03 00:00:00'"))(lambda s, d: rep.expire(_feeds(s), "2024-01-03 00:00:00").select("cidr", "comment"))
-_query("feed_remove", fx.sql("SELECT cidr, comment FROM feeds WHERE cidr <> '10.3.0.0/16'"))(lambda s, d: rep.remove(fx.feeds(s), s.createDataFrame([("10.3.0.0/16",)], "cidr string"), "cidr").select("cidr", "comment"))
+_VALID = "p_partkey % 5 IN (1, 2, 3)"
+_DROPS = f"SELECT 'cidr_dst' AS type, 'drop' AS report, line, cidr, concat('SBL', CAST(p_partkey AS VARCHAR), ' ; x') AS comment FROM t WHERE {_VALID}"
+_BOGONS = f"SELECT 'cidr_src' AS type, 'bogon' AS report, line, cidr, concat('context-line-', CAST(line AS VARCHAR)) AS comment FROM t WHERE {_VALID}"
+
+
+def _drops(s: SparkSession, d: str) -> DataFrame:
+    return feeds.drop_list(fx.feed_lines(s, d).select("line", F.col("drop_text").alias("text")))
 
 
-def _as_lines(s: SparkSession, *texts: str) -> DataFrame:
-    return s.createDataFrame([(0, k + 1, t) for k, t in enumerate(texts)], "file_id long, line long, text string")
+def _bogons(s: SparkSession, d: str) -> DataFrame:
+    return feeds.cidr_list(fx.feed_lines(s, d).select("line", F.col("cidr_text").alias("text")))
 
 
-_query("feed_drop_parse", "SELECT * FROM (VALUES ('cidr_dst', 'drop', CAST(2 AS BIGINT), '192.0.2.0/24', 'SBL9'), ('cidr_dst', 'drop', CAST(4 AS BIGINT), '198.51.100.0/25', 'SBL10')) t(type, report, line, cidr, comment)")(
-    lambda s, d: feeds.drop_list(_as_lines(s, "; list of networks", "192.0.2.0/24 ; SBL9", "nonsense", "198.51.100.0/25 ; SBL10"))
+def _created(rows: DataFrame) -> DataFrame:
+    """Feeds of a line a day."""
+    return rows.withColumn("created_time", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("line") * 86_400))
+
+
+_query("feed_drop_parse", fx.feed_lines_sql(_DROPS))(_drops)
+_query("feed_cidr_parse", fx.feed_lines_sql(_BOGONS))(_bogons)
+_query("feed_rejects", fx.feed_lines_sql("SELECT line, drop_text AS text FROM t WHERE p_partkey % 5 = 4 UNION ALL SELECT line, cidr_text FROM t WHERE p_partkey % 5 = 4"))(
+    lambda s, d: feeds.drop_rejects(fx.feed_lines(s, d).select("line", F.col("drop_text").alias("text"))).union(feeds.cidr_rejects(fx.feed_lines(s, d).select("line", F.col("cidr_text").alias("text"))))
+)
+_query("feed_whitelist", fx.feed_lines_sql("SELECT CAST(p_partkey AS INTEGER) AS rank, name AS domain, concat('org.example', CAST(p_partkey % 7 AS VARCHAR), '.n', CAST(p_partkey AS VARCHAR)) AS rdomain FROM t WHERE p_partkey % 5 <> 0"))(
+    lambda s, d: feeds.ranked_domains(fx.feed_lines(s, d).select(F.col("rank_text").alias("text")))
 )
-_query("feed_cidr_parse", "SELECT * FROM (VALUES ('cidr_src', 'bogon', CAST(3 AS BIGINT), '0.0.0.0/8', 'context-line-3')) t(type, report, line, cidr, comment)")(lambda s, d: feeds.cidr_list(_as_lines(s, "# head", "; more", "0.0.0.0/8", "10.0.0.0/40")))
-_query("feed_whitelist", "SELECT * FROM (VALUES (1, 'example.org', 'org.example'), (2, 'a.example.net', 'net.example.a')) t(rank, domain, rdomain)")(lambda s, d: feeds.ranked_domains(_as_lines(s, "1,example.org", "2,a.example.net/path", "x,bad")))
-_query("ioc_load", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(7 AS BIGINT), 'ip', 'scan', '192.0.2.1', '', ''), (0, 2, 8, 'url', 'phish', NULL, 'x.example.com', 'http://x.example.com/a,b')) t(file_id, line, id, type, threat_type, ip, dns, value)")(
-    lambda s, d: feeds.ioc_lines(_as_lines(s, "7,IP,scan,192.0.2.1,,", "8,url,phish,,x.example.com,http://x.example.com/a,b", "bad line", "9,md5,x,,,abc"))[0]
+# Of networks that both lists have the later list counts, and of those that one has twice the later line.
+_query("feed_union", fx.feed_lines_sql(f"SELECT cidr, arg_max(type, [f, line]) AS type, arg_max(comment, [f, line]) AS comment FROM (SELECT *, 0 AS f FROM ({_DROPS}) UNION ALL SELECT *, 1 FROM ({_BOGONS}) WHERE line % 2 = 0) GROUP BY cidr"))(
+    lambda s, d: rep.union([_drops(s, d), _bogons(s, d).where("line % 2 = 0")], ["cidr"]).select("cidr", "type", "comment")
 )
+_query("feed_expire", fx.feed_lines_sql(f"SELECT cidr, comment FROM ({_DROPS}) WHERE line >= 100"))(lambda s, d: rep.expire(_created(_drops(s, d)), "2024-04-10 00:00:00").select("cidr", "comment"))
+_query("feed_remove", fx.feed_lines_sql(f"SELECT cidr, comment FROM ({_DROPS}) WHERE cidr NOT IN (SELECT cidr FROM t WHERE {_VALID} AND p_partkey % 4 = 0)"))(
+    lambda s, d: rep.remove(_drops(s, d), _bogons(s, d).where("line % 4 = 0").select("cidr"), "cidr").select("cidr", "comment")
+)
+_GOOD_IOC = "p_partkey % 11 <> 0 AND kind <> 'md5'"
+
+
+def _iocs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return feeds.ioc_lines(fx.feed_lines(s, d).select(F.col("line") % 2, "line", "ioc_text").toDF("file_id", "line", "text"))
+
+
+_query("ioc_load", fx.feed_lines_sql(f"SELECT line % 2 AS file_id, line, CAST(p_partkey AS BIGINT) AS id, lower(kind) AS type, 'scan' AS threat_type, CASE WHEN kind = 'IP' THEN address END AS ip, CASE WHEN kind = 'Domain' THEN name ELSE '' END AS dns, value FROM t WHERE {_GOOD_IOC}"))(lambda s, d: _iocs(s, d)[0])
+_query("ioc_rejects", fx.feed_lines_sql(f"SELECT line, ioc_text AS text FROM t WHERE NOT ({_GOOD_IOC})"))(lambda s, d: _iocs(s, d)[1].select("line", "text"))
+_query("ioc_first_wins", fx.feed_lines_sql(f"SELECT printf('%08x', {fx.number('address')}) AS key, arg_min(CAST(p_partkey AS BIGINT), [line % 2, line]) AS ioc_id FROM t WHERE {_GOOD_IOC} AND kind = 'IP' GROUP BY 1"))(lambda s, d: lookups.exact_ips(_iocs(s, d)[0]).select("key", "entry.ioc_id"))
+
+# Networks of the feeds as a sorted table finds them, and both families in rules.
+_BITS = "lpad(bin({0}), 32, '0')"
+_FLOOR_SQL = f"""SELECT seq_num, comment, cidr FROM (SELECT seq_num, {_BITS.format(fx.number("dst_ip"))} AS bits FROM c) e
+ASOF JOIN (SELECT b, min(cidr) AS cidr, arg_min(comment, [cidr, comment]) AS comment FROM (SELECT left({_BITS.format(fx.number("split_part(cidr, '/', 1)"))}, CAST(split_part(cidr, '/', 2) AS INT)) AS b, cidr, concat('SBL', CAST(p_partkey AS VARCHAR), ' ; x') AS comment
+  FROM t WHERE p_partkey % 5 IN (1, 3)) GROUP BY b) n ON e.bits >= n.b WHERE starts_with(bits, b)"""
+_query("reputation_floor", fx.sql(_FLOOR_SQL).replace("WITH lm0 AS", fx.feed_lines_sql("").rstrip() + ", lm0 AS", 1))(lambda s, d: rep.by_floor(connected(s, d).select("seq_num", "dst_ip"), _drops(s, d), "dst").drop("dst_ip"))
 
 # Reports.
 
