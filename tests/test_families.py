@@ -67,7 +67,8 @@ def test_floor_of_networks(spark):
     rnd = random.Random(3)
     nets = [f"{rnd.choice([10, 11, 198])}.{rnd.randrange(3)}.{rnd.randrange(4) * 64}.0/{rnd.choice([0, 7, 8, 12, 16, 17, 18, 24, 32])}" for _ in range(40)]
     nets = [str(ipaddress.ip_network(n, strict=False)) for n in nets]
-    table = spark.createDataFrame([("cidr_src", n, f"c {n}") for n in nets] + [("cidr_dst", "10.0.0.0/9", "other"), ("cidr_src", "2001:db8::/32", "six"), ("cidr_src", "bad", "bad")], "type string, cidr string, comment string")
+    rows = [("cidr_src", n, f"c {n}", "r") for n in nets] + [("cidr_dst", "10.0.0.0/9", "other", "r"), ("cidr_src", "2001:db8::/32", "six", "r"), ("cidr_src", "bad", "bad", "r")]
+    table = spark.createDataFrame(rows, "type string, cidr string, comment string, report string")
     ips = [f"{rnd.choice([9, 10, 11, 198, 255])}.{rnd.randrange(4)}.{rnd.randrange(256)}.{rnd.randrange(256)}" for _ in range(200)] + [None, "x", "2001:db8::1"] + ["10.0.0.1"] * 50
     events = spark.createDataFrame([(k, ip, "mine", 5) for k, ip in enumerate(ips)], "seq_num long, src_ip string, comment string, bits int")
     bits = {}

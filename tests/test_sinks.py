@@ -1,8 +1,10 @@
 """Reports delivered to sockets, queues and tables, and small helpers of streams."""
 
+import json
 import socket
 import struct
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from vigilstream.operators import reports
 from vigilstream.sources import events
 from vigilstream.streaming import sinks
+from vigilstream.streaming.batchlog import BatchLog
 
 
 def made(spark, n, first=0):
@@ -63,6 +66,81 @@ def test_table_is_drained(spark, tmp_path):
     assert table.drain()[0].count() == 0
 
 
+def test_a_table_without_reports_and_with_timestamps(spark, tmp_path):
+    table = sinks.ReportTable(spark, str(tmp_path / "t"))
+    assert table.latest().collect() == [] and table.drain()[0].collect() == []
+    rows = spark.range(3).select(F.lit("Top").alias("statement"), F.timestamp_seconds(F.col("id") * 100).alias("time"), F.format_string('{"n":%d}', F.col("id")).alias("json"))
+    table(rows, 0)
+    assert [(r.time, r.json) for r in table.latest().collect()] == [("1970-01-01 00:03:20", '{"n":2}')]
+    assert [r.json for r in table.drain()[0].collect()] == ['{"n":0}', '{"n":1}', '{"n":2}']
+
+
+def test_a_batch_that_comes_again_is_in_a_queue_once(spark, tmp_path):
+    log = BatchLog(spark, str(tmp_path / "log"))
+    queue = sinks.QueueSink("text", log=log, path=str(tmp_path / "q"))
+    for batch in (0, 0, 1, 1, 0):
+        queue(made(spark, 3, 10 * batch), batch)
+    again = sinks.QueueSink("text", log=BatchLog(spark, str(tmp_path / "log")), path=str(tmp_path / "q"))  # after a restart
+    again(made(spark, 3, 10), 1)
+    again(made(spark, 3, 20), 2)
+    assert queue.sent == 6 and again.sent == 3
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "q")).collect()) == sorted(f'{{"n":{k}}}' for b in range(3) for k in range(10 * b, 10 * b + 3))
+
+
+def test_ids_go_on_after_a_restart(spark, tmp_path):
+    got, table = [], sinks.ReportTable(spark, str(tmp_path / "t"))
+
+    def sink(reports, number):
+        got.append([json.loads(r.json)["id"] for r in reports.orderBy("json").collect()])
+        table(reports, number)
+
+    rows = lambda n, first: spark.range(first, first + n).select(F.lit("Top").alias("statement"), F.when(F.col("id") != 1, F.col("id")).alias("time"), F.lit(1).alias("size"))
+    one = sinks.Numbered(sink, BatchLog(spark, str(tmp_path / "log")), first=100)
+    one(rows(3, 0), 0)
+    one(rows(3, 0), 0)
+    one(rows(2, 200), 1)
+    two = sinks.Numbered(sink, BatchLog(spark, str(tmp_path / "log")), first=100)
+    two(rows(2, 200), 1)
+    two(rows(4, 300), 2)
+    assert [sorted(x) for x in got] == [[100, 101, 102], [103, 104], [105, 106, 107, 108]]
+    assert sorted(json.loads(r.json)["id"] for r in table.drain()[0].collect()) == list(range(100, 109))
+
+
+def test_a_driver_lost_before_the_entry_gives_the_same_ids(spark, tmp_path):
+    class Lost(Exception):
+        pass
+
+    class Log(BatchLog):
+        def commit(self, number, **values):
+            raise Lost
+
+    table = sinks.ReportTable(spark, str(tmp_path / "t"))
+    rows = spark.range(3).select(F.lit("Top").alias("statement"), F.col("id").alias("time"))
+    with pytest.raises(Lost):
+        sinks.Numbered(table, Log(spark, str(tmp_path / "log")))(rows, 0)
+    sinks.Numbered(table, BatchLog(spark, str(tmp_path / "log")))(rows, 0)
+    assert [json.loads(r.json)["id"] for r in table.drain()[0].collect()] == [0, 1, 2]
+
+
+def test_throughput(spark, tmp_path):
+    spark.range(50).selectExpr("concat('x', id) AS value").coalesce(1).write.text(str(tmp_path / "in"))
+    told = []
+    listener = sinks.Throughput(each=lambda name, rates: told.append((name, rates)))
+    spark.streams.addListener(listener)
+    try:
+        stream = sinks.measured(spark.readStream.text(str(tmp_path / "in")))
+        query = stream.writeStream.format("noop").queryName("fed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        for _ in range(100):
+            if told:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    name, rates = told[0]
+    assert name == "fed" and rates["messages"] == 50 and rates["bytes"] == 50 * 2 + 40 and rates["messages_per_second"] > 0 < rates["mb_per_second"]
+
+
 def test_length_frames():
     a, b = b"abc", b"x" * 300
     data = b"".join(struct.pack("<i", len(x)) + x for x in (a, b, b""))

@@ -26,14 +26,14 @@ def event_envelopes(statement: str, rows: DataFrame, fields: tuple[str, ...], ti
 
 
 def numbered(envelopes: DataFrame, first: int = 0) -> DataFrame:
-    """With a running id over all reports, by time and statement. Reports are numbered within hours, and hours follow each other."""
-    hour = F.floor(F.col("time").cast("double") / 3600)
-    rows = envelopes.withColumn("__hour", hour)
-    # Rows of the offsets are hours: a hundred years have less than a million.
-    so_far = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("__hour").agg(F.count("*").alias("n")).select("__hour", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("__before"))
-    at = F.row_number().over(Window.partitionBy("__hour").orderBy("time", "statement")).cast("long")
-    return rows.withColumn("id", at).join(F.broadcast(before), "__hour").withColumn("id", F.col("id") + F.col("__before") + (first - 1)).drop("__hour", "__before")
+    """With a running id over all reports, by time (nulls first) and statement. Reports are numbered within minutes, and minutes follow each other."""
+    rows = envelopes.withColumn("__minute", F.floor(F.col("time").cast("double") / 60))
+    # Rows of the offsets are minutes that have reports: half a million a year.
+    so_far = Window.orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__minute").agg(F.count("*").alias("n")).select(F.col("__minute").alias("__of"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__minute").orderBy("time", "statement")).cast("long")
+    met = rows.withColumn("id", at).join(before, F.col("__minute").eqNullSafe(F.col("__of")))
+    return met.withColumn("id", F.col("id") + F.col("__before") + (first - 1)).drop("__minute", "__of", "__before")
 
 
 def to_json(envelopes: DataFrame, pretty: bool = False) -> DataFrame:
