@@ -13,8 +13,9 @@ from vigilstream.operators import correlation, counting, feeds, lookups, reports
 from vigilstream.operators import reputation as rep
 from vigilstream.plans import fixture as fx
 from vigilstream.sources import events as ev
-from vigilstream.sources import flows, frames, samples, sflow
+from vigilstream.sources import flows, frames, replay, samples, sflow
 from vigilstream.shipping import ship
+from vigilstream.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -504,6 +505,19 @@ def _replayed(s: SparkSession, d: str) -> DataFrame:
     return ev.lv_decode(files.select("file", F.unhex(F.array_join(F.transform("all", lambda r: r["x"]), "")).alias("raw")))
 
 
+def _ranges(s: SparkSession, d: str, least: int | None = None) -> DataFrame:
+    """Events as replay files of a few megabytes at most, read in ranges of 64 kB."""
+    value = F.concat(F.lit("event "), F.col("seq_num").cast("string"), F.lit(" of "), "src_ip")
+    rows = lm(s, d).select("seq_num", F.unix_millis(F.col("event_time").cast("timestamp")).alias("millis"), value.alias("value"))
+    path, to = new_path(s, "replay"), new_path(s, "ranges")
+    replay.write(rows.repartitionByRange(3, "seq_num").sortWithinPartitions("seq_num"), path)
+    replay.index(s, path, to, 64 << 10)
+    return replay.replay(s, path, to, least).select("millis", "value")
+
+
+_LV_SQL = "SELECT epoch_us(event_time) // 1000 AS millis, concat('event ', CAST(seq_num AS VARCHAR), ' of ', src_ip) AS value FROM lm"
+_query("lv_ranges", fx.sql(_LV_SQL))(_ranges)
+_query("lv_ranges_since", fx.sql(f"SELECT * FROM ({_LV_SQL}) WHERE millis >= 1705300000000"))(lambda s, d: _ranges(s, d, 1705300000000))
 _query("lv_decode", fx.sql("SELECT sensor_name AS file, row_number() OVER (PARTITION BY sensor_name ORDER BY seq_num) - 1 AS at, epoch_us(event_time) // 1000 AS millis, concat('event ', CAST(seq_num AS VARCHAR), ' of ', src_ip) AS value FROM lm"))(_replayed)
 _query("port_dispatch", fx.sql("SELECT seq_num, CASE WHEN ip_protocol = 17 THEN CASE dst_port WHEN 53 THEN 'dns' WHEN 514 THEN 'syslog' WHEN 2055 THEN 'netflow' END WHEN ip_protocol = 6 THEN CASE dst_port WHEN 514 THEN 'syslog' WHEN 53 THEN 'dns_logged' WHEN 2055 THEN 'netflow_logged' END END AS holds FROM lm"))(
     lambda s, d: lm(s, d).select("seq_num", frames.port_dispatch(F.col("ip_protocol"), F.col("dst_port")).alias("holds"))
