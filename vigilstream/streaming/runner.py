@@ -273,36 +273,97 @@ def stream_correlation(events: DataFrame, seconds: int = 60, key: str = "ip_hash
 
 
 class TcpLines(StatefulProcessor):
-    """Lines, or framed records, of a socket's segments; what one lacks is kept, at most ten minutes."""
+    """Lines, or framed records, of a socket's segments in the order of their numbers, however triggers bring them.
 
-    def __init__(self, frames: Callable[[bytes, bytes], tuple[list[bytes], bytes]] = line_frames):
-        self.frames = frames
+    Segments that come before their time wait for the ones between: by ``number``, each follows the one numbered one less; by
+    ``bytes``, each begins where the one before ends, and what was had already is cut off. A gap is waited for ``wait``
+    milliseconds after the last segment behind it has come; then the next segment that is there goes on, as in a batch that
+    never had the missing one, and the missing one is too late. Where ``first`` is not given, a socket begins with the least
+    number of its first trigger. What a line lacks is kept, at most ten minutes.
+    """
+
+    def __init__(self, frames: Callable[[bytes, bytes], tuple[list[bytes], bytes]] = line_frames, by: str = "number", first: int | None = None, wait: int = 5_000):
+        if by not in ("number", "bytes"):
+            raise ValueError(f"segments are in order by number or bytes, not {by}")
+        self.frames, self.by, self.first, self.wait = frames, by, first, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.carry = handle.getValueState("carry", StructType([StructField("data", BinaryType())]), ttlDurationMs=EXPIRY)
+        self.next = handle.getValueState("next", "number long", ttlDurationMs=EXPIRY)
+        self.waiting = handle.getMapState("waiting", "number long", StructType([StructField("data", BinaryType())]), ttlDurationMs=EXPIRY)
+        self.due = handle.getValueState("due", "millis long", ttlDurationMs=EXPIRY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = {}
+        for batch in rows:
+            for number, data in batch[["seq_num", "payload"]].itertuples(index=False):
+                number, data = int(number), bytes(data)
+                if len(data) >= len(new.get(number, b"")):
+                    new[number] = data
+        if self.next.exists():
+            expected = self.next.get()[0]
+        else:
+            expected = min(new, default=0) if self.first is None else self.first
+        for (number,), (data,) in self.waiting.iterator():
+            if number not in new or len(data) > len(new[number]):
+                new[number] = bytes(data)
+        yield self._taken(key, new, expected, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = {number: bytes(data) for (number,), (data,) in self.waiting.iterator()}
+        if held and self.due.exists() and self.due.get()[0] <= now:
+            yield self._taken(key, held, min(held), now)
+        else:
+            yield pd.DataFrame([], columns=["socket", "message"])
+
+    def _taken(self, key, held: dict[int, bytes], expected: int, now: int) -> pd.DataFrame:
+        """Takes the segments that follow each other, and keeps those beyond the gap."""
         carry = bytes(self.carry.get()[0]) if self.carry.exists() else b""
         out = []
-        # A trigger may bring a socket's segments in several batches, in any order.
-        for data in pd.concat(list(rows)).sort_values("seq_num")["payload"]:
-            lines, carry = self.frames(carry, bytes(data))
+        for number in sorted(held):
+            data = held[number]
+            if number > expected:
+                break
+            if self.by == "number":
+                if number < expected:  # was there, or is too late
+                    continue
+                expected = number + 1
+            else:
+                data = data[expected - number :]
+                expected += len(data)
+            lines, carry = self.frames(carry, data)
             out += [[key[0], x.decode("utf-8", "replace")] for x in lines]
+        left = {n: d for n, d in held.items() if n >= expected}
+        for (number,), _ in list(self.waiting.iterator()):
+            if number not in left:
+                self.waiting.removeKey((number,))
+        for number, data in left.items():
+            self.waiting.updateValue((number,), (data,))
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        if left:
+            self.due.update((now + self.wait,))
+            self.handle.registerTimer(now + self.wait)
+        else:
+            self.due.clear()
+        self.next.update((expected,))
         self.carry.update((carry,))
-        yield pd.DataFrame(out, columns=["socket", "message"])
+        return pd.DataFrame(out, columns=["socket", "message"])
 
     def close(self) -> None:
         pass
 
 
-def stream_tcp_lines(segments: DataFrame) -> DataFrame:
+def stream_tcp_lines(segments: DataFrame, by: str = "number", first: int | None = None, wait: int = 5_000) -> DataFrame:
     """socket and message of the lines in segments (socket, seq_num, payload)."""
-    return segments.groupBy("socket").transformWithStateInPandas(TcpLines(), "socket string, message string", "append", "processingTime")
+    return segments.groupBy("socket").transformWithStateInPandas(TcpLines(line_frames, by, first, wait), "socket string, message string", "append", "processingTime")
 
 
-def stream_records(segments: DataFrame) -> DataFrame:
+def stream_records(segments: DataFrame, by: str = "number", first: int | None = None, wait: int = 5_000) -> DataFrame:
     """socket and message of the records, each after its length, in segments (socket, seq_num, payload)."""
-    return segments.groupBy("socket").transformWithStateInPandas(TcpLines(length_frames), "socket string, message string", "append", "processingTime")
+    return segments.groupBy("socket").transformWithStateInPandas(TcpLines(length_frames, by, first, wait), "socket string, message string", "append", "processingTime")
 
 
 class Exporter(StatefulProcessor):
