@@ -118,3 +118,37 @@ def test_stream_of_rankings_is_the_batch(spark, tmp_path):
     want = [tuple(r) for r in windows.top(table, ranking, "5 minutes", 3).select("window_start", "dst_ip", "scount", "rank").collect()]
     last = max(w for w, *_ in want)  # the last window is open still
     assert sorted(got) == sorted(w for w in want if w[0] != last) and got
+
+
+def test_older_flow_versions():
+    """Versions 1 and 7, as their packets are laid out: header, then records of 52 bytes."""
+    record = bytes([10, 0, 0, 1, 10, 0, 0, 2, 10, 0, 0, 3]) + struct.pack(">HHIIIIHH", 4, 5, 6, 700, 80, 90, 1024, 53)
+    one = struct.pack(">HHIII", 1, 2, 1000, 1_700_000_000, 9) + 2 * (record + struct.pack(">HBBB", 0, 17, 8, 2) + bytes(11))
+    found = flows.fixed(one)
+    assert len(one) == 16 + 2 * 52 and len(found) == 2 and found[0] == found[1]
+    want = {"version": 1, "src_ip": "10.0.0.1", "dst_ip": "10.0.0.2", "gateway_ip": "10.0.0.3", "if_in": 4, "if_out": 5, "packets": 6, "bytes": 700, "flow_start": 80, "flow_finish": 90, "src_port": 1024, "dst_port": 53}
+    assert found[0] == want | {"protocol": 17, "tos": 8, "tcp_flags": 2, "sys_uptime_ms": 1000, "unix_secs": 1_700_000_000, "unix_nsecs": 9}
+    seven = struct.pack(">HHIIIII", 7, 1, 1000, 1_700_000_000, 9, 44, 0) + record + struct.pack(">BBBBHHBBHI", 0, 2, 6, 8, 64512, 64513, 8, 24, 0, 0)
+    assert len(seven) == 24 + 52
+    (found,) = flows.fixed(seven)
+    assert found == want | {"version": 7, "protocol": 6, "tos": 8, "tcp_flags": 2, "src_as": 64512, "dst_as": 64513, "src_mask": 8, "dst_mask": 24, "sys_uptime_ms": 1000, "unix_secs": 1_700_000_000, "unix_nsecs": 9, "flow_sequence": 44}
+    for bad in (one[:-1], one + b"x", seven[:-1], struct.pack(">HH", 7, 2) + seven[4:]):
+        assert flows.fixed(bad) == []
+
+
+def test_own_addresses(spark):
+    rows = spark.createDataFrame([(a,) for a in ("10.0.0.1", "10.0.0.2", "2001:DB8:0::5", "2001:db8::6", None, "")], "ip string")
+    assert [r[0] for r in rows.select(frames.is_self(F.col("ip"), ("10.0.0.1", "2001:db8::5"))).collect()] == [True, False, True, False, False, False]
+    kinds = spark.createDataFrame([(k, s) for k in ("syslog", "dns", "netflow", None) for s in (True, False, None)], "kind string, self boolean")
+    assert [tuple(r) for r in frames.guarded(kinds).collect()] == [("syslog", True), ("dns", True), ("dns", False), ("dns", None), ("netflow", True), (None, True), (None, False), (None, None)]
+
+
+def test_numbers_of_a_queue(spark):
+    rows = [(k % 3 and "hot" or None, (k * 37 % 500) * 20 if k % 10 else None, k % 7, 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "sensor_name string, s long, seq_num long, at int").withColumn("event_time", F.timestamp_seconds("s")).repartition(3)
+    got = windows.queue_numbers(df).collect()
+    for name in ("hot", None):
+        mine = sorted((r for r in got if r.sensor_name == name), key=lambda r: r.queue_num)
+        assert [r.queue_num for r in mine] == list(range(1, len(mine) + 1)) and len(mine) == sum(r[0] == name for r in rows)
+        place = [(r.s is not None, r.s or 0, r.seq_num) for r in mine]
+        assert place == sorted(place)

@@ -153,3 +153,18 @@ def seq_gaps(events: DataFrame, queue: str = "sensor_name") -> DataFrame:
     by = Window.partitionBy(queue).orderBy("seq_num")
     rows = events.select(queue, "seq_num", F.lag("seq_num").over(by).alias("previous"))
     return rows.where("seq_num - previous > 1").withColumn("missing", F.expr("seq_num - previous - 1"))
+
+
+def queue_numbers(events: DataFrame, queue: str = "sensor_name", time: str = "event_time", order: str = "seq_num", out: str = "queue_num") -> DataFrame:
+    """Events with a number within their queue, from 1, by time (nulls first) and ``order``.
+
+    Numbers are given within minutes, and a queue's minutes follow each other, so that a queue with a third of all events is
+    no task of its own. Events that are equal in both are numbered one after the other.
+    """
+    row = F.struct(*[F.col(c) for c in events.columns]).alias("row")
+    rows = events.select(F.col(queue).alias("queue"), F.floor(F.col(time).cast("timestamp").cast("double") / 60).alias("minute"), F.col(time).alias("t"), F.col(order).alias("n"), row)
+    at = F.row_number().over(Window.partitionBy("queue", "minute").orderBy("t", "n")).cast("long")
+    so_far = Window.partitionBy("queue").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("queue", "minute").agg(F.count("*").alias("size")).select(F.col("queue").alias("of"), F.col("minute").alias("in"), F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))
+    met = rows.withColumn("at", at).join(before, F.col("queue").eqNullSafe(F.col("of")) & F.col("minute").eqNullSafe(F.col("in")))
+    return met.select("row.*", (F.col("at") + F.col("before")).alias(out))

@@ -176,6 +176,14 @@ _query("correlation", _correlation_sql(60))(lambda s, d: _correlation(s, d, 60))
 _query("correlation_hours", _correlation_sql(6 * 3600))(lambda s, d: _correlation(s, d, 6 * 3600))
 
 _query("seq_gap", fx.sql("SELECT sensor_name, seq_num, p AS previous, seq_num - p - 1 AS missing FROM (SELECT sensor_name, seq_num, lag(seq_num) OVER (PARTITION BY sensor_name ORDER BY seq_num) AS p FROM lm) WHERE seq_num - p > 1"))(lambda s, d: windows.seq_gaps(lm(s, d)))
+_query("queue_numbers", fx.sql("SELECT seq_num, sensor_name, row_number() OVER (PARTITION BY sensor_name ORDER BY event_time, seq_num) AS queue_num FROM lm"))(lambda s, d: windows.queue_numbers(lm(s, d).select("seq_num", "sensor_name", "event_time")).drop("event_time"))
+_OWN = ("198.51.1.3", "198.51.2.5", "2001:db8::5")
+_DST = "CASE WHEN seq_num % 5 = 0 THEN concat('2001:DB8:0::', CAST(seq_num % 10 AS {0})) ELSE dst_ip END"
+_KIND = "CASE WHEN ip_protocol = 17 AND dst_port = 53 THEN 'dns' WHEN ip_protocol = 17 AND dst_port = 514 THEN 'syslog' WHEN ip_protocol = 17 AND dst_port = 2055 THEN 'netflow' WHEN ip_protocol = 6 AND dst_port = 514 THEN 'syslog' WHEN ip_protocol = 6 AND dst_port = 53 THEN 'dns_logged' WHEN ip_protocol = 6 AND dst_port = 2055 THEN 'netflow_logged' END"
+_query("self_guard", fx.sql(f"""SELECT * FROM (SELECT seq_num, {_KIND} AS kind, CASE WHEN seq_num % 5 = 0 THEN seq_num % 10 = 5 ELSE dst_ip IN ('198.51.1.3', '198.51.2.5') END AS self FROM lm)
+WHERE self OR coalesce(kind, 'dns') IN ('dns', 'dns_logged')"""))(
+    lambda s, d: frames.guarded(lm(s, d).select("seq_num", frames.port_dispatch(F.col("ip_protocol"), F.col("dst_port")).alias("kind"), frames.is_self(F.expr(_DST.format("STRING")), _OWN).alias("self")))
+)
 _query("filter_conj", fx.sql("SELECT seq_num FROM lm WHERE NOT self AND ip_protocol = 6 AND dst_port <> 0"))(lambda s, d: lm(s, d).where("NOT self AND ip_protocol = 6 AND dst_port <> 0").select("seq_num"))
 _query("filter_isset", fx.sql("SELECT seq_num FROM lm WHERE ioc_value IS NOT NULL AND ioc_value <> '' AND ioc_id <> 0"))(lambda s, d: lm(s, d).where("ioc_value IS NOT NULL AND ioc_value <> '' AND coalesce(ioc_id, 0) <> 0").select("seq_num"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from vigilstream.functions import net
 from vigilstream.schema import FRAME, MAX_ANSWERS
 
 #: Destination ports of what is decoded.
@@ -44,6 +45,24 @@ def port_dispatch(protocol: Column, port: Column, both: Column | None = None) ->
     return out if both is None else out.when((protocol == 17) & (both == 53), F.lit("dns"))
 
 
+#: What only counts when it is sent to the sensor itself; name queries count wherever they go.
+OWN_ONLY = ("syslog", "sflow", "netflow", "netflow_logged")
+
+
+def is_self(address: Column, own: tuple[str, ...]) -> Column:
+    """Whether an address is one of the sensor's own, of either family and however it is written."""
+    wanted = [ipaddress.ip_address(a) for a in own]
+    four, six = [str(a) for a in wanted if a.version == 4], [a.packed.hex() for a in wanted if a.version == 6]
+    out = address.isin(*four) if four else F.lit(False)
+    out = out | (address.contains(":") & net.ip_hex(address).isin(*six)) if six else out
+    return F.coalesce(out, F.lit(False))
+
+
+def guarded(datagrams: DataFrame, kind: str = "kind", own: str = "self") -> DataFrame:
+    """Datagrams that are taken: what counts only for the sensor itself goes where ``self`` isn't true."""
+    return datagrams.where(F.coalesce(F.col(own), F.lit(False)) | ~F.coalesce(F.col(kind).isin(*OWN_ONLY), F.lit(False)))
+
+
 def mac(raw: bytes) -> str:
     return ":".join(f"{x:02x}" for x in raw)
 
