@@ -580,3 +580,24 @@ def test_one_of_each_keeps_clean_rows_of_the_same_id(spark, odd_folder):
     rows = [(1, a), (2, a), (2, b), (None, a), (None, b), (None, None), (3, b + " c"), (4, ""), (4, "")]
     got = cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), odd_folder).collect()
     same([tuple(r) for r in got], [(1, a), (2, b), (None, None), (4, ""), (4, "")])
+
+
+@pytest.mark.parametrize("classes", [1_000_000, 0])
+def test_equal_vectors_make_few_candidates(spark, monkeypatch, classes):
+    """A large group of equal vectors, some with repeated ids, beside others; candidates are few and results those of brute force."""
+    monkeypatch.setattr(neighbours, "CLASSES", classes)
+    rnd = np.random.default_rng(8)
+    one, two = rnd.normal(size=8), rnd.normal(size=8)
+    rows = [(k, (one if k % 3 else two if k % 2 else rnd.normal(size=8)).tolist()) for k in range(900)]
+    rows += [(7, one.tolist()), (5000, None), (5001, [0.0] * 8), (None, one.tolist())] + [(6000 + k, None) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    left = neighbours._nearest_of_equals(df.toDF("id", "v"), 20).where("v is not null and id is not null").collect()
+    assert sum(r.v == one.tolist() for r in left) <= 22 and sum(r.v == two.tolist() for r in left) <= 21
+    x = [(k, np.array(v)) for k, v in rows if k is not None and v is not None and any(v)]
+    wanted = []
+    for q in {k for k, _ in x if k % 20 == 0}:
+        (v,) = [v for k, v in x if k == q][:1]
+        near = sorted((-float(neighbours.dots(v[None], w[None])[0]), k) for k, w in x if k != q)[:20]
+        wanted += [(q, rank, k, -s) for rank, (s, k) in enumerate(near, 1)]
+    found = [tuple(r) for r in neighbours.nearest(df, "id % 20 = 0", 20).collect()]
+    assert sorted(found) == sorted(wanted)

@@ -3,7 +3,8 @@
 Vectors and queries are packed into blocks, one row a block, and written once. Their int8 codes, an eighth of the
 vectors, go to a grid of tasks: a query block to ``across`` groups of vector blocks by an equi-join on the group's
 number. A task multiplies it with the tiles of its group; the products of codes give each inner product with an error
-bound, of which each query's heap keeps what may still be among its k best. Over all groups, a query's k-th largest
+bound, of which each query's heap keeps what may still be among its k best. Of equal vectors only the k + 1 least ids can be
+nearest to anything, so no more of them are candidates. Over all groups, a query's k-th largest
 lower bound is the least that an upper bound must reach; only the pairs that do are recomputed in double precision, by
 way of their blocks, and ranked. No pair leaves a task unless it may be among a group's k best.
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilstream.llm.shared import written
+from vigilstream.llm.shared import is_small, written
 
 #: Rows of a block of vectors, and of queries, at most; fewer where vectors are long, for blocks of about ``BLOCK`` components.
 TILE, QUERIES = 4096, 512
@@ -36,6 +37,10 @@ BLOCK = 1 << 20
 HELD = 1 << 25
 #: Components multiplied at once: products of codes of so many add up to less than 2**24.
 SLICE = 1024
+#: Classes of equal vectors that are broadcast at most (40 bytes each).
+CLASSES = 1_000_000
+#: Pairs that a block's heaps keep before those that can't be among the best are taken out again.
+PAIRS = 1 << 18
 _PACKED = "block long, ids binary, vectors binary, codes binary, bounds binary, size int"
 
 
@@ -85,6 +90,27 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(work, _PACKED)
 
 
+def _nearest_of_equals(rows: DataFrame, k: int) -> DataFrame:
+    """Without the vectors that no query can have among its k nearest: of equal ones all but the k + 1 least ids (one may be the query's own).
+
+    Equal vectors have equal products with any query, and ties go to the smaller id, so this leaves no result out. Vectors
+    are told apart by 128 bits of hash; only hashes and ids travel, counted before they are moved.
+    """
+    same = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")]
+    light = rows.where("id is not null and v is not null").select(*same, "id")
+    large = light.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).drop("n")
+    large = written(large, "equals")
+    if is_small(large, 0):
+        return rows
+    held = lambda t: F.broadcast(t) if is_small(t, CLASSES) else t
+    own = light.join(held(large), ["h1", "h2"], "left_semi").distinct()
+    at = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    last = own.withColumn("at", at).where(F.col("at") <= k + 1).groupBy("h1", "h2").agg(F.max("id").alias("last"), F.max("at").alias("at")).where(F.col("at") == k + 1)
+    last = written(last.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "last"), "last")
+    met = rows.select("*", *same).join(held(last), (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")), "left")
+    return met.where("last is null or id <= last").select("id", "v")
+
+
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, and the lengths of what the codes stand for and of the error, rounded up a little."""
     largest = np.abs(x).max(axis=1)
@@ -111,6 +137,7 @@ class Heaps:
         self.ids, self.codes, self.bounds, self.k = ids, codes, bounds, k
         self.lower = np.full((len(ids), k), -np.inf)  # the k largest lower bounds, unordered
         self.kept: list[list[np.ndarray]] = []
+        self.size, self.room = 0, PAIRS
 
     def merge(self, ids: np.ndarray, codes: np.ndarray, bounds: np.ndarray, block: int) -> None:
         product = np.zeros((len(self.ids), len(ids)))
@@ -130,6 +157,11 @@ class Heaps:
         self.lower = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
         q, at = np.nonzero((upper >= self.lower.min(axis=1)[:, None]) & ~own)
         self.kept.append([q, np.full(len(q), block), at, lower[q, at], upper[q, at]])
+        self.size += len(q)
+        if self.size > self.room:
+            self.kept = [self.pairs()]
+            self.size = len(self.kept[0][0])
+            self.room = max(PAIRS, 2 * self.size)
 
     def pairs(self) -> list[np.ndarray]:
         """Query, block, place in it, lower and upper bound of each pair that may be among the query's k best."""
@@ -145,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_column: str = "ve
     holds ``HELD`` of each side on average, whatever the size of the table.
     """
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].alias("v"))
-    tiles, asked = written(_pack(rows, TILE), "tiles"), written(_pack(rows.where(is_query), QUERIES), "queries")
+    tiles, asked = written(_pack(_nearest_of_equals(rows, k), TILE), "tiles"), written(_pack(rows.where(is_query), QUERIES), "queries")
     total, several = (t.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] for t in (tiles, asked))
     across = max(2, vectors.sparkSession.sparkContext.defaultParallelism, -(-total // HELD))
     down = max(1, -(-several // HELD))
