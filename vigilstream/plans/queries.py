@@ -353,10 +353,6 @@ WHERE coalesce(a.id, b.id, n.id) IS NOT NULL OR contains(src_ip, '.7')"""))(
 # Reputation.
 
 
-def _feeds(s: SparkSession) -> DataFrame:
-    return fx.feeds(s).withColumn("created_time", F.col("created_time").cast("timestamp"))
-
-
 def _feed_hit(side: str) -> str:
     kind = "cidr_src" if side == "src" else "cidr_dst"
     return f"SELECT ip, arg_max(comment, plen) AS comment, arg_max(cidr, plen) AS cidr FROM (SELECT DISTINCT {side}_ip AS ip FROM c) JOIN feed_t ON type = '{kind}' AND {fx.number('ip')} BETWEEN lo AND lo + (1::BIGINT << (32 - plen)) - 1 GROUP BY ip"
