@@ -96,3 +96,13 @@ def test_addresses_of_both_families(spark):
     for r in prefixes.select("p", "f", net.mask(F.col("p"), F.col("f")).alias("m")).collect():
         bits = 32 if r.f == 4 else 128
         assert r.m == (f"{((1 << bits) - 1) ^ ((1 << (bits - r.p)) - 1):0{bits // 4}x}" if r.p <= bits else None)
+
+
+def test_names_of_a_caller_do_not_clash(spark):
+    table = iocs(spark, ("ip", "192.0.2.1", None, None), ("cidr", None, None, "10.0.0.0/8"))
+    names = ["__key", "__entry", "__base", "__digits_0", "__key_0", "__hit_0", "__hit_1", "key", "entry"]
+    rows = [("192.0.2.1", "x", *names), ("1.1.1.1", "10.2.3.4", *names), ("2.2.2.2", None, *names)]
+    events = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in ["src_ip", "dst_ip", *names]))
+    got = lookups.frame_match(events, table).orderBy("probe").collect()
+    assert [(r.probe, r.ioc_id) for r in got] == [("dip_cidr", 2), ("sip", 1)]
+    assert all(r[c] == c for r in got for c in names if c != "entry")

@@ -22,6 +22,9 @@ from vigilstream.schema import MAX_ANSWERS
 HELD = 500_000
 #: Prefix lengths of a family that are joined each by itself.
 LENGTHS = 12
+#: What names of helper columns end with; no caller's column has it.
+_OWN = "\u0001"
+_BASE, _ENTRY, _KEY, _DIGITS = (f"{x}{_OWN}" for x in ("base", "entry", "key", "digits"))
 
 
 def held(table: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ class Networks:
         # Lengths are 33 and 129 whole numbers at most, so they go into the plan.
         lengths = sorted((r.family, r.prefix) for r in table.select("family", "prefix").distinct().collect())
         table, self.lengths = _ladder(table, lengths)
-        self.tables = {(f, p): held(table.where((F.col("family") == f) & (F.col("prefix") == p)).select(F.col("base").alias("__base"), F.col("entry").alias("__entry"))) for f, p in self.lengths}
+        self.tables = {(f, p): held(table.where((F.col("family") == f) & (F.col("prefix") == p)).select(F.col("base").alias(_BASE), F.col("entry").alias(_ENTRY))) for f, p in self.lengths}
         self.type = table.schema["entry"].dataType
 
     def probe(self, rows: DataFrame, digits: str, out: str) -> DataFrame:
@@ -108,16 +111,16 @@ class Networks:
         for k, (family, prefix) in enumerate(reversed(self.lengths)):
             side = self.tables[family, prefix]
             key = F.when(F.length(digits) == (8 if family == 4 else 32), net.cut(F.col(digits), prefix))
-            rows = rows.join(side, key == side["__base"], "left").drop("__base").withColumnRenamed("__entry", f"__{out}_{k}")
-            found.append(f"__{out}_{k}")
+            rows = rows.join(side, key == side[_BASE], "left").drop(_BASE).withColumnRenamed(_ENTRY, f"{out}{k}{_OWN}")
+            found.append(f"{out}{k}{_OWN}")
         entry = F.coalesce(*found) if found else F.lit(None).cast(self.type)
         return rows.withColumn(out, entry).drop(*found)
 
 
 def longest_prefix(probes: DataFrame, table: DataFrame, ip: str) -> DataFrame:
     """Probes whose address lies in a network, with the longest one's ``entry``."""
-    rows = Networks(table).probe(probes.withColumn("__digits", net.ip_hex(F.col(ip))), "__digits", "entry")
-    return rows.where("entry is not null").drop("__digits")
+    rows = Networks(table).probe(probes.withColumn(_DIGITS, net.ip_hex(F.col(ip))), _DIGITS, "entry")
+    return rows.where("entry is not null").drop(_DIGITS)
 
 
 def priority(events: DataFrame, probes: list[tuple[str, str, Column]], iocs: DataFrame) -> DataFrame:
@@ -132,19 +135,19 @@ def priority(events: DataFrame, probes: list[tuple[str, str, Column]], iocs: Dat
         if table in ("ip", "cidr"):
             text = str(value)
             if text not in digits:
-                digits[text] = f"__digits_{k}"
+                digits[text] = f"digits{k}{_OWN}"
                 rows = rows.withColumn(digits[text], net.ip_hex(value.cast("string")))
             key = digits[text]
         else:
-            key = f"__key_{k}"
+            key = f"key{k}{_OWN}"
             rows = rows.withColumn(key, value.cast("string"))
         if table not in known:
-            known[table] = Networks(networks(iocs)) if table == "cidr" else held(tables[table](iocs).withColumnsRenamed({"key": "__key", "entry": "__entry"}))
+            known[table] = Networks(networks(iocs)) if table == "cidr" else held(tables[table](iocs).withColumnsRenamed({"key": _KEY, "entry": _ENTRY}))
         if table == "cidr":
-            rows = known[table].probe(rows, key, f"__hit_{k}")
+            rows = known[table].probe(rows, key, f"hit{k}{_OWN}")
         else:
-            rows = rows.join(known[table], F.col(key) == known[table]["__key"], "left").drop("__key").withColumnRenamed("__entry", f"__hit_{k}")
-        order.append((name, f"__hit_{k}"))
+            rows = rows.join(known[table], F.col(key) == known[table][_KEY], "left").drop(_KEY).withColumnRenamed(_ENTRY, f"hit{k}{_OWN}")
+        order.append((name, f"hit{k}{_OWN}"))
     probe = F.coalesce(*[F.when(F.col(hit).isNotNull(), F.lit(name)) for name, hit in order])
     entry = F.coalesce(*[F.col(hit) for _, hit in order])
     out = rows.select(*[F.col(c) for c in events.columns], probe.alias("probe"), entry.alias("entry")).where("probe is not null")
