@@ -476,6 +476,20 @@ def test_decontamination_of_edited_passages(spark):
     same([(r.doc_id, r.item_ids, round(r.similarity, 9)) for r in decontamination.decontaminate(docs, known).collect()], wanted)
 
 
+@pytest.mark.parametrize("held", [None, 0])
+def test_decontamination_broadcasts_little(spark, monkeypatch, held):
+    """What grows with the texts isn't broadcast, but for keys of a few bytes a text."""
+    items = {1: [f"a{k}" for k in range(40)], 2: [f"b{k}" for k in range(25)]}
+    texts = [" ".join([f"u{d}", *(items[1 + d % 2] if d % 3 else [f"v{d}x{k}" for k in range(30)]), f"t{d}"]) for d in range(300)]
+    if held is not None:
+        monkeypatch.setattr(decontamination, "HELD_BYTES", held)
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    kept = decontamination.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 300, 3))
+    assert sent and max(df.toArrow().nbytes for df in sent) < (300 * 60 if held is None else 5000)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(7, None), (999, 999)]

@@ -15,8 +15,9 @@ shingles as the similarity needs at the least: the blocks' keys carry the text,
 window meets an item that its text shares too little with. Pairs are then verified by the similarity of their shingle
 multisets, sum of least counts over sum of greatest.
 
-Everything is made of DataFrame functions. Item shingles are broadcast while there are at most ``HELD``; copies of a
-text are worked on once, by its MD5; windows travel as places and fingerprints only.
+Everything is made of DataFrame functions. What is made of the items is broadcast while they have at most ``HELD``
+shingles, and the keys of texts while they take at most ``HELD_BYTES``; windows, indices and pairs grow with the texts and
+are shuffled. Copies of a text are worked on once, by its MD5; windows travel as places and fingerprints only.
 
 Defined results: a null or empty text or item matches nothing; items with fewer than five words match as a whole; a
 window that would reach over an end of the text is moved inside it; each input row gives one row; repeated items count
@@ -36,6 +37,8 @@ WIDTH = 5
 BLOCKS = 24
 RADIUS = BLOCKS - 1
 HELD = 200_000
+#: Bytes of texts' keys to broadcast, and those of a key in the driver's hash table (217 were measured, of 77,000).
+HELD_BYTES, KEY_BYTES = 16 << 20, 220
 #: First bit and number of bits of each block: 64 bits, 16 blocks of three and 8 of two.
 _BITS = [(3 * b, 3) for b in range(16)] + [(48 + 2 * b, 2) for b in range(8)]
 
@@ -83,10 +86,22 @@ def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.select(F.md5(text.cast("binary")).alias("k"), text.alias("text")).where("k is not null")
 
 
+def _agree(fp: str, other: str) -> Column:
+    """Whether two fingerprints agree, block by block."""
+    differ = F.col(fp).bitwiseXOR(F.col(other))
+    return F.array(*[F.shiftrightunsigned(differ, at).bitwiseAND(F.lit((1 << n) - 1).cast("long")) == 0 for at, n in _BITS])
+
+
 def _held(df: DataFrame) -> DataFrame:
+    """Rows of the items."""
     return F.broadcast(df) if is_small(df, HELD) else df
 
 
+def _held_keys(df: DataFrame) -> DataFrame:
+    """Keys of texts."""
+    return F.broadcast(df) if is_small(df, HELD_BYTES // KEY_BYTES) else df
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """k (the MD5 of a text), item_id and similarity of every item that a text holds."""
     items = benchmark.select(benchmark[item_id_column].alias("item_id"), _words(benchmark[item_text_column]).alias("words")).where("item_id is not null and size(words) > 0")
@@ -142,7 +157,7 @@ def _matches(keyed: DataFrame, items: DataFrame, width: int, similarity: float)
     starts = written(shared.select("k", "n", F.explode(_starts(width, similarity)).alias("start")), "starts")
     # Tasks are few bytes and much work from here on, so their number is told.
     tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed.join(_held(starts.select("k").distinct()), "k", "left_semi").repartition(tasks, "k").dropDuplicates(["k"])
+    texts = keyed.join(_held_keys(starts.select("k").distinct()), "k", "left_semi").repartition(tasks, "k").dropDuplicates(["k"])
     texts = written(texts.select("k", _words(F.col("text")).alias("words")), "texts")
     # Windows of a text go together in lists of so many starts at most.
     lists = starts.groupBy("k", F.floor(F.col("start") / 2048).alias("part")).agg(F.collect_list(F.struct("n", "start")).alias("windows"))
@@ -153,18 +168,20 @@ def _matches(keyed: DataFrame, items: DataFrame, width: int, similarity: float)
     items = written(items.select("row", "item_id", "n", F.array_sort("shingles").alias("item_shingles"), fingerprint(F.col("shingles")).alias("item_fp")), "item-prints")
     # The items of each text's index.
     known = items.select("row", F.explode(F.array_distinct("item_shingles")).alias("h"))
+    few = is_small(known, HELD)
+    held = lambda t: F.broadcast(t) if few else t
     places = texts.select("k", F.explode(_shingles(F.col("words"), width)).alias("h"))
-    index = places.join(_held(known), "h").groupBy("k", "row").agg(F.count("*").alias("places"))
-    index = index.join(_held(items.select("row", "n", "item_fp")), "row").where(F.col("places") >= _need(F.col("n"), width, similarity))
+    index = places.join(held(known), "h").groupBy("k", "row").agg(F.count("*").alias("places"))
+    index = index.join(held(items.select("row", "n", "item_fp")), "row").where(F.col("places") >= _need(F.col("n"), width, similarity))
     index = written(index.select("k", "row", "n", "item_fp"), "index")
     a = window.select("k", "n", "start", "fp", F.explode(_blocks("fp")).alias("x")).select("*", "x.b", "x.v").drop("x")
     b = index.select("k", "n", "row", "item_fp", F.explode(_blocks("item_fp")).alias("x")).select("*", "x.b", "x.v").drop("x")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     # Of the blocks in which a pair agrees only the first goes on, so each pair is verified once.
-    first = F.col("b") == F.expr("array_position(transform(arrays_zip(p, q), z -> z.p.v = z.q.v), true) - 1")
-    pairs = a.withColumn("p", _blocks("fp")).join(_held(b.withColumn("q", _blocks("item_fp"))), ["k", "n", "b", "v"]).where(near & first)
-    pairs = written(pairs.select("k", "n", "start", "row"), "pairs")
-    pairs = window.join(_held(pairs), ["k", "n", "start"]).join(_held(items.select("row", "item_id", "item_shingles")), "row")
+    first = F.col("b") == F.array_position(_agree("fp", "item_fp"), True) - 1
+    # Spark's estimate knows nothing of the rows that explode makes, so it would broadcast the blocks of a small index.
+    pairs = written(a.join(b.hint("merge"), ["k", "n", "b", "v"]).where(near & first).select("k", "n", "start", "row"), "pairs")
+    pairs = window.join(pairs, ["k", "n", "start"]).join(held(items.select("row", "item_id", "item_shingles")), "row")
     common = _common("shingles", "item_shingles")
     sim = common / (F.size("shingles") + F.size("item_shingles") - common)
     return pairs.select("k", "item_id", sim.alias("similarity")).where(F.col("similarity") >= similarity)
@@ -175,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     found = matches(docs, benchmark, similarity, text_column)
     found = found.groupBy("k").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.max("similarity").alias("similarity"))
     found = written(found, "found")
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.md5(docs[text_column].cast("string").cast("binary")).alias("k")).join(_held(found), "k", "left")
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.md5(docs[text_column].cast("string").cast("binary")).alias("k")).join(_held_keys(found), "k", "left")
     n = F.coalesce(F.size("ids"), F.lit(0))
     return rows.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.greatest(n, F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
@@ -183,6 +200,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_column: str = "text") -> DataFrame:
     """The documents that hold no item, with their columns."""
     found = written(matches(docs, benchmark, similarity, text_column).select("k").distinct(), "found")
-    found = _held(found.select(F.struct("k").alias("__held")))
+    found = _held_keys(found.select(F.struct("k").alias("__held")))
     key = F.struct(F.md5(docs[text_column].cast("string").cast("binary")).alias("k"))
     return docs.join(found, key == found["__held"], "left_anti")
