@@ -20,6 +20,36 @@ def test_distinct_numbers_with_their_places():
         assert value.dtype == codes.dtype and (value == want[0]).all() and (inverse == want[1]).all()
 
 
+def test_hashes_with_their_places():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 1000):
+        h = rng.integers(0, 2**64, 300, dtype=np.uint64)[rng.integers(0, 300, n)]
+        value, inverse = lm_score._coded(h)
+        want = np.unique(h, return_inverse=True)
+        assert value.dtype == h.dtype and (value == want[0]).all() and (inverse == want[1]).all()
+
+
+def test_packed_bits():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 63, 64, 200):
+        for bits in (0, 1, 7, 31, 33, 63, 64):
+            values = rng.integers(0, 2**64, n, dtype=np.uint64)
+            got = np.unpackbits(lm_score._packed_bits(values, bits).view(np.uint8), bitorder="little")
+            want = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].ravel()
+            assert (got[: n * bits] == want).all() and not got[n * bits :].any() and len(got) >= n * bits + 64
+
+
+def test_lookups_read_few_numbers(monkeypatch):
+    """A number that is alone with its high bits is read once; of k that share them, about log2(k) are."""
+    reads, low = [0], lm_score.EliasFano._low
+    monkeypatch.setattr(lm_score.EliasFano, "_low", lambda self, i: reads.__setitem__(0, reads[0] + len(i)) or low(self, i))
+    for values, most in ((np.arange(1, 4097, dtype=np.uint64) << np.uint64(20), 4096), (np.append(np.arange(1024, dtype=np.uint64), np.uint64(2**40)), 11 * 1024 + 1)):
+        ef, reads[0] = lm_score.EliasFano(values), 0
+        ef.mapped(ef.arrays())
+        assert (ef.successor(values) == np.arange(len(values))).all() and reads[0] <= most
+        assert (ef.successor(values + np.uint64(2**39)) == -1).all()
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_sums_without_quantisation(split):
     """One chunk, its exact counts in place of a bucket's answers: the sums are those of plain counts to nine digits."""

@@ -112,16 +112,18 @@ class EliasFano:
         stop = self._select(h, 0) - h
         if lo is not None:
             start, stop = np.maximum(start, lo[inside]), np.minimum(stop, hi[inside])
-        # The numbers with these high bits may be many where values crowd, so their low bits are bisected.
-        want, low, high = values[inside] & U64((1 << self.low_bits) - 1), start.copy(), stop.copy()
-        open_ = np.flatnonzero(low < high)
+        # The numbers with these high bits may be many where values crowd, so their low bits are bisected for the last that isn't above.
+        want, low = values[inside] & U64((1 << self.low_bits) - 1), start.copy()
+        open_ = np.flatnonzero(stop - start > 1)
+        at, end, of = start[open_], stop[open_], want[open_]
         while len(open_):
-            middle = (low[open_] + high[open_]) >> 1
-            right = self._low(middle) < want[open_]
-            low[open_] = np.where(right, middle + 1, low[open_])
-            high[open_] = np.where(right, high[open_], middle)
-            open_ = open_[low[open_] < high[open_]]
-        there = np.flatnonzero(low < stop)
+            middle = (at + end) >> 1
+            right = self._low(middle) <= of
+            at, end = np.where(right, middle, at), np.where(right, end, middle)
+            more = end - at > 1
+            low[open_[~more]] = at[~more]
+            open_, at, end, of = open_[more], at[more], end[more], of[more]
+        there = np.flatnonzero(start < stop)
         hit = there[self._low(low[there]) == want[there]]
         found[inside[hit]] = low[hit]
         return found
@@ -129,12 +131,19 @@ class EliasFano:
 
 def _packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
     """The lowest bits of each value, without gaps, in words of 64 bits and one word more."""
-    parts, size = [], -(-bits // 8)
-    for k in range(0, len(values) if bits else 0, 1 << 16):  # 2**16 values fill whole words
-        raw = values[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
-        parts.append(np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little"))
-    raw = np.concatenate([*parts, np.zeros(8, np.uint8)])
-    return np.concatenate([raw, np.zeros(-len(raw) % 8 + 8, np.uint8)]).view("<u8")
+    words = -(-len(values) * bits // 64)
+    if not words:
+        return np.zeros(2, "<u8")
+    # 64 values fill whole words, so the k-th of every 64 lie alike in theirs.
+    rows = np.zeros((-(-len(values) // 64), 64), np.uint64)
+    rows.ravel()[: len(values)] = values & U64((1 << bits) - 1)
+    out = np.zeros((len(rows), bits), np.uint64)
+    for k in range(64):
+        at, shift = divmod(k * bits, 64)
+        out[:, at] |= rows[:, k] << U64(shift)
+        if shift + bits > 64:
+            out[:, at + 1] |= rows[:, k] >> U64(64 - shift)
+    return np.concatenate([out.ravel()[:words], np.zeros(2, np.uint64)]).astype("<u8", copy=False)
 
 
 class Trie:
@@ -166,7 +175,7 @@ class Trie:
                 at[name] = (f.tell(), a.dtype, len(a))
                 f.write(a.tobytes())
             f.flush()
-            look = lambda name: np.memmap(f, at[name][1], "r", at[name][0], (at[name][2],)) if at[name][2] else np.empty(0, at[name][1])
+            look = lambda name: np.asarray(np.memmap(f, at[name][1], "r", at[name][0], (at[name][2],))) if at[name][2] else np.empty(0, at[name][1])
             for k, level in levels.items():
                 level.mapped({x: look(f"{k}.{x}") for x in ("low", "high")})
             self.totals, self.codes = look("totals"), look("codes")
@@ -190,8 +199,10 @@ class Trie:
 
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Bytes for counts; 0 stays 0."""
-    steps = np.rint(np.log(np.maximum(counts, _EXACT) / _EXACT) * _STEPS)
-    return np.where(counts <= _EXACT, counts, np.minimum(_EXACT + steps, 255)).astype(np.uint8)
+    codes = np.minimum(counts, _EXACT).astype(np.uint8)
+    large = np.flatnonzero(counts > _EXACT)
+    codes[large] = np.minimum(_EXACT + np.rint(np.log(counts[large] / _EXACT) * _STEPS), 255)
+    return codes
 
 
 def counted(codes: np.ndarray) -> np.ndarray:
@@ -209,6 +220,10 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, np.exp2(-_BITS * ((codes.astype(np.float64) - 1) / 254) ** 2), 0.0)
 
 
+#: What each code stands for.
+_COUNTS, _PROBABILITIES = counted(np.arange(256)), probability(np.arange(256))
+
+
 def pack_numbers(x: np.ndarray, size: int = 4) -> bytes:
     """Whole numbers of ``size`` bytes at most, the small ones common: byte planes, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes())
@@ -237,6 +252,16 @@ def _tokens(c: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return h, bounds
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the place of each among them. Most repeat, so they are told apart by a hash table and few are sorted."""
+    table = pa.array(values).dictionary_encode()
+    distinct = table.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[table.indices.to_numpy()]
+
+
 @dataclass
 class _Plan:
     """What a chunk asks for, made anew of the same words when the answers come.
@@ -280,24 +305,27 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _plan(ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, hot: np.ndarray, classes: int, buckets: int) -> _Plan:
     """``word`` and ``hot`` are 48-bit hashes."""
-    n = len(word)
+    bits = len(word).bit_length()
+    low = (1 << bits) - 1
     later = np.ones(len(ids), bool)
     later[bounds[:-1]] = later[bounds[:-1] + 1] = False
     scored = np.flatnonzero(later)
-    pairs, before = _distinct(ids[scored - 2] * n + ids[scored - 1])
-    codes, tri = _distinct(before * n + ids[scored])
-    pair, third = codes // n, word[codes % n]
-    one, two = word[pairs // n], word[pairs % n]
-    key = tb._mix(tb._mix(one) * U64(0xD6E8FEB86659FD93) + two) & ~U64(1)
+    pairs, before = _distinct((ids[scored - 2] << bits) | ids[scored - 1])
+    codes, tri = _distinct((before << bits) | ids[scored])
+    pair, third = codes >> bits, word[codes & low]
+    one, two = pairs >> bits, pairs & low
+    key = tb._mix((tb._mix(word) * U64(0xD6E8FEB86659FD93))[one] + word[two]) & ~U64(1)
     value = third & U64((1 << _SUCCESSOR) - 1)
     first, second = np.arange(len(codes)), np.full(len(codes), -1)
     context = pair  # of each entry; trigrams are in the order of their pairs
-    split = np.flatnonzero((np.isin(one, hot) & np.isin(two, hot))[pair]) if len(hot) else np.empty(0, np.int64)
+    often = np.isin(word, hot)
+    apart = (often[one] & often[two])[pair]
+    split = np.flatnonzero(apart)
     if len(split):
         # A trigram of a frequent context is asked for twice: its class in the context, and the word in the class.
         kind = (third[split] >> U64(48 - (classes.bit_length() - 1))).astype(np.int64)
-        of_class, at = np.unique(pair[split] * classes + kind, return_inverse=True)
-        ordinary = np.setdiff1d(first, split)
+        of_class, at = _distinct(pair[split] * classes + kind)
+        ordinary = np.flatnonzero(~apart)
         context = np.concatenate([pair[ordinary], of_class // classes, len(pairs) + at])
         value = np.concatenate([value[ordinary], (of_class % classes).astype(np.uint64), value[split]])
         key = np.concatenate([key, tb._mix(key[of_class // classes] + (of_class % classes).astype(np.uint64) + U64(1)) | U64(1)])
@@ -323,7 +351,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[i
     for c in tb.chunks(batches, size=CHUNK):
         chunk += 1
         h, bounds = _tokens(c)
-        word, ids = np.unique(h, return_inverse=True)
+        word, ids = _coded(h)
         order = np.argsort((word % U64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -388,22 +416,20 @@ def _counted(rows: list[dict]) -> list[tuple]:
         n = unpack_numbers(r["d"])
         x, y = 1 + int(n[0]), 1 + int(n[0]) + len(contexts[-1])
         word_times.append(n[1:x]), sizes.append(n[x:y]), times.append(n[y:])
-    word, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    word, inverse = _coded(np.concatenate(words))
     total = np.bincount(inverse, np.concatenate(word_times), len(word)).astype(np.int64)
     token = (word != _BEGIN) & (word != _AFTER)
     size, distinct = int(total[token].sum()), int((total[token] > 0).sum())
     context, of_context = _distinct(np.concatenate(contexts))
     of = np.repeat(of_context, np.concatenate(sizes))
-    successor, number = np.concatenate(successors), np.concatenate(times)
-    order = np.argsort((of.astype(np.uint64) << U64(_SUCCESSOR)) | successor)
-    new = np.ones(len(order), bool)
-    new[1:] = (of[order][1:] != of[order][:-1]) | (successor[order][1:] != successor[order][:-1])
-    head = order[new]
-    entry = np.empty(len(order), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    number = np.bincount(entry, number, len(head)).astype(np.int64)
+    # Successors have numbers first, as those are short enough to be sorted with their contexts and places.
+    successor, rank = _distinct(np.concatenate(successors))
+    bits = len(successor).bit_length()
+    entries, entry = _distinct((of << bits) | rank)
+    of, successor = entries >> bits, successor[entries & ((1 << bits) - 1)]
+    number = np.bincount(entry, np.concatenate(times), len(entries)).astype(np.int64)
     seen = number > 0
-    totals, codes = Trie(context[of[head]][seen], successor[head][seen], number[seen]).look(context, of[head], successor[head])
+    totals, codes = Trie(context[of[seen]], successor[seen], number[seen]).look(context, of, successor)
     whole = np.array([size, distinct], "<i8").tobytes()
     w_at, x_at, e_at = (np.cumsum([0, *map(len, x)]) for x in (words, contexts, successors))
     for k, r in enumerate(rows):
@@ -428,7 +454,7 @@ def _scored(answers: pa.Table, kept: pa.Table, hot: np.ndarray, classes: int, bu
     for r in answers:
         found, n = _bytes(r["b"]), int(np.frombuffer(r["c"], "<i8")[0])
         contexts.append(found[:n]), entries.append(found[n:])
-    contexts, entries = counted(np.concatenate(contexts)), probability(np.concatenate(entries))
+    contexts, entries = _COUNTS[np.concatenate(contexts)], _PROBABILITIES[np.concatenate(entries)]
     return _table(number, flags, size, ids, bounds, plan, count, contexts, entries, _whole(answers))
 
 
@@ -451,7 +477,7 @@ def _table(number, flags, size, ids, bounds, plan: _Plan, count, contexts, entri
     p = entries[plan.first] * np.where(plan.second >= 0, entries[plan.second], 1.0)
     left = MU3 / (contexts[plan.context_of_pair[plan.pair]] + MU3)
     p = p[tri] + left[tri] * p2
-    doc = np.searchsorted(bounds, at, side="right") - 1
+    doc = np.repeat(np.arange(len(size)), size - 3)  # a text's tokens, without its two beginnings and what is after its end
     add = lambda x: np.bincount(doc, x, len(size))
     held = pa.array((flags & 2) > 0, mask=(flags & 1) > 0)
     return pa.table(
@@ -479,7 +505,8 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in tb.chunks(batches, size=CHUNK):
             h, bounds = _tokens(c)
-            word, times = np.unique(h, return_counts=True)
+            word, ids = _coded(h)
+            times = np.bincount(ids, minlength=len(word))
             often = times >= share / 2 * len(h)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(word[often], U64(0)).view(np.int64)), pa.array(np.append(times[often], len(h)))], ["word", "n"])
 
